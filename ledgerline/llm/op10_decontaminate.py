@@ -194,6 +194,11 @@ def contaminated(name: str = "leak") -> Column:
     return F.col(f"`{name}`")["n_hit"] > 0
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without those that hold a window of a benchmark item; all columns stay."""
+    return with_hits(docs, benchmark, "__leak").where(~contaminated("__leak")).drop("__leak")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = with_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -340,7 +340,7 @@ def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: int =
         again = docs.join(small(twice), id_.eqNullSafe(F.col("__twice")), "left_semi").withColumn("__sig", signatures(shingle)(F.col("text").cast("string")))
         component = found.select("doc_id", "sig", "component_id").distinct().select(F.col("doc_id").alias("__id"), F.col("sig").alias("__s"), F.col("component_id").alias("__component"))
         again = again.join(component, id_.eqNullSafe(F.col("__id")) & F.col("__sig").eqNullSafe(F.col("__s")), "left")
-        stays = again.where(F.col("__sig").isNotNull() & id_.eqNullSafe(F.col("__component"))).dropDuplicates(["__component", "__sig"] if False else ["doc_id", "__component"])
+        stays = again.where(F.col("__sig").isNotNull() & id_.eqNullSafe(F.col("__component"))).dropDuplicates(["doc_id", "__component"])
         nameless = F.col("__sig").isNotNull() & id_.isNull() & F.col("__component").isNull()
         stays = stays.where(id_.isNotNull()).unionByName(again.where(nameless).dropDuplicates(["__sig"]))
         wordless = again.where(F.col("__sig").isNull())

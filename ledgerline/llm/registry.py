@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op8_records, op9_sentencepiece, op10_decontaminate
+from . import op1_jaccard_join, op4_toxicity, op6_quality, op8_records, op9_sentencepiece, op10_decontaminate
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": op1_jaccard_join.query,
+        "op4_toxicity": op4_toxicity.query,
+        "op6_quality": op6_quality.query,
         "op8_token_records": op8_records.query,
         "op9_sentencepiece": op9_sentencepiece.query,
         "op10_decontaminate": op10_decontaminate.query,

@@ -117,3 +117,29 @@ def shingle_set(h: np.ndarray, m: int) -> np.ndarray:
     if not len(h):
         return np.empty(0, dtype=U)
     return np.unique(ngrams(h, min(m, len(h))))
+
+
+def word_spans(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, first byte and length of each word, and where each document's words begin (and the last end)."""
+    low = LOWER[data]
+    inside = table[low]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = off[:-1][off[:-1] < len(low)]
+    begins[edges] = inside[edges]
+    starts = np.flatnonzero(begins)
+    stops = ~inside
+    stops[edges] = True
+    stops = np.append(np.flatnonzero(stops), len(low))
+    length = stops[np.searchsorted(stops, starts, side="right")] - starts
+    return low, starts, length, np.searchsorted(starts, off)
+
+
+def prefix_hashes(low: np.ndarray, starts: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which words have at least size bytes, and the hash of their first size bytes."""
+    at = np.flatnonzero(length >= size)
+    acc = np.zeros(len(at), dtype=U)
+    p = powers(size)
+    for j in range(size):
+        acc += BYTE_VALUES[low[starts[at] + j]] * p[j]
+    return at, mix(acc + U(size))
