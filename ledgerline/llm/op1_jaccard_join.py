@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, parts, small, written
+from .shared import BROADCAST_ROWS, discard, parts, small, written
 from .wordhash import SPACE_SPLIT, chunks, mix, shingle_set, text_buffers, words
 
 U = np.uint64
@@ -40,8 +40,9 @@ SHINGLE = 3
 SIMILARITY = 90
 #: A band's sizes reach to this times the last band's.
 BAND = 1.6
-#: Bits of a sketch for each token that similar sets may differ in.
-SKETCH_BITS = 16
+#: Bits of a sketch for each token that similar sets may differ in, and its words of 64 bits at most. A coarser sketch passes on more pairs to be verified, and loses none.
+SKETCH_BITS = 8
+SKETCH_WORDS = 64
 #: Documents of a key's group that are compared with each other in one go; larger groups are dealt over pairs of blocks.
 BLOCK = 1024
 
@@ -59,7 +60,7 @@ def bands(similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     mean = (1 + t) / (2 * (1 - t)) / BAND
     share = exp(-mean) * (1 + mean * weak)
     spare = 2 + np.ceil(2 * share * d).astype(np.int64)
-    width = np.maximum(2, d * SKETCH_BITS // 64)
+    width = np.clip(d * SKETCH_BITS // 64, 2, SKETCH_WORDS)
     width = 1 << np.ceil(np.log2(width)).astype(np.int64)
     return size, d + 1 + spare, spare, width, weak
 
@@ -296,7 +297,10 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: int
     s = F.col("s")
     rows = written(own.withColumn("s", _sketched(shingle, similarity)(F.col("text"))).select("doc_id", s["n"].alias("n"), s["sig"].alias("sig"), s["keys"].alias("keys"), s["bits"].alias("bits"), F.monotonically_increasing_id().alias("uid")), "sketched")
     copies = written(rows.where("sig is not null").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")).select("sig", "first.uid", F.col("first.doc_id").alias("least")), "copies")
-    classes = written(rows.join(copies.select("uid"), "uid", "left_semi"), "classes")
+    again = written(rows.select("uid", "sig").join(copies.select("sig", F.col("uid").alias("first")), "sig").where("uid != first").select("uid"), "again")
+    classes = rows.where("sig is not null").join(small(again), "uid", "left_anti")
+    if again.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:  # else a filter of the scan
+        classes = written(classes, "classes")
     each = classes.select("uid", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     members = written(each.join(shared, "key"), "members")
