@@ -292,7 +292,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """A row per document: doc_id, sig (of its set; null if empty), n_shingles, component_id. And the verified links of classes."""
+    """A row per document: doc_id, sig (of its set; null if empty), n_shingles, component_id, root (a number of the component, null if the set is empty). And the verified links of classes."""
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     s = F.col("s")
     rows = written(own.withColumn("s", _sketched(shingle, similarity)(F.col("text"))).select("doc_id", s["n"].alias("n"), s["sig"].alias("sig"), s["keys"].alias("keys"), s["bits"].alias("bits"), F.monotonically_increasing_id().alias("uid")), "sketched")
@@ -312,10 +312,11 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: int
     roots = written(components(links), "roots")
     of = copies.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("sig", "least", F.coalesce("root", "uid").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(of.join(least, "root").select("sig", "component_id"), "components")
+    of = written(of.join(least, "root").select("sig", "component_id", "root"), "components")
     out = rows.select("doc_id", "sig", F.col("n").alias("n_shingles")).join(of, "sig", "left")
     discard(classes, members, pairs, more)
-    return out.select("doc_id", "sig", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), links
+    component = F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "sig", "n_shingles", component.alias("component_id"), "root"), links
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -334,19 +335,17 @@ def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: int =
     a component keep one row. Documents without words are no copies of each other and all stay.
     """
     found, _ = jaccard_components(docs, shingle, similarity)
-    found = written(found.select("doc_id", "sig", "component_id"), "found")
-    # component_id is the smallest doc_id of the component: any other id goes; null ids and repeated ids need a look at the rows
-    gone = found.where("sig is not null and doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("__gone"), F.col("sig").alias("__sig")).distinct()
-    twice = found.where("sig is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 or doc_id is null").select(F.col("doc_id").alias("__twice"))
-    out = docs.join(small(gone.select("__gone").distinct()), F.col("doc_id") == F.col("__gone"), "left_anti")
-    if twice.limit(1).count():  # repeated or missing ids: decided by set, not by id
-        id_ = F.col("doc_id")
+    found = written(found.where("sig is not null").select("doc_id", "sig", "component_id", "root"), "found")
+    # component_id is the smallest doc_id of a component: rows of other ids go; repeated and missing ids need a look at the texts
+    id_ = F.col("doc_id")
+    gone = found.where("doc_id != component_id").select(id_.alias("__gone")).distinct()
+    twice = written(found.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 or doc_id is null").select(id_.alias("__twice")), "twice")
+    out = docs.join(small(gone), id_ == F.col("__gone"), "left_anti")
+    if twice.limit(1).count():
         again = docs.join(small(twice), id_.eqNullSafe(F.col("__twice")), "left_semi").withColumn("__sig", signatures(shingle)(F.col("text").cast("string")))
-        component = found.select("doc_id", "sig", "component_id").distinct().select(F.col("doc_id").alias("__id"), F.col("sig").alias("__s"), F.col("component_id").alias("__component"))
-        again = again.join(component, id_.eqNullSafe(F.col("__id")) & F.col("__sig").eqNullSafe(F.col("__s")), "left")
-        stays = again.where(F.col("__sig").isNotNull() & id_.eqNullSafe(F.col("__component"))).dropDuplicates(["doc_id", "__component"])
-        nameless = F.col("__sig").isNotNull() & id_.isNull() & F.col("__component").isNull()
-        stays = stays.where(id_.isNotNull()).unionByName(again.where(nameless).dropDuplicates(["__sig"]))
-        wordless = again.where(F.col("__sig").isNull())
-        out = out.join(small(twice), id_.eqNullSafe(F.col("__twice")), "left_anti").unionByName(stays.unionByName(wordless).select(docs.columns))
+        of = found.select(F.col("sig").alias("__s"), F.col("component_id").alias("__component"), F.col("root").alias("__root")).distinct()
+        again = again.join(of, F.col("__sig") == F.col("__s"), "left")
+        stays = again.where(F.col("__sig").isNotNull() & id_.eqNullSafe(F.col("__component"))).dropDuplicates(["__root"])
+        stays = stays.unionByName(again.where(F.col("__sig").isNull()))
+        out = out.join(small(twice), id_.eqNullSafe(F.col("__twice")), "left_anti").unionByName(stays.select(docs.columns))
     return out

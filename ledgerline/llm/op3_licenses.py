@@ -13,21 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A line that names a holder.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-#: Equivalent spellings, fixed values.
+COPYRIGHT_LINE = r"(^|\n)[ \t]*((copyright[ \t]+)?(\(c\)|©)|copyright[ \t]+[0-9]{4}|all rights reserved)[^\n]*"
+#: Equivalent spellings of texts whose words stand one space apart, fixed values.
 SPELLINGS = [
     ("licence", "license"),
-    ("sub-license", "sublicense"),
     ("sub license", "sublicense"),
     ("merchantibility", "merchantability"),
-    ("non-infringement", "noninfringement"),
+    ("non infringement", "noninfringement"),
     ("favour", "favor"),
     ("honour", "honor"),
     ("whilst", "while"),
-    ("http://", "https://"),
-    ("copyright holder ", "copyright owner "),
-    ("copyright holders", "copyright owners"),
-    ("&", "and"),
+    ("http ", "https "),
+    ("copyright holder", "copyright owner"),
 ]
 SEPARATORS = r"[\p{P}\p{S}\p{Z}\p{C}]+"
 
@@ -66,9 +63,10 @@ Unless required by applicable law or agreed to in writing, software distributed
 
 def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(F.replace(out, F.lit("&"), F.lit(" and ")), SEPARATORS, " ")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(out, SEPARATORS, " "))
+    return F.trim(out)
 
 
 def with_license(docs: DataFrame, text: str = "text", licenses: dict[str, str] | None = None) -> DataFrame:
@@ -89,9 +87,10 @@ def _quoted(s: str) -> str:
 
 def _canonical_sql(text: str) -> str:
     out = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
+    out = f"regexp_replace(replace({out}, '&', ' and '), {_quoted(SEPARATORS)}, ' ', 'g')"
     for old, new in SPELLINGS:
         out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
-    return f"trim(regexp_replace({out}, {_quoted(SEPARATORS)}, ' ', 'g'))"
+    return f"trim({out})"
 
 
 def oracle() -> str:

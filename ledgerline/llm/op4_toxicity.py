@@ -31,6 +31,8 @@ PREFIXES = (4, 5, 6)
 TRAIN_ROWS = 16_000
 FACTORS = 4
 EPOCHS = 8
+#: Steps to take at least: few rows are passed over more often.
+LEAST_STEPS = 600
 BATCH_ROWS = 256
 #: Training rows a term must be in.
 LEAST_ROWS = 3
@@ -114,8 +116,9 @@ def fit(y: np.ndarray, term: np.ndarray, at: np.ndarray, seed: int = 4) -> Machi
     rng = np.random.default_rng(seed)
     bias, w, v = float(np.log(good / (rows - good))), np.full(len(kept), 0.5), rng.normal(0, 0.02, (len(kept), FACTORS))
     seen_b, seen_w, seen_v = 1e-6, np.full(len(kept), 1e-6), np.full(v.shape, 1e-6)
-    for epoch in range(EPOCHS):
-        rate = 0.1 / (1 + epoch / 2)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-rows // BATCH_ROWS)))
+    for epoch in range(epochs):
+        rate = 0.1 / (1 + 4 * epoch / epochs)
         order = rng.permutation(rows)
         for i in range(0, rows, BATCH_ROWS):
             some = order[i : i + BATCH_ROWS]
