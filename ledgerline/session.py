@@ -9,13 +9,20 @@ from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
+#: Arrow batches for rows that hold whole texts: some MB each, so that a Python worker's memory stays small. A setting of the user's own stays.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+SPARK_DEFAULTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}
+
 
 def reachable(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package also where the driver was started from another folder."""
+    """Lets Python workers import this package also where the driver was started from another folder, and bounds their batches."""
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
+    for name, value in BATCHES.items():
+        if spark.conf.get(name, None) in (None, SPARK_DEFAULTS[name]):
+            spark.conf.set(name, value)
     return spark
 
 
