@@ -33,13 +33,14 @@ class Criterion:
             tag(t)
 
     def column(self) -> Column:
+        """For DataFrame.where: null stands for false."""
         own = [F.col("dcbtags").isNotNull()]
         if self.types:
             own.append(F.col("type").isin(sorted(self.types)))
         if self.excluding:
             own.append(~F.col("type").isin(sorted(self.excluding)))
         own += [F.array_contains("dcbtags", t) for t in sorted(self.tags)]
-        return reduce(Column.__and__, (F.coalesce(c, F.lit(False)) for c in own))
+        return reduce(Column.__and__, own)
 
 
 @dataclass(frozen=True)

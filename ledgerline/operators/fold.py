@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..condition import in_
 from ..filter import Filter, type_
-from ..plans.compile import where
+from ..plans.compile import predicate
 
 
 @dataclass(frozen=True)
@@ -71,10 +71,10 @@ class Projection:
     def source(self, log: DataFrame) -> DataFrame:
         """The events to fold: those of the filter, else those of the handlers' types, else all. Events without a key are left out."""
         if self.filter is not None:
-            log = log.where(where(self.filter, log.columns))
+            log = log.where(predicate(self.filter, log.columns))
         elif self.handlers:
             below = {c for c, p in self.parents.items() if p in self.handlers}
-            log = log.where(where(type_(in_(sorted({*self.handlers, *below}))), log.columns))
+            log = log.where(predicate(type_(in_(sorted({*self.handlers, *below}))), log.columns))
         return log if self.key is None else log.where(self.key.isNotNull())
 
 

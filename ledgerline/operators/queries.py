@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..condition import in_
 from ..filter import Everything, Filter, TypeRegistry, stream_read_filter, type_
 from ..model import PositionRange
-from ..plans.compile import where
+from ..plans.compile import predicate
 from ..sort import SortBy, unsorted
 
 
@@ -42,7 +42,7 @@ class EventQueries:
     def _where(self, f: Filter | None) -> DataFrame:
         if f is None or isinstance(f, Everything):
             return self.log
-        return self.log.where(where(f, self.log.columns, **self.options))
+        return self.log.where(predicate(f, self.log.columns, **self.options))
 
     def query(self, f: Filter | None = None, skip: int = 0, limit: int | None = None, sort: SortBy | None = None) -> DataFrame:
         """Events of a filter. Without a sort and paging, in no order at all: a sort of everything costs a shuffle that a caller may not need."""
@@ -88,7 +88,7 @@ class EventQueries:
         _not_negative(skip=skip, limit=limit)
         out = self.log.where((F.col("streamid") == stream_id) & (F.col("streamversion") > skip))
         if f is not None:
-            out = out.where(where(stream_read_filter(f), self.log.columns, **self.options))
+            out = out.where(predicate(stream_read_filter(f), self.log.columns, **self.options))
         out = out.orderBy("streamversion")
         return out if limit is None else out.limit(limit)
 

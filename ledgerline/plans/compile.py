@@ -1,8 +1,9 @@
 """Filters to Spark columns.
 
-Every leaf is true or false, never null, before leaves are combined: a comparison with null is false, ne with null true, and
-negation is that of two values. Envelope leaves are plain comparisons, so they reach the Parquet scan; conjuncts on the envelope
-come before those on payloads.
+Filters have two values: a comparison with null is false, ne with null true, and negation is that of two values. So every leaf
+under a negation is made true or false before it is negated. Elsewhere a leaf may stay null for false: AND and OR of such leaves
+select the same rows, and plain comparisons on the envelope reach the Parquet scan, as predicate() has them. where() gives a column that
+is never null. Conjuncts on the envelope come before those on payloads.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ class StrictError(ValueError):
     """A range asked of a value that may be missing, in strict mode."""
 
 
-def _leaf(name: str, c: Column, op: str, value, offset: Column | None) -> Column:
-    """Never null. The plain comparison stands first, so that a scan can take it."""
+def _leaf(name: str, c: Column, op: str, value, offset: Column | None, exact: bool) -> Column:
+    """exact: never null."""
     if op == "ne":
-        return ~_leaf(name, c, "eq", value, offset)
+        return ~_leaf(name, c, "eq", value, offset, True)
     if value is None:
         return c.isNull() if op == "eq" else false()
     if name == "time":
@@ -49,35 +50,37 @@ def _leaf(name: str, c: Column, op: str, value, offset: Column | None) -> Column
             tie = (c == F.lit(instant)) & COMPARE[op](F.coalesce(offset, F.lit(0)), F.lit(seconds))
             strict = COMPARE[op[:2]](c, F.lit(instant))
             own = COMPARE[op[:2] + "e"](c, F.lit(instant)) & (strict | tie)
-        return F.coalesce(own, false())
+        return F.coalesce(own, false()) if exact else own
     number = isinstance(value, (int, float, Decimal)) and not isinstance(value, bool)
     if (name in LONGS) != number or not isinstance(value, (str, int, float, Decimal)) or isinstance(value, bool):
         return false()  # other types never match
-    return F.coalesce(COMPARE[op](c, F.lit(value)), false())
+    own = COMPARE[op](c, F.lit(value))
+    return F.coalesce(own, false()) if exact else own
 
 
-def _attribute(name: str, c: Column, condition: Condition, offset: Column | None) -> Column:
+def _attribute(name: str, c: Column, condition: Condition, offset: Column | None, exact: bool) -> Column:
     match condition:
         case Compare(op, v):
-            return _leaf(name, c, op, v, offset)
+            return _leaf(name, c, op, v, offset, exact)
         case Within(values):
             if values and name != "time" and all(isinstance(v, str) for v in values) and name not in LONGS:
-                return F.coalesce(c.isin(list(values)), false())
-            return reduce(Column.__or__, (_leaf(name, c, "eq", v, offset) for v in values), false())
+                own = c.isin(list(values))
+                return F.coalesce(own, false()) if exact else own
+            return reduce(Column.__or__, (_leaf(name, c, "eq", v, offset, exact) for v in values), false())
         case Every(parts):
-            return reduce(Column.__and__, (_attribute(name, c, p, offset) for p in parts))
+            return reduce(Column.__and__, (_attribute(name, c, p, offset, exact) for p in parts))
         case Some(parts):
-            return reduce(Column.__or__, (_attribute(name, c, p, offset) for p in parts))
+            return reduce(Column.__or__, (_attribute(name, c, p, offset, exact) for p in parts))
         case Not(part):
-            return ~_attribute(name, c, part, offset)
+            return ~_attribute(name, c, part, offset, True)
     raise TypeError(f"no condition: {condition!r}")
 
 
 class Compiler:
-    """For logs with these columns. missing_ne: whether ne holds on a missing payload path. strict: refuse ranges on subject, time and other nullable attributes."""
+    """For logs with these columns. missing_ne: whether ne holds on a missing payload path. strict: refuse ranges on subject, time and other nullable attributes. exact: columns are never null."""
 
-    def __init__(self, columns: list[str], missing_ne: bool = False, strict: bool = False):
-        self.columns, self.missing_ne, self.strict = set(columns), missing_ne, strict
+    def __init__(self, columns: list[str], missing_ne: bool = False, strict: bool = False, exact: bool = True):
+        self.columns, self.missing_ne, self.strict, self.exact = set(columns), missing_ne, strict, exact
 
     def column(self, f: Filter) -> Column:
         match f:
@@ -98,13 +101,13 @@ class Compiler:
     def attribute(self, name: str, condition: Condition) -> Column:
         known = name.lower() if name.lower() in ATTRIBUTES else name
         if known not in ATTRIBUTES:  # an extension
-            return _attribute(known, F.col("ext")[known], condition, None)
+            return _attribute(known, F.col("ext")[known], condition, None, self.exact)
         if self.strict and known in ("subject", "time", "dataschema", "datacontenttype") and _has_range(condition):
             raise StrictError(f"{known} may be missing")
         if known not in self.columns:
-            return _attribute(known, F.lit(None).cast("string"), condition, None)
+            return _attribute(known, F.lit(None).cast("string"), condition, None, self.exact)
         offset = F.col("time_offset_s") if known == "time" and "time_offset_s" in self.columns else None
-        return _attribute(known, F.col(known), condition, offset)
+        return _attribute(known, F.col(known), condition, offset, self.exact)
 
     def payload(self, path: str, condition: Condition) -> Column:
         data = F.col("data")
@@ -126,4 +129,10 @@ def _has_range(c: Condition) -> bool:
 
 
 def where(f: Filter, columns: list[str], missing_ne: bool = False, strict: bool = False) -> Column:
+    """True or false for each event."""
     return Compiler(columns, missing_ne, strict).column(f)
+
+
+def predicate(f: Filter, columns: list[str], missing_ne: bool = False, strict: bool = False) -> Column:
+    """For DataFrame.where: null stands for false."""
+    return Compiler(columns, missing_ne, strict, exact=False).column(f)
