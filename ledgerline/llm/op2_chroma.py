@@ -169,7 +169,7 @@ def tones(rows: np.ndarray) -> np.ndarray:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Vectors sounded as tone rows stand for media: a row per vec_id divisible by 50 and match, or with nulls if it has none; copies are matched as the class of the smallest vec_id."""
+    """Vectors sounded as tone rows stand for media: a row per vec_id divisible by 50, with all its matches, the closest first; copies are matched as the class of the smallest vec_id."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     coded = written(with_codes(vectors, "embedding", "codes", tones).select("vec_id", "codes", F.xxhash64("codes").alias("h1"), F.md5(F.to_json(F.struct("codes"))).alias("h2")), "codes")
     least = coded.groupBy("h1", "h2").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"))
@@ -177,5 +177,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     classes = coded.join(of.where("vec_id = class_id").select("class_id").distinct(), F.col("vec_id") == F.col("class_id"), "left_semi").select(F.col("vec_id").alias("class_id"), "codes")
     asked = of.where("vec_id % 50 = 0")
     found = align(classes, asked.select("class_id").distinct())
-    out = asked.join(found.withColumnRenamed("q", "class_id"), "class_id", "left")
-    return out.select("vec_id", "class_id", "copies", F.col("r").alias("match_class"), F.col("off").alias("offset"), "votes", "bit_error")
+    found = found.groupBy(F.col("q").alias("class_id")).agg(F.array_sort(F.collect_list(F.struct("bit_error", F.col("r").alias("match_class"), F.col("off").alias("offset"), "votes"))).alias("matches"))
+    out = asked.join(found, "class_id", "left")
+    return out.select("vec_id", "class_id", "copies", F.when(F.col("matches").isNull(), 0).otherwise(F.size("matches")).cast("long").alias("n_matches"), "matches")
