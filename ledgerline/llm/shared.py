@@ -1,55 +1,5 @@
-"""Lineage cuts in the folder that all executors share, and size-checked broadcasts."""
+"""Lineage cuts in the shared folder and size-checked broadcasts, as the rest of the library has them."""
 
-from __future__ import annotations
+from ..sources.shared import BROADCAST_ROWS, discard, parts, shared_dir, shared_path, small, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A side is broadcast only after its rows were counted and are no more than this; beyond it, the join shuffles.
-BROADCAST_ROWS = 200_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder of our own only where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df, written once as a Parquet table in the shared folder and read again: its lineage ends there."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing reads any more."""
-    for df in tables:
-        path = getattr(df, "_written_at", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, counted here; else df, to be shuffled."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["BROADCAST_ROWS", "discard", "parts", "shared_dir", "shared_path", "small", "written"]

@@ -14,7 +14,7 @@ import pyarrow as pa
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
 #: Bytes of text that are worked on at once; a single longer document is taken alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
