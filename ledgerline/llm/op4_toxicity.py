@@ -103,15 +103,15 @@ def fit(y: np.ndarray, term: np.ndarray, at: np.ndarray, seed: int = 4) -> Machi
         share = good / rows if rows else 0.0
         bias = float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share else -40.0)
         return Machine(bias, slot, np.zeros(0), np.zeros((0, FACTORS)))
-    doc = np.repeat(np.arange(rows), np.diff(at))
-    pos, every = np.bincount(term[y[doc] == 1], minlength=size), np.bincount(term, minlength=size)
+    pos, every = np.bincount(term[np.repeat(y == 1, np.diff(at))], minlength=size), np.bincount(term, minlength=size)
     kept = np.flatnonzero(every >= LEAST_ROWS)
     ratio = np.log((pos[kept] + 0.5) / (good + 1)) - np.log((every[kept] - pos[kept] + 0.5) / (rows - good + 1))
     slot[kept] = np.arange(len(kept))
     place = slot[term]
     known = place >= 0
-    place, doc = place[known], doc[known]
-    cut = np.searchsorted(doc, np.arange(rows + 1))
+    cut = np.append(0, np.cumsum(known, dtype=np.int64))[at]
+    place = place[known]
+    del known
     scale = 1 / np.sqrt(np.maximum(1, np.diff(at)))
     rng = np.random.default_rng(seed)
     bias, w, v = float(np.log(good / (rows - good))), np.full(len(kept), 0.5), rng.normal(0, 0.02, (len(kept), FACTORS))
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     if isinstance(terms, pa.ChunkedArray):
         terms = terms.combine_chunks()
     off = terms.offsets.to_numpy()
-    return fit(y, terms.values.to_numpy().astype(np.int64)[off[0] : off[-1]], off - off[0])
+    return fit(y, terms.values.to_numpy()[off[0] : off[-1]], off - off[0])
 
 
 def toxicity(spark, machine: Machine):
