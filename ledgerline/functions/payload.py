@@ -8,6 +8,7 @@ JSON or no object, and a root array give an empty array.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -39,9 +40,18 @@ def _step(values: Column, segment: str) -> Column:
     return F.filter(found, lambda v: v.isNotNull())
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed once, however often it stands there: a lambda's variable is bound to it."""
+    return F.exists(F.array(value), use)
+
+
 def values_at(data: Column, path: str) -> Column:
     """array<variant>: what the path reaches in JSON text, elements of a last array each."""
-    root = F.try_parse_json(data)
+    return values_in(F.try_parse_json(data), path)
+
+
+def values_in(root: Column, path: str) -> Column:
+    """The same in a variant."""
     out = F.when(root.isNotNull() & _elements(root).isNull(), F.array(root))
     for segment in path.split("."):
         out = _step(out, segment)

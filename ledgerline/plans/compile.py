@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..condition import Compare, Condition, Every, Not, Some, Within
 from ..filter import DATA, Both, Capability, Either, Everything, Field, Filter, references_payload
-from ..functions.payload import false, matches, true, values_at
+from ..functions.payload import false, matches, once, true, values_in
 from ..model import ATTRIBUTES, DCB, time_parts
 
 LONGS = ("streamversion", "position")
@@ -86,16 +86,18 @@ class Compiler:
         match f:
             case Everything():
                 return true()
-            case Field(name, condition) if name.startswith(DATA):
-                return self.payload(name.removeprefix(DATA), condition)
-            case Field(name, condition):
+            case Field(name, condition) if not name.startswith(DATA):
                 return self.attribute(name, condition)
             case Capability(kind):
                 return F.col("dcbtags").isNotNull() if kind == DCB else F.col("dcbtags").isNull()
             case Both(parts):
-                return reduce(Column.__and__, map(self.column, sorted(parts, key=references_payload)))
-            case Either(parts):
+                inner = [p for p in parts if references_payload(p)]
+                outer = [self.column(p) for p in parts if not references_payload(p)]
+                return reduce(Column.__and__, outer + ([self.payload(inner)] if inner else []))
+            case Either(parts) if not references_payload(f):
                 return reduce(Column.__or__, map(self.column, parts))
+            case Field() | Either():
+                return self.payload([f])
         raise TypeError(f"no filter: {f!r}")
 
     def attribute(self, name: str, condition: Condition) -> Column:
@@ -109,12 +111,23 @@ class Compiler:
         offset = F.col("time_offset_s") if known == "time" and "time_offset_s" in self.columns else None
         return _attribute(known, F.col(known), condition, offset, self.exact)
 
-    def payload(self, path: str, condition: Condition) -> Column:
+    def payload(self, parts: list[Filter]) -> Column:
+        """All of the filters, on one parse of the payload."""
         data = F.col("data")
         if "datacontenttype" in self.columns:
             json = F.lower(F.col("datacontenttype")).rlike(r"^\s*(application|text)/([^;]*\+)?json\s*(;|$)")
             data = F.when(F.coalesce(json, true()), data)
-        return matches(values_at(data, path), condition, self.missing_ne)
+        return once(F.try_parse_json(data), lambda root: reduce(Column.__and__, (self._inner(p, root) for p in parts)))
+
+    def _inner(self, f: Filter, root: Column) -> Column:
+        match f:
+            case Field(name, condition) if name.startswith(DATA):
+                return once(values_in(root, name.removeprefix(DATA)), lambda values: matches(values, condition, self.missing_ne))
+            case Both(parts):
+                return reduce(Column.__and__, (self._inner(p, root) for p in parts))
+            case Either(parts):
+                return reduce(Column.__or__, (self._inner(p, root) for p in parts))
+        return self.column(f)
 
 
 def _has_range(c: Condition) -> bool:
