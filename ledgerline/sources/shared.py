@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -31,19 +33,37 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", codec).parquet(path)
+    _made[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
+#: Tables of this process that are still there.
+_made: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _made.pop(path, None)
+
+
+@atexit.register
+def _sweep() -> None:
+    """Results read these tables lazily, so the last of them go when the process ends."""
+    for path, spark in list(_made.items()):
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):
+                _delete(spark, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more."""
     for df in tables:
         path = getattr(df, "_written_at", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

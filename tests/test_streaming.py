@@ -17,7 +17,7 @@ from ledgerline.streaming.checkpoints import IF_ABSENT, AppliedAppends, Checkpoi
 from ledgerline.streaming.deadlines import Deadlines
 from ledgerline.streaming.position_source import register
 from ledgerline.streaming.saga_stream import run_stream
-from ledgerline.streaming.subscriptions import NOW, Outcome, PushFeed, RecentIds, Subscriptions, deduplicated, forward, kafka_rows
+from ledgerline.streaming.subscriptions import NOW, Outcome, PushFeed, RecentIds, Subscriptions, deduplicated, events_of_kafka, forward, kafka_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
@@ -130,6 +130,17 @@ def test_checkpoints(spark, tmp_path):
     assert [third(i) for i in range(6)] == [False, False, True] * 2
 
 
+def test_replays_and_sql_predicates(store, subs):
+    s, heard, got = subs(), [], []
+    s.subscribe("r", lambda df, n: got.extend(r.id for r in df.collect()), "position % 3 = 0", replay=heard.append)
+    s.run_available("r")
+    assert got == ["e3", "e6"] and heard == ["started", "completed"]
+    s.subscribe("c", lambda df, n: None, F.col("type") == "none", replay=heard.append)
+    s.run_available("c")
+    s.cancel("c")
+    assert heard == ["started", "completed", "started", "abandoned"]
+
+
 def test_push_feed():
     got = []
     feed = PushFeed(accepts=lambda e: e.get("type") != "no", buffer=2)
@@ -163,6 +174,8 @@ def test_forwarding(store):
     assert parked == [6]
     row = kafka_rows(store.log().where("id = 'e1'")).first()
     assert row.topic == "events.odd" and row.key == "a" and '"id":"e1"' in row.value and kafka_rows(store.log(), "t").first().topic == "t"
+    back = events_of_kafka(kafka_rows(store.log()).unionByName(kafka_rows(store.log()).limit(1).withColumn("value", F.lit("nope")))).collect()
+    assert sorted(r.id or "" for r in back) == ["", *(f"e{i}" for i in range(1, 7))] and {r.time for r in back if r.id == "e1"} == {datetime(2026, 1, 1, 1)}
     again = store.log().unionByName(store.log())
     assert deduplicated(again).count() == 6
 
