@@ -70,7 +70,8 @@ def canonical(text: Column) -> Column:
 
 
 def with_license(docs: DataFrame, text: str = "text", licenses: dict[str, str] | None = None) -> DataFrame:
-    """docs with license_digest and license_id, the latter null if no known licence has the digest."""
+    """docs with license_digest and license_id, the latter null if no known licence has the digest. Columns of these names are replaced."""
+    docs = docs.drop("license_digest", "license_id")
     known = docs.sparkSession.createDataFrame(list((licenses or LICENSES).items()), "license_id string, license_text string")
     known = known.select(F.sha2(canonical(F.col("license_text")), 256).alias("license_digest"), "license_id").groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
     return docs.withColumn("license_digest", F.sha2(canonical(F.col(f"`{text}`").cast("string")), 256)).join(F.broadcast(known), "license_digest", "left")

@@ -86,7 +86,7 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         """Of one run of the pattern, by the library's model."""
         if (ids := self.pieces.get(piece)) is None:
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.spelling)
+            shown = piece if piece.isascii() and piece != "\n" else piece.encode().decode("latin-1").translate(self.spelling)
             if len(self.pieces) > self.rest.limit:
                 self.pieces.clear()
             ids = self.pieces[piece] = array(self.code, [t.id for t in self.library.model.tokenize(shown.replace(" ", "\u0120"))]).tobytes()
@@ -100,6 +100,12 @@ class Encoder:
             if found := self.PLAIN.fullmatch(u):
                 word, marks = found.groups()
                 out.append(self._piece(" " + word) + self._piece(marks) if marks else self._piece(" " + word))
+            elif "\n" in u and all(lines := [self.PLAIN.fullmatch(x) for x in u.split("\n")]):
+                # single line ends between words are runs of their own
+                ids = [self._piece(" " + lines[0][1]), self._piece(lines[0][2])]
+                for line in lines[1:]:
+                    ids += (self._piece("\n"), self._piece(line[1]), self._piece(line[2]))
+                out.append(b"".join(ids))
             else:
                 if u and not u[0].isspace() and not u[-1].isspace():
                     odd.append(len(out))

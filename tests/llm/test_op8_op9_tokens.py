@@ -10,7 +10,7 @@ from ledgerline.llm import op8_records as rec
 from ledgerline.llm import op9_sentencepiece as piece
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-ODD = ["", " ", "  a", " a  b ", "a\n b", "x  \n\n y", "<|endoftext|> hi<|endoftext|>", "▁a ▁ b", "日本語 テスト", "\x00 a", "é" * 300, "a" * 500 + " b", "\t\tq  z", "1234 56 7", "don't I'll  we", "🎉🎉 x", "<s> </s> <unk> <0x41>", "²½ Ⅷ x", "  y \x1c z", "a\r\n", "ab" * 200, "x! ?y (z) a.b. c"]
+ODD = ["", " ", "  a", " a  b ", "a\n b", "q ab.\nCd, é!\nf g", "q ab\n\nCd", "x  \n\n y", "<|endoftext|> hi<|endoftext|>", "▁a ▁ b", "日本語 テスト", "\x00 a", "é" * 300, "a" * 500 + " b", "\t\tq  z", "1234 56 7", "don't I'll  we", "🎉🎉 x", "<s> </s> <unk> <0x41>", "²½ Ⅷ x", "  y \x1c z", "a\r\n", "ab" * 200, "x! ?y (z) a.b. c"]
 ODD += ["".join(random.Random(i).choice("ab éñ▁\n  .,1x🎉日'") for _ in range(i % 60)) for i in range(600)]
 
 
