@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+#: A writer creates a file within this time after its claim.
+CLAIM_SECONDS = 60
+
 
 class Folder:
     def __init__(self, spark: SparkSession, path: str):
@@ -24,24 +31,34 @@ class Folder:
         return max(found, default=None)
 
     def create(self, name: str, text: str) -> bool:
-        """Creates the file with its whole content, or returns False if it is there. The name is taken first, by a rename that fails on an existing one where the file system's create isn't exclusive and whole."""
-        if self.exists(name):
-            return False
-        import uuid
-
-        from py4j.protocol import Py4JJavaError
+        """Creates the file with its whole content, or returns False if it is there.
 
-        try:
-            claim = self.fs.create(self._path(f"{name}.claim"), False)
-        except Py4JJavaError:
+        The name is claimed first, by an empty file whose creation is exclusive on every file system; then the content, written under
+        another name, is renamed to it, so that no reader sees half a file. A claim that is left by a writer that died is dropped
+        after CLAIM_SECONDS.
+        """
+        if self.exists(name):
             return False
-        claim.close()
+        claim = self._path(f"{name}.claim")
+        if not self._claimed(claim):
+            if self.exists(name) or not self.fs.exists(claim) or time.time() - self.fs.getFileStatus(claim).getModificationTime() / 1000 < CLAIM_SECONDS:
+                return False
+            self.fs.delete(claim, False)
+            if not self._claimed(claim):
+                return False
         draft = self._path(f".{name}.{uuid.uuid4().hex}")
         out = self.fs.create(draft, False)
         out.write(bytearray(text.encode()))
         out.close()
         return bool(self.fs.rename(draft, self._path(name)))
 
+    def _claimed(self, claim) -> bool:
+        try:
+            self.fs.create(claim, False).close()
+        except Py4JJavaError:
+            return False
+        return True
+
     def replace(self, name: str, text: str) -> None:
         out = self.fs.create(self._path(name), True)
         out.write(bytearray(text.encode()))
