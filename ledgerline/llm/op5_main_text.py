@@ -43,28 +43,34 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "meter", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: Words of a class, id or role that mark a frame's elements.
 FRAME_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr "
+    "ad ads adv advert adverts advertisement advertising adsense adslot alert announcement banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr "
     "hidden login masthead menu menubar modal nav navbar navigation newsletter notice overlay pagination paywall popup promo promoted related reply replies respond search share sharing sidebar signup "
     "skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
 MAIN_WORDS = {"main", "article"}
+#: Beside these, a word of FRAME_WORDS tells what an element has or lacks, not what it is.
+ABOUT = {"has", "with", "no", "without", "is"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARKED = re.compile(r"\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """Whether an element's attributes make it a frame's, and whether its role makes it the main one."""
+def _marks(attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element's attributes make it a frame's (headers only outside of an article), and whether they make it the main one."""
     frame = main = False
     for name, a, b, c in _MARKED.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             frame = True
         elif name in ("class", "id", "role"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            frame |= bool(words & FRAME_WORDS) or (name == "role" and value in ("search", "banner"))
+            for part in value.split():
+                words = {w.lower() for w in _WORDS.findall(part)}
+                frame |= not words & ABOUT and bool(words & FRAME_WORDS or ("header" in words and not inside))
+            frame |= (name == "role" and value in ("search", "banner"))
             main |= name == "role" and value in MAIN_WORDS
+        elif name == "itemprop":
+            main |= value == "articleBody"
     return frame, main and not frame
 
 
@@ -111,7 +117,7 @@ def lines(html: str) -> list[tuple[str, bool, bool]]:
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == name:
             stack.pop()
             _, main, frame, silent = stack[-1]
-        marked, role = _marks(m[3]) if m[3] else (False, False)
+        marked, role = _marks(m[3], main) if m[3] else (False, False)
         if name in ("html", "body", "main", "article"):
             marked = False
         changed = (name in FRAME or marked or (name == "header" and not main)) and not frame

@@ -85,6 +85,11 @@ def test_frames_go_and_articles_stay():
     assert page.main_text(page.lines(html), []) == "T & t\nOne two\nx y\nthree\nfour five six"
 
 
+def test_marks_of_elements():
+    html = '<div class="page-header">Site</div><div class="layout has-sidebar no-ads"><div itemprop="articleBody"><div class="article-header">Title</div><p>Body</p></div><div id="rightSidebar">x</div></div>'
+    assert page.main_text(page.lines(html), []) == "Title\nBody"
+
+
 def test_pages_without_an_article_lose_shared_lines(spark):
     def html(body):
         return f"<html><body><div>Site name</div><div>Menu one</div>{body}<div>All rights</div></body></html>"
