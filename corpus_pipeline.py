@@ -41,8 +41,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the piece ids of the text, and the digests of the ids and of what they decode to."""
     reachable(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
-    out = op9_sentencepiece.with_digests(op9_sentencepiece.with_ids(docs.select("doc_id", "text"), path, "ids"), path, "p")
-    return out.select("doc_id", "ids", "p.n_tokens", "p.ids_sha256", "p.decoded_sha256")
+    out = op9_sentencepiece.with_digests(docs.select("doc_id", "text"), path, "p", ids=True)
+    return out.select("doc_id", "p.ids", "p.n_tokens", "p.ids_sha256", "p.decoded_sha256")
 
 
 STAGES = [

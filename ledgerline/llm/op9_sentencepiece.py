@@ -29,6 +29,8 @@ MARK = "▁"
 LONG = 64
 #: Symbol of a character that is no piece: this and its code point.
 _OTHER = 1 << 20
+#: Words remembered by one Python worker.
+REMEMBERED_WORDS = 250_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -56,7 +58,7 @@ class PieceEncoder:
         found = sorted({(a << 32 | b, rank[i], i) for p, i in pieces.items() for k in range(1, len(p)) if (a := symbol(p[:k])) is not None and (b := symbol(p[k:])) is not None})
         self.pairs, self.ranks, self.merged = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
         self.lookup = {k: (r, i) for k, r, i in found}
-        self.ids, self.digits = Remembered(self._encode_words), {}
+        self.ids = Remembered(self._encode_words, REMEMBERED_WORDS)
         self.written = [b"%d," % i for i in range(size)]
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -169,21 +171,19 @@ class PieceEncoder:
             return [w[1:] for w in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
         return cut
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Of each text the ids as 32-bit numbers, and their decimal digits with a comma after each."""
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
         cut = [self._words(t) for t in texts]
-        if len(self.digits) > self.ids.limit:
-            self.digits.clear()
-            self.ids.values.clear()
         self.ids.learn(cut)
-        ids, digits, written = self.ids.values, self.digits, self.written
-        if len(digits) < len(ids):
-            for w in ids.keys() - digits.keys():
-                digits[w] = b"".join([written[i] for i in memoryview(ids[w]).cast("I")])
-        return [(b"".join(map(ids.__getitem__, c)), b"".join(map(digits.__getitem__, c))) for c in cut]
+        known = self.ids.values.__getitem__
+        return [np.frombuffer(b"".join(map(known, c)), dtype="<u4").tolist() for c in cut]
 
-    def decode(self, ids: bytes) -> str:
-        return self.library.decode(np.frombuffer(ids, dtype="<u4").tolist()) if ids else ""
+    def digits(self, ids: list[int]) -> bytes:
+        """The ids in decimal, with commas between."""
+        return b"".join([self.written[i] for i in ids])[:-1]
+
+    def decode(self, ids: list[int]) -> str:
+        return self.library.decode(ids) if ids else ""
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -198,16 +198,21 @@ def piece_encoder(path: str) -> PieceEncoder:
 _DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _digests(path: str):
+def _digests(path: str, with_ids: bool):
     def run(col: pa.Array) -> pa.Array:
         enc = piece_encoder(path)
-        n, ids_sha, text_sha = [], [], []
+        n, ids_sha, text_sha, kept = [], [], [], []
         for i in range(0, len(col), 256):
-            for ids, digits in enc.encode([t or "" for t in col.slice(i, 256).to_pylist()]):
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(memoryview(digits)[:-1] if digits else b"").hexdigest())
+            for ids in enc.encode([t or "" for t in col.slice(i, 256).to_pylist()]):
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(enc.digits(ids)).hexdigest())
                 text_sha.append(hashlib.sha256(enc.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    kept.append(np.array(ids, dtype=np.int32))
+        columns = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+        if with_ids:
+            columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
+        return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -218,7 +223,7 @@ def with_ids(docs: DataFrame, path: str, name: str = "piece_ids", text: str = "t
     def run(col: pa.Array) -> pa.Array:
         enc, out = piece_encoder(path), []
         for i in range(0, len(col), 256):
-            out += [np.frombuffer(ids, dtype="<u4").astype(np.int32) for ids, _ in enc.encode([t or "" for t in col.slice(i, 256).to_pylist()])]
+            out += [np.array(ids, dtype=np.int32) for ids in enc.encode([t or "" for t in col.slice(i, 256).to_pylist()])]
         return pa.array(out, pa.list_(pa.int32()))
 
     return docs.withColumn(name, F.arrow_udf(run, "array<int>")(F.col(f"`{text}`")))
@@ -234,9 +239,9 @@ def decoded(docs: DataFrame, path: str, ids: str = "piece_ids", name: str = "dec
     return docs.withColumn(name, F.arrow_udf(run, "string")(F.col(f"`{ids}`")))
 
 
-def with_digests(docs: DataFrame, path: str, name: str = "pieces", text: str = "text") -> DataFrame:
-    """docs with a struct column called name: n_tokens, ids_sha256 and decoded_sha256 of the ids and of what they decode to."""
-    return docs.withColumn(name, F.arrow_udf(_digests(path), _DIGEST)(F.col(f"`{text}`")))
+def with_digests(docs: DataFrame, path: str, name: str = "pieces", text: str = "text", ids: bool = False) -> DataFrame:
+    """docs with a struct column called name: n_tokens, ids_sha256 and decoded_sha256 of the ids and of what they decode to, and the ids if asked for."""
+    return docs.withColumn(name, F.arrow_udf(_digests(path, ids), _DIGEST + ", ids array<int>" * ids)(F.col(f"`{text}`")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
