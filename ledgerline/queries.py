@@ -330,9 +330,9 @@ def dcb_tag_codec(spark, d):
     return own.withColumn("n", F.size(dcb.decoded_tags(F.col("encoded"))).cast("long"))
 
 
-@query("SELECT position, list_sort(['person:' || subject, 'what:' || type]) AS tags FROM log WHERE position <= 500")
+@query("SELECT position, array_to_string(list_sort(['person:' || subject, 'what:' || type]), ',') AS tags FROM log WHERE position <= 500")
 def dcb_generated_tags(spark, d):
-    return event_log(spark, d, False).where("position <= 500").select("position", dcb.tags_of({"subject": "person", "type": "what"}).alias("tags"))
+    return event_log(spark, d, False).where("position <= 500").select("position", F.array_join(dcb.tags_of({"subject": "person", "type": "what"}), ",").alias("tags"))
 
 
 @query("SELECT streamid, NOT EXISTS (SELECT 1 FROM log l WHERE l.type = 'purchase' AND list_contains(l.dcbtags, 'user:' || substr(s.streamid, 6)) AND l.position > 5000) AS may_append FROM (SELECT DISTINCT streamid FROM log) s")
