@@ -112,12 +112,12 @@ class Compiler:
         return _attribute(known, F.col(known), condition, offset, self.exact)
 
     def payload(self, parts: list[Filter]) -> Column:
-        """All of the filters, on one parse of the payload."""
-        data = F.col("data")
+        """All of the filters, on one parse of the payload, or on a variant column data_v if the log has it."""
+        parsed = F.col("data_v") if "data_v" in self.columns else F.try_parse_json("data")
         if "datacontenttype" in self.columns:
             json = F.lower(F.col("datacontenttype")).rlike(r"^\s*(application|text)/([^;]*\+)?json\s*(;|$)")
-            data = F.when(F.coalesce(json, true()), data)
-        return once(F.try_parse_json(data), lambda root: reduce(Column.__and__, (self._inner(p, root) for p in parts)))
+            parsed = F.when(F.coalesce(json, true()), parsed)
+        return once(parsed, lambda root: reduce(Column.__and__, (self._inner(p, root) for p in parts)))
 
     def _inner(self, f: Filter, root: Column) -> Column:
         match f:

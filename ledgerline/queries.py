@@ -145,7 +145,7 @@ def filter_payload_missing_ne(spark, d):
 
 
 def _nested(spark, d) -> DataFrame:
-    return event_log(spark, d, versions=False).withColumn("data", F.to_json(F.struct(F.array(F.struct(F.col("k").alias("sku")), F.struct((F.col("k") + 1).alias("sku"))).alias("items"), F.struct(F.col("type").alias("kind")).alias("of"))))
+    return event_log(spark, d, versions=False).drop("data_v").withColumn("data", F.to_json(F.struct(F.array(F.struct(F.col("k").alias("sku")), F.struct((F.col("k") + 1).alias("sku"))).alias("items"), F.struct(F.col("type").alias("kind")).alias("of"))))
 
 
 @query(f"SELECT {IDS} FROM log WHERE (k = 10 OR k + 1 = 10) AND type = 'view'")

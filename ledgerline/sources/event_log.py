@@ -18,6 +18,7 @@ def event_log(spark: SparkSession, sf_dir: str, versions: bool = True) -> DataFr
 
 def as_log(events: DataFrame, versions: bool = True) -> DataFrame:
     k = F.get_json_object("props", "$.k").try_cast("long")
+    payload = F.struct(F.col("value").alias("value"), k.alias("k"))
     tags = F.array_sort(F.array(F.concat(F.lit("user:"), F.col("user_id")), F.concat(F.lit("k:"), (k % 10).cast("string"))))
     log = events.select(
         F.col("event_id").cast("string").alias("id"),
@@ -27,7 +28,8 @@ def as_log(events: DataFrame, versions: bool = True) -> DataFrame:
         F.col("user_id").cast("string").alias("subject"),
         F.col("ts").alias("time"),
         F.lit("application/json").alias("datacontenttype"),
-        F.to_json(F.struct(F.col("value").alias("value"), k.alias("k"))).alias("data"),
+        F.to_json(payload).alias("data"),
+        F.to_variant_object(payload).alias("data_v"),
         F.concat(F.lit("user-"), F.col("user_id")).alias("streamid"),
         (F.col("event_id") + 1).alias("position"),
         F.when(F.col("event_type").isin(*TAGGED), tags).alias("dcbtags"),
