@@ -10,8 +10,10 @@ recordings are joined with all recordings', each match votes for an offset, vote
 and the offset with most votes is kept (the least offset of several). The bits that differ over the overlap at that offset give
 the error of the pair; pairs up to MAX_ERROR are matches.
 
-A null or empty recording, and one shorter than the filters' window, has no codes and no matches. A key in one class several
-times votes for several offsets; only distinct (key, place) are joined, nothing is capped. Null and repeated ids are rows of their own.
+A null or empty recording, and one shorter than the filters' window, has no codes and no matches. A key in one
+class several times votes for several offsets; nothing is capped. Copies are one class, named by its smallest id, and matched
+once. Ids should be unique: different recordings of one id are aligned together. A recording without an id is no class and no
+match.
 """
 
 from __future__ import annotations
