@@ -1,14 +1,15 @@
 """Main text of web pages by differencing each page with the nearest URL of its host.
 
 A page is read to lines, the texts of its blocks, each with what stands around it: inside the article, or inside something that is
-never main text (by element, or by a word of its class, id or role). Pages of a host and folder are sorted by path; a page's
+never main text (by element, or by a word of its class, id or role). Pages of a host are sorted by path; a page's
 lines are aligned with those of its neighbours in that order by longest common subsequence, and shared lines are deleted: what
 a site's pages have in common is its frame. Lines inside an article are kept though shared, as passages are quoted and copied;
 so are those of a page whose neighbour shares nearly everything, a copy: the next neighbour is taken instead. Then, of a page
 with an article, lines outside go; lines inside a frame's elements always go.
 
-Folders of more than GROUP_PAGES pages are dealt, by hash of the path, over groups of about that many, and neighbours are found
-within a group; groups don't depend on partitions. A null URL is an empty one, and such pages are one host.
+Pages are dealt by ranges of host and path, and the pages at a range's borders are lent to the next ranges: a page's neighbours are
+those before and after it among all of its host's, however many ranges there are. Only those two are tried: a page between copies
+on both sides keeps what it shares. A null URL is an empty one, and such pages are one host.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one newline. A null or
 empty page has an empty text. Repeated page ids are pages of their own.
@@ -22,11 +23,12 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts, small
+from .shared import parts
 
+#: Pages a range has about, if there are fewer ranges than partitions.
 GROUP_PAGES = 1000
 #: A neighbour that shares this share of the lines is a copy.
 COPY = 0.9
@@ -180,15 +182,15 @@ def main_text(page: list[tuple[str, bool, bool]], neighbours: list[list[tuple[st
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by group and path: group, page_id, url, html."""
-    before = None  # lines of the page before the last one, if in its group
-    last = None  # group, page_id, url, lines
+    """Over rows sorted by bucket, host and path: bucket, host, lent, page_id, url, html. A lent page is another bucket's and only a neighbour."""
+    before = None  # lines of the page before the last one, if of its bucket and host
+    last = None  # bucket and host, lent, page_id, url, lines
     done: list[tuple] = []
 
     def settle(after) -> None:
-        if last is not None:
-            text = main_text(last[3], [x for x in (before, after) if x is not None])
-            done.append((last[1], last[2], text))
+        if last is not None and not last[1]:
+            text = main_text(last[4], [x for x in (before, after) if x is not None])
+            done.append((last[2], last[3], text))
 
     def batch_of() -> pa.RecordBatch:
         rows = list(zip(*done, strict=True)) if done else [(), (), ()]
@@ -197,30 +199,66 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for group, page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for bucket, host, lent, page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
             now = lines(html or "")
-            same = last is not None and last[0] == group
+            same = last is not None and last[0] == (bucket, host)
             settle(now if same else None)
-            before = last[3] if same else None
-            last = (group, page_id, url, now)
+            before = last[4] if same else None
+            last = ((bucket, host), lent, page_id, url, now)
             if len(done) >= 1000:
                 yield batch_of()
     settle(None)
     yield batch_of()
 
 
+KEY = ["host", "path", "page_id", "url"]
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and the last row, of sorted ones."""
+    first = last = None
+    for batch in batches:
+        if batch.num_rows:
+            first = first or batch.slice(0, 1)
+            last = batch.slice(batch.num_rows - 1, 1)
+    if first:
+        yield first
+        yield last
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every page (columns page_id, url, html)."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     bare = F.regexp_replace(F.coalesce("url", F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     path = F.regexp_replace(F.regexp_replace(bare, "[?#].*$", ""), "^[^/]*", "")
-    own = own.withColumn("host", F.lower(F.regexp_extract(bare, "^[^/?#]*", 0))).withColumn("folder", F.regexp_replace(path, "[^/]*/?$", "")).withColumn("path", path)
-    often = own.groupBy("host", "folder").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("groups")).where("groups > 1")
-    own = own.join(small(often), ["host", "folder"], "left")
-    group = F.xxhash64("host", "folder", F.pmod(F.xxhash64("path"), F.coalesce("groups", F.lit(1))))
-    own = own.select(group.alias("g"), "host", "path", "page_id", "url", "html")
-    dealt = own.repartition(parts(pages.sparkSession), "g").sortWithinPartitions("g", "host", "path", "page_id", "url")
-    return dealt.select("g", "page_id", "url", "html").mapInArrow(_texts, "page_id long, url string, text string")
+    own = own.withColumn("host", F.lower(F.regexp_extract(bare, "^[^/?#]*", 0))).withColumn("path", path)
+    most = parts(pages.sparkSession)
+    n = max(1, min(most, -(-own.count() // GROUP_PAGES)))
+    schema = "host string, path string, page_id long, url string"
+    ends = own.select(*KEY).repartitionByRange(n, *KEY).sortWithinPartitions(*KEY).mapInArrow(_ends, schema)
+    ends = [tuple(r) for r in ends.select(F.spark_partition_id(), *KEY).collect()]
+    by_bucket: dict[int, list[tuple]] = {}
+    for p, *key in ends:
+        by_bucket.setdefault(p, []).append(tuple(key))
+    buckets = [(k[0], k[-1]) for _, k in sorted(by_bucket.items())]
+
+    def literal(key: tuple) -> Column:
+        return F.struct(*(F.lit(x).cast(t).alias(c) for c, x, t in zip(KEY, key, ("string", "string", "long", "string"), strict=True)))
+
+    key = F.struct(*KEY)
+    # The bucket of a page, and those that it is lent to: of the pages at a border, each bucket gets the other's.
+    bucket = F.size(F.filter(F.array(*(literal(first) for first, _ in buckets[1:])), lambda x: x <= key)) if len(buckets) > 1 else F.lit(0)
+    own = own.withColumn("b", bucket)
+    firsts = F.array(*(literal(first) for first, _ in buckets)) if buckets else None
+    lasts = F.array(*(literal(last) for _, last in buckets)) if buckets else None
+    to = [F.struct(F.col("b"), F.lit(False).alias("lent"))]
+    if len(buckets) > 1:
+        none = F.lit(None).cast("struct<b:int,lent:boolean>")
+        to.append(F.when((F.col("b") > 0) & key.eqNullSafe(F.get(firsts, F.col("b"))), F.struct((F.col("b") - 1).alias("b"), F.lit(True).alias("lent"))).otherwise(none))
+        to.append(F.when((F.col("b") < len(buckets) - 1) & key.eqNullSafe(F.get(lasts, F.col("b"))), F.struct((F.col("b") + 1).alias("b"), F.lit(True).alias("lent"))).otherwise(none))
+    own = own.withColumn("to", F.explode(F.array_compact(F.array(*to)))).select(F.col("to.b").alias("b"), F.col("to.lent").alias("lent"), *KEY, "html")
+    dealt = own.repartitionById(n, "b").sortWithinPartitions("b", *KEY, "html")
+    return dealt.select("b", "host", "lent", "page_id", "url", "html").mapInArrow(_texts, "page_id long, url string, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

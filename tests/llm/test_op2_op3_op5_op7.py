@@ -108,6 +108,17 @@ def test_groups_are_bounded(spark, monkeypatch):
     assert got == [(i, f"t{i}") for i in range(40)]
 
 
+def test_neighbours_are_the_hosts_nearest_whatever_the_folder_and_range(spark, monkeypatch):
+    monkeypatch.setattr(page, "GROUP_PAGES", 3)
+    rows = [(i, f"http://h/a/{i:03}/index.html", f"<div>Shared {i // 2}</div><div>Own {i}</div><div>Shared {(i + 1) // 2}</div>") for i in range(41)]
+    rows += [(100 + i, None, f"<p>Frame<p>t{i}<p>u{i}") for i in range(3)]
+    got = sorted((r.page_id, r.text) for r in page.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect())
+    pages = [page.lines(r[2]) for r in rows]
+    host = [range(41), range(41, 44)]
+    want = [(rows[i][0], page.main_text(pages[i], [pages[k] for k in (i - 1, i + 1) if k in h])) for h in host for i in h]
+    assert got == want and got[3][1] == "Own 3\nShared 2" and got[-1][1] == "t2\nu2"
+
+
 # --- chat ------------------------------------------------------------------------------------------------------------------
 TURNS = "conv_id long, turn long, role string, text string, kind string"
 
