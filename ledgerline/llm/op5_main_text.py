@@ -4,8 +4,8 @@ A page is read to lines, the texts of its blocks, each with what stands around i
 never main text (by element, or by a word of its class, id or role). Pages of a host are sorted by path; a page's
 lines are aligned with those of its neighbours in that order by longest common subsequence, and shared lines are deleted: what
 a site's pages have in common is its frame. Lines inside an article are kept though shared, as passages are quoted and copied;
-so are those of a page whose neighbour shares nearly everything, a copy: the next neighbour is taken instead. Then, of a page
-with an article, lines outside go; lines inside a frame's elements always go.
+so are those of a page whose neighbour shares nearly everything, a copy: the next neighbour is taken instead. Lines outside of an
+article, on pages with and without one, are kept unless shared; lines inside a frame's elements always go.
 
 Pages are dealt by ranges of host and path, and the pages at a range's borders are lent to the next ranges: a page's neighbours are
 those before and after it among all of its host's, however many ranges there are. Only those two are tried: a page between copies
@@ -177,8 +177,7 @@ def main_text(page: list[tuple[str, bool, bool]], neighbours: list[list[tuple[st
         if len(common) < COPY * len(own):
             gone = common
             break
-    article = any(x[1] and not x[2] for x in page)
-    return "\n".join(said for i, (said, inside, frame) in enumerate(page) if not frame and (inside or (i not in gone and not article)))
+    return "\n".join(said for i, (said, inside, frame) in enumerate(page) if not frame and (inside or i not in gone))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

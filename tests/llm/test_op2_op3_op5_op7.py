@@ -101,6 +101,13 @@ def test_pages_without_an_article_lose_shared_lines(spark):
     assert page.extract(frame.limit(0)).count() == 0
 
 
+def test_differencing_decides_on_pages_with_an_article():
+    def lines(title, body):
+        return page.lines(f"<div>Site name</div><h1>{title}</h1><article><p>{body}<p>Quoted</article><div>All rights</div>")
+
+    assert page.main_text(lines("Title", "text"), [lines("Other", "else")]) == "Title\ntext\nQuoted"
+
+
 def test_groups_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(page, "GROUP_PAGES", 4)
     rows = [(i, f"http://h/{i}", f"<div>Frame</div><article><p>t{i}</p></article>") for i in range(40)]
