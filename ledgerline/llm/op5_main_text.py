@@ -22,6 +22,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,10 @@ from .shared import parts
 GROUP_PAGES = 1000
 #: A neighbour that shares this share of the lines is a copy.
 COPY = 0.9
-#: Pairs of equal lines up to which an alignment is exact; beyond it, lines that are repeated in either page pair in order.
+#: Pairs of equal lines up to which they are gone through one by one; beyond it, an alignment is split in halves (Hirschberg).
 MATCHES = 2_000_000
+#: Of the places of repeated lines that are kept meanwhile.
+MASK_BYTES = 64 << 20
 
 #: Elements whose text is none of the page's.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "head", "title", "select", "textarea", "button"}
@@ -133,38 +136,66 @@ def lines(html: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """The length of a longest common subsequence of a and each beginning of b, by bits of one integer."""
+    n = len(b)
+    where: dict[str, list[int]] = {}
+    for k, x in enumerate(b):
+        where.setdefault(x, []).append(k)
+
+    def mask(x: str) -> int:
+        bits = np.zeros(n, dtype=np.uint8)
+        bits[where[x]] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    often = sorted((x for x in set(a) if x in where), key=lambda x: -len(where[x]))
+    masks = {x: mask(x) for x in often[: 1 + 8 * MASK_BYTES // (n + 1)]}
+    full = (1 << n) - 1
+    v = full
+    for x in a:
+        if x in where:
+            u = v & (masks[x] if x in masks else mask(x))
+            v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(n // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[:n]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
     """Places in a of a longest common subsequence of a and b."""
-    lo = 0
-    while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
-        lo += 1
-    i, j = len(a), len(b)
-    while i > lo and j > lo and a[i - 1] == b[j - 1]:
-        i, j = i - 1, j - 1
-    found = set(range(lo)) | set(range(i, len(a)))
-    where: dict[str, list[int]] = {}
-    for k in range(lo, j):
-        where.setdefault(b[k], []).append(k)
-    if sum(len(where.get(x, ())) for x in a[lo:i]) > MATCHES:
-        left = {x: iter(v) for x, v in where.items()}
-        pairs = [(k, [n]) for k in range(lo, i) if (n := next(left.get(a[k], iter(())), None)) is not None]
-    else:
-        pairs = [(k, where.get(a[k], ())) for k in range(lo, i)]
-    tails: list[int] = []  # of the runs of each length, the least end in b
-    links: list[tuple[int, tuple | None]] = []
-    for k, places in pairs:
-        for n in reversed(places):
-            r = bisect_left(tails, n)
-            link = (k, links[r - 1] if r else None)
-            if r == len(tails):
-                tails.append(n)
-                links.append(link)
-            else:
-                tails[r], links[r] = n, link
-    link = links[-1] if links else None
-    while link:
-        found.add(link[0])
-        link = link[1]
+    found: set[int] = set()
+    left = [(0, len(a), 0, len(b))]
+    while left:
+        lo, i, at, j = left.pop()
+        while lo < i and at < j and a[lo] == b[at]:
+            found.add(lo)
+            lo, at = lo + 1, at + 1
+        while i > lo and j > at and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            found.add(i)
+        where: dict[str, list[int]] = {}
+        for k in range(at, j):
+            where.setdefault(b[k], []).append(k)
+        if i - lo > 1 and sum(len(where.get(x, ())) for x in a[lo:i]) > MATCHES:
+            half = (lo + i) // 2
+            total = _lengths(a[lo:half], b[at:j]) + _lengths(a[half:i][::-1], b[at:j][::-1])[::-1]
+            cut = at + int(total.argmax())
+            left += [(lo, half, at, cut), (half, i, cut, j)]
+            continue
+        tails: list[int] = []  # of the runs of each length, the least end in b
+        links: list[tuple[int, tuple | None]] = []
+        for k in range(lo, i):
+            for n in reversed(where.get(a[k], ())):
+                r = bisect_left(tails, n)
+                link = (k, links[r - 1] if r else None)
+                if r == len(tails):
+                    tails.append(n)
+                    links.append(link)
+                else:
+                    tails[r], links[r] = n, link
+        link = links[-1] if links else None
+        while link:
+            found.add(link[0])
+            link = link[1]
     return found
 
 

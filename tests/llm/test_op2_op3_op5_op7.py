@@ -78,6 +78,13 @@ def test_shared_lines_is_a_longest_common_subsequence():
         assert all(a[i] in it for i in got)
 
 
+def test_shared_lines_are_longest_beyond_any_number_of_matches(monkeypatch):
+    monkeypatch.setattr(page, "MATCHES", 3)
+    test_shared_lines_is_a_longest_common_subsequence()
+    monkeypatch.setattr(page, "MASK_BYTES", 0, raising=False)
+    test_shared_lines_is_a_longest_common_subsequence()
+
+
 def test_frames_go_and_articles_stay():
     html = """<html><head><title>x</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav>a<li>b</nav><div class="cookie-notice">ok?</div>
     <article><h1>T &amp; t</h1><p><b>One  two<br>x &nbsp;y<p>three<div class='ad-slot'>BUY</div><p>four <i>five</i> s<b>i</b>x<form>sub</form><script>var a="</p>";</script>
