@@ -1,13 +1,14 @@
 """Flow sagas: ordered steps that wait for conditions on the events received, with branches and timeouts.
 
-A flow is a Saga whose state is {step, events, entered}: the current step, the window of received events (the first one stays when
-the window drops others), and the place in it where the step began. Of a step's branches, the first in order of declaration whose
-condition holds is taken.
+A flow is a Saga whose state is {step, events, entered, counts}: the current step, the window of received events (the first one stays
+when the window drops others), the place in it where the step began, and how many events of the step each of its requirements has
+had. Conditions hold by these counts, so the window limits what guards and commands can read, not what is counted. Of a step's
+branches, the first in order of declaration whose condition holds is taken.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from .saga import CancelTimer, Command, Saga, StartTimer, Timeout
@@ -28,8 +29,12 @@ class Needs:
         if self.count < 1:
             raise ValueError("one event at least")
 
-    def met(self, events: list[dict]) -> bool:
-        return sum(e["type"] == self.type and (self.predicate is None or self.predicate(e)) for e in events) >= self.count
+    def counts(self, e: dict) -> bool:
+        return e["type"] == self.type and (self.predicate is None or self.predicate(e))
+
+    def met(self, counts: Iterator[int]) -> bool:
+        """Whether the next count, that of this leaf, is enough."""
+        return next(counts) >= self.count
 
     def leaves(self) -> list[Needs]:
         return [self]
@@ -39,8 +44,8 @@ class Needs:
 class AllOf:
     parts: tuple
 
-    def met(self, events: list[dict]) -> bool:
-        return all(p.met(events) for p in self.parts)
+    def met(self, counts: Iterator[int]) -> bool:
+        return all([p.met(counts) for p in self.parts])  # every part takes its counts
 
     def leaves(self) -> list[Needs]:
         return [x for p in self.parts for x in p.leaves()]
@@ -50,8 +55,8 @@ class AllOf:
 class AnyOf:
     parts: tuple
 
-    def met(self, events: list[dict]) -> bool:
-        return any(p.met(events) for p in self.parts)
+    def met(self, counts: Iterator[int]) -> bool:
+        return any([p.met(counts) for p in self.parts])
 
     def leaves(self) -> list[Needs]:
         return [x for p in self.parts for x in p.leaves()]
@@ -152,14 +157,27 @@ def flow(name: str, starts_on: str, steps: list[Step], history: int = HISTORY, k
         s = steps[order[state["step"]]]
         if isinstance(given, Timeout):
             return (s, s.on_timeout or Branch(None, END)) if given.name == timer(s.name) else None
-        since, received = state["events"][state["entered"] :], Received(state["events"])
-        return next(((s, b) for b in s.branches if b.when.met(since) and b.guard(received)), None)
+        counts, received = iter(state["counts"]), Received(state["events"])
+        met = [b.when.met(counts) for b in s.branches]
+        return next(((s, b) for b, m in zip(s.branches, met, strict=True) if m and b.guard(received)), None)
+
+    def counted(state: dict, e: dict) -> list[int]:
+        """The step's counts with a new event; those of a state that has none, or others than the step's, from its window."""
+        if state["step"] == END:
+            return []
+        leaves = [x for b in steps[order[state["step"]]].branches for x in b.when.leaves()]
+        kept = state.get("counts")
+        if kept is None or len(kept) != len(leaves):
+            kept = [sum(x.counts(o) for o in state["events"][state["entered"] : -1]) for x in leaves]
+        return [n + x.counts(e) for n, x in zip(kept, leaves, strict=True)]
 
     def evolve(state: dict, given) -> dict:
         state = {**state, "events": list(state["events"]), "moved": None}
         if isinstance(given, dict):
             state["events"].append({k: given.get(k) for k in dict.fromkeys(("type", *keep))})
             first = len(state["events"]) == 1
+            if not first:
+                state["counts"] = counted(state, state["events"][-1])
             if (drop := len(state["events"]) - history) > 0:
                 del state["events"][1 : 1 + drop]
                 state["entered"] = max(1, state["entered"] - drop)
@@ -169,7 +187,7 @@ def flow(name: str, starts_on: str, steps: list[Step], history: int = HISTORY, k
         found = taken(state, given)
         if found:
             s, b = found
-            state |= {"step": after(s, b), "entered": len(state["events"]), "moved": [s.name, s.branches.index(b) if b in s.branches else -1]}
+            state |= {"step": after(s, b), "entered": len(state["events"]), "counts": None, "moved": [s.name, s.branches.index(b) if b in s.branches else -1]}
         return state
 
     def react(state: dict, given) -> list:
@@ -191,7 +209,7 @@ def flow(name: str, starts_on: str, steps: list[Step], history: int = HISTORY, k
     types = frozenset(x.type for s in steps for b in s.branches for x in b.when.leaves())
     return Saga(
         name,
-        lambda: {"step": steps[0].name, "events": [], "entered": 0, "moved": None},
+        lambda: {"step": steps[0].name, "events": [], "entered": 0, "counts": None, "moved": None},
         frozenset((starts_on,)),
         evolve,
         react,

@@ -556,7 +556,6 @@ def _three_views() -> saga.Saga:
             flow.Step("look", (flow.Branch(flow.all_of(flow.event("view", 3), flow.event("click", 2)), commands=lambda r: ["looked"]),)),
             flow.Step("buy", (flow.Branch(flow.event("purchase"), flow.END, lambda r: ["bought"]), flow.Branch(flow.event("error"), flow.END, lambda r: ["failed"]))),
         ],
-        history=10_000,
     )
 
 

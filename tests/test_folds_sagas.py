@@ -203,6 +203,17 @@ def test_flow_window_and_checks():
     assert len(flow.all_of(flow.event("a"), flow.all_of(flow.event("b"), flow.event("c"))).parts) == 3
 
 
+def test_flow_conditions_count_beyond_the_window():
+    views = [ev(2 + i, "view") for i in range(3)]
+    look = flow.Step("look", (flow.Branch(flow.all_of(flow.event("view", 3), flow.event("click", 2)), flow.END, lambda r: ["looked"]), flow.Branch(flow.event("x", 150), flow.END, lambda r: ["many"])))
+    noise = [ev(10 + i, "x") for i in range(149)]
+    own = flow.flow("c", "start", [look])
+    kept, made = replay(own, [ev(1, "start"), *views, *noise, ev(200, "click"), ev(201, "click")], 0, lambda e: e["t"])
+    assert bodies(made) == ["looked"] and kept.status == saga.COMPLETED
+    kept, made = replay(own, [ev(1, "start"), *noise, ev(200, "x")], 0, lambda e: e["t"])
+    assert bodies(made) == ["many"] and len(kept.state["events"]) == flow.HISTORY
+
+
 def test_retry():
     slept, tried = [], []
 
