@@ -2,13 +2,17 @@
 
 A text is normalised: lower case, copyright lines out, equivalent spellings made one, runs of punctuation, signs and white space
 made one space. Its SHA-256 is looked up among those of the known licences, which were normalised the same way. The known ones
-are the few of LICENSES, so their table is broadcast.
+are LICENSES, those below and those of licenses.json: entire texts by their SPDX id, as they are published and, as -terms, up to the
+end of the terms; standard notices; lines. Their table is broadcast.
 
 A null or empty text has the digest of an empty one, which is no licence's. Copies give a row each.
 """
 
 from __future__ import annotations
 
+import json
+import pkgutil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +62,7 @@ http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "MIT-line": "Released under the MIT License.",
-}
+} | json.loads(pkgutil.get_data(__package__, "licenses.json"))
 
 
 def canonical(text: Column) -> Column:

@@ -59,6 +59,15 @@ def test_licenses_match_whatever_their_dress(docs):
     assert lic.with_license(docs([])).count() == 0
 
 
+def test_common_licenses_are_known(docs):
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "BSL-1.0", "AGPL-3.0-or-later-notice", "CC-BY-4.0-notice"]
+    texts = [lic.LICENSES[n].upper().replace("\n", "\r\n ") for n in names]
+    texts += ["This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0."]
+    texts += [lic.LICENSES["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 A. Nother")]
+    got = {r.doc_id: r.license_id for r in lic.with_license(docs(texts)).collect()}
+    assert got == dict(enumerate([*names, "GPL-3.0-line", "CC-BY-NC-4.0-line", "Apache-2.0-filled"]))
+
+
 # --- pages -----------------------------------------------------------------------------------------------------------------
 def lcs(a, b):
     d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
