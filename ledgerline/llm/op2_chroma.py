@@ -5,13 +5,12 @@ smoothed and normalised; an integral image over (frame, pitch class) gives every
 compare such sums in a window that slides over the frames. Each filter's value is quantised to two bits (Gray code), and the
 bits of all sixteen are packed to one 32-bit integer per frame.
 
-Alignment: recordings of one fingerprint are one class. Codes of two places, GAP frames apart, are a key; the keys of the query
-recordings are joined with all recordings', each match votes for an offset, votes are counted in a histogram per pair of classes,
-and the offset with most votes is kept (the least offset of several). The bits that differ over the overlap at that offset give
-the error of the pair; pairs up to MAX_ERROR are matches.
+Alignment: recordings of one fingerprint are one class. Every query class is aligned with every class at every offset with an overlap of
+LEAST_OVERLAP codes: the bits that agree less those that differ, over all offsets at once, are a correlation, taken by Fourier
+transforms. Of the offsets with a bit error up to MAX_ERROR, the one with the highest such figure is kept (the least offset of
+several), and the pair is a match. Votes are the places where two codes, GAP apart, are equal at that offset.
 
-A null or empty recording, and one shorter than the filters' window, has no codes and no matches. A key in one
-class several times votes for several offsets; nothing is capped. Copies are one class, named by its smallest id, and matched
+A null or empty recording, and one shorter than the filters' window, has no codes and no matches. Copies are one class, named by its smallest id, and matched
 once. Ids should be unique: different recordings of one id are aligned together. A recording without an id is no class and no
 match.
 """
@@ -43,6 +42,8 @@ GAP = 8
 MAX_ERROR = 0.2
 #: Codes that aligned recordings must have in common at least.
 LEAST_OVERLAP = 32
+#: Figures of an alignment that are held at a time.
+CELLS = 8 << 20
 #: Of the query below: tones, and how long each sounds.
 TONES = 24
 TONE_SAMPLES = FRAME
@@ -138,26 +139,62 @@ def with_codes(recordings: DataFrame, samples: str = "samples", name: str = "cod
     return recordings.withColumn(name, F.arrow_udf(run, "array<int>")(F.col(f"`{samples}`")))
 
 
-def _errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for off, a, b in zip(batch.column(2).to_pylist(), batch.column(4).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False), strict=True):
-            lo, hi = max(0, -off), min(len(a), len(b) - off)
-            x = np.asarray(a, dtype=np.int32)[lo:hi].view(np.uint32) ^ np.asarray(b, dtype=np.int32)[lo + off : hi + off].view(np.uint32)
-            out.append(float(np.bitwise_count(x).sum()) / (32 * len(x)) if len(x) >= LEAST_OVERLAP else 1.0)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.float64())], names=["q", "r", "off", "votes", "bit_error"])
+def _by_length(recordings: list[dict]) -> list[tuple[list[int], np.ndarray]]:
+    out: dict[int, list[dict]] = {}
+    for x in recordings:
+        out.setdefault(len(x["codes"]), []).append(x)
+    return [([x["class_id"] for x in some], np.array([x["codes"] for x in some], dtype=np.int32).view(np.uint32)) for some in out.values()]
+
+
+def _spectra(codes: np.ndarray, n: int) -> np.ndarray:
+    """(frequencies, recordings, 32) of the codes' bits as 1 and -1."""
+    bits = np.unpackbits(codes.view(np.uint8).reshape(*codes.shape, 4), axis=2)
+    return np.fft.rfft(bits.astype(np.float32 if n <= 4096 else np.float64) * 2 - 1, n, axis=1).transpose(1, 0, 2)
+
+
+def _aligned(max_error: float):
+    def of_lengths(qs: list[int], a: np.ndarray, rs: list[int], b: np.ndarray) -> Iterator[tuple]:
+        la, lb = a.shape[1], b.shape[1]
+        n = 1 << (la + lb - 2).bit_length()
+        offs = np.arange(LEAST_OVERLAP - la, lb - LEAST_OVERLAP + 1)
+        common = 32 * (np.minimum(la, lb - offs) - np.maximum(0, -offs))[:, None, None]
+        fa = _spectra(a, n).conj()
+        step = max(1, CELLS // (n * len(a)))
+        for k in range(0, len(b), step):
+            agree = np.fft.irfft(fa @ _spectra(b[k : k + step], n).transpose(0, 2, 1), n, axis=0)[offs % n]
+            agree = 2 * np.rint(agree / 2)  # equal bits less others, an even number
+            agree[agree < common * (1 - 2 * max_error) - 1e-6] = -np.inf
+            best = agree.argmax(axis=0)
+            for i, j in np.argwhere(agree.max(axis=0) > -np.inf):
+                off = int(offs[best[i, j]])
+                lo, hi = max(0, -off), min(la, lb - off)
+                x = a[i, lo:hi] ^ b[k + j, lo + off : hi + off]
+                yield qs[i], rs[k + j], off, int(((x[:-GAP] == 0) & (x[GAP:] == 0)).sum()), float(np.bitwise_count(x).sum()) / (32 * len(x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                asked, others = (_by_length(batch.column(c)[k].as_py()) for c in range(2))
+                rows = [x for qs, a in asked for rs, b in others for x in of_lengths(qs, a, rs, b) if x[0] != x[1]]
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["q", "r", "off", "votes", "bit_error"])
+
+    return run
+
+
+def _blocks(recordings: DataFrame, rows: int, name: str) -> DataFrame:
+    n = max(1, -(-recordings.count() // rows))
+    block = F.pmod(F.xxhash64("class_id"), F.lit(n))
+    return recordings.groupBy(block.alias("block")).agg(F.collect_list(F.struct("class_id", "codes")).alias(name)).select(name)
 
 
 def align(classes: DataFrame, asked: DataFrame, max_error: float = MAX_ERROR) -> DataFrame:
     """Matches (q, r, off, votes, bit_error) of the classes in asked (column class_id) with all other classes (class_id, codes): a place i of q is place i + off of r."""
-    place = F.explode(F.when(F.size("codes") > GAP, F.sequence(F.lit(0), F.size("codes") - GAP - 1)).otherwise(F.array().cast("array<int>"))).alias("i")
-    keyed = classes.select("class_id", "codes", place).select("class_id", "i", F.xxhash64(F.col("codes")[F.col("i")], F.col("codes")[F.col("i") + GAP]).alias("key"))
-    q = keyed.join(asked.select("class_id"), "class_id", "left_semi").select(F.col("class_id").alias("q"), F.col("i").alias("qi"), "key")
-    votes = q.join(keyed.select(F.col("class_id").alias("r"), F.col("i").alias("ri"), "key"), "key").where("q != r").groupBy("q", "r", (F.col("ri") - F.col("qi")).alias("off")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.col("off")).alias("m"))).alias("b")).select("q", "r", (-F.col("b.m")).alias("off"), "b.votes")
-    a, b = classes.select(F.col("class_id").alias("q"), F.col("codes").alias("a")), classes.select(F.col("class_id").alias("r"), F.col("codes").alias("b"))
-    both = best.join(a, "q").join(b, "r").select("q", "r", "off", "votes", "a", "b")
-    return both.mapInArrow(_errors, "q long, r long, off int, votes long, bit_error double").where(F.col("bit_error") <= max_error)
+    classes = classes.select(F.col("class_id").cast("long").alias("class_id"), "codes").where(F.col("class_id").isNotNull() & (F.size("codes") >= LEAST_OVERLAP))
+    q = classes.join(asked.select("class_id"), "class_id", "left_semi")
+    both = _blocks(q, 64, "a").crossJoin(_blocks(classes, 256, "b")).select("a", "b")
+    return both.mapInArrow(_aligned(max_error), "q long, r long, off int, votes long, bit_error double").where(F.col("bit_error") <= max_error)
 
 
 def tones(rows: np.ndarray) -> np.ndarray:

@@ -27,6 +27,17 @@ def test_shifted_recording_is_aligned(spark):
     assert found[1, 7].off == 0 and found[1, 7].bit_error < 0.15
 
 
+def test_all_pairs_up_to_the_error_are_found(spark):
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 2**32, (8, 90), dtype=np.uint32)
+    flips = np.packbits(rng.random((4, 90, 32)) < [[[0.1]], [[0.15]], [[0.18]], [[0.3]]], axis=2).view(np.uint32)[..., 0]
+    spread = [*(codes[:4] ^ flips), codes[4][30:] ^ flips[0][30:]]
+    rows = [(i, c.view(np.int32).tolist()) for i, c in enumerate([*codes, *spread])]
+    made = spark.createDataFrame(rows, "class_id long, codes array<int>")
+    found = {(r.q, r.r): r.off for r in chroma.align(made, made.where("class_id < 5")).collect()}
+    assert found == {(0, 8): 0, (1, 9): 0, (2, 10): 0, (4, 12): -30}
+
+
 def test_filters_equal_sums_over_the_image():
     rng = np.random.default_rng(2)
     image = rng.random((1, 40, 12))
