@@ -15,10 +15,12 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder of our own only where it is unset (tests)."""
+    """The cluster's spark.checkpoint.dir; a temporary folder of our own where it is unset on a local master, and nowhere else."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: executors of a cluster need a folder that they share")
         found = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         sc.setCheckpointDir(found)
     return found
@@ -28,11 +30,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df, written once as a Parquet table in the shared folder and read again: its lineage ends there."""
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int | None = None) -> DataFrame:
+    """df, written once as a Parquet table in the shared folder and read again: its lineage ends there. batch_rows: of the Arrow batches meanwhile, where rows may be large."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(BATCH_ROWS)
+    if batch_rows:
+        spark.conf.set(BATCH_ROWS, str(batch_rows))
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     _made[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
