@@ -6,17 +6,21 @@ Jaccard similarity of t differs in at most d = (1 - t) / (1 + t) * (|A| + |B|) t
 
 Candidates. Sizes fall in bands; a document is in its own band, and in the next one if a similar set may be. With d taken at the
 band's upper end, tokens are dealt over d + 1 + e chunks by their hash; at least 1 + e chunks of a similar pair hold the same
-tokens (pigeonhole), so the XOR of a chunk's tokens is a join key. Chunks of few tokens are common values: a document with no
-more than e of them leaves them out, as one of the 1 + e must be another. No pair of similar sets is lost.
+tokens (pigeonhole), so the XOR of a chunk's tokens is a join key. Chunks of few tokens are common values and never keys: a document
+with no more than e of them needs none, as one of the 1 + e must be another. A document with more deals its tokens anew by another
+hash, and so on until it has no more than e; if all chunks that a pair shares have few tokens, both documents go on, so no
+pair of similar sets is lost. Sets that only their equals are similar to have no keys at all.
 
 Copies. Equal sets are one class, joined once. Of keys that several classes share, a group's sketches are compared in blocks of
 bounded size, and only a forest of the pairs within reach is passed on, not all pairs. Passed pairs are verified exactly on the
-documents' token sets, and links are contracted to components. A second comparison passes on every pair within reach whose
-ends are still in different components; after its verification, the components are those of all links.
+documents' token sets, and links are contracted to components. Where a tree of the forests holds several components, its members
+are compared once more in blocks, each with its token set, and verified on the spot: only links that join two components are
+passed on, so a family of near misses gives no rows. The components are then those of all links.
 
 Rows with the same doc_id are documents of their own. Null and empty texts have empty sets and are linked with nothing; the
 component of such a row, and of a document without links, is its own doc_id. A null doc_id counts as no id: its row gets the
-smallest id of its component, or null. Tokens are 64-bit hashes of words' hashes; sets are compared as sets of tokens.
+smallest id of its component, or null. Tokens are 64-bit hashes of words' hashes; sets are compared as sets of tokens, so two
+shingles of one hash count as equal: among n different shingles, with a probability of about n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -43,8 +47,13 @@ BAND = 1.6
 #: Bits of a sketch for each token that similar sets may differ in, and its words of 64 bits at most. A coarser sketch passes on more pairs to be verified, and loses none.
 SKETCH_BITS = 8
 SKETCH_WORDS = 64
-#: Documents of a key's group that are compared with each other in one go; larger groups are dealt over pairs of blocks.
+#: Documents of a group that are compared with each other in one go, and their tokens where those are held; larger groups are dealt over pairs of blocks.
 BLOCK = 1024
+BLOCK_TOKENS = 1 << 20
+#: Deals after which chunks of one token are keys too: a bound on the time that a very small set may take.
+STRICT_DEALS = 8
+#: Of Arrow batches that hold token sets.
+BATCH_BYTES = 64 << 20
 
 
 @lru_cache
@@ -76,24 +85,24 @@ def keys(tokens: np.ndarray, similarity: int) -> np.ndarray:
     """Join keys of a set, over its bands."""
     size, n_chunks, spare, _, weak = bands(similarity)
     n = len(tokens)
+    if n * 100 < similarity * (n + 1):  # one token less or more is too many
+        return np.zeros(0, dtype=U)
     own = int(np.searchsorted(size, n))
     out = []
     for band in (own, own + 1):
         if band > own and n * 100 < similarity * (int(size[own]) + 1):
             break
-        k = int(n_chunks[band])
-        chunk = ((tokens >> U(32)) % U(k)).astype(np.int64)
-        order = np.argsort(chunk, kind="stable")
-        begin = np.flatnonzero(np.diff(chunk[order], prepend=-1))
-        count = np.diff(np.append(begin, n))
-        number, value = chunk[order][begin].astype(U), np.bitwise_xor.reduceat(tokens[order], begin)
-        strong = count > weak
-        if k - int(strong.sum()) <= spare[band]:
-            number, value = number[strong], value[strong]
-        elif len(number) < k:  # the empty ones too
-            empty = np.setdiff1d(np.arange(k, dtype=U), number)
-            number, value = np.append(number, empty), np.append(value, np.zeros(len(empty), dtype=U))
-        out.append(mix(value ^ mix(number * U(0x100) + U(band) + U(1))))
+        k, deal = int(n_chunks[band]), 0
+        while True:
+            chunk = (((mix(tokens + U(deal)) if deal else tokens) >> U(32)) % U(k)).astype(np.int64)
+            order = np.argsort(chunk, kind="stable")
+            begin = np.flatnonzero(np.diff(chunk[order], prepend=-1))
+            strong = np.diff(np.append(begin, n)) > (weak if deal < STRICT_DEALS else 0)
+            number, value = chunk[order][begin][strong].astype(U), np.bitwise_xor.reduceat(tokens[order], begin)[strong]
+            out.append(mix(value ^ mix(number * U(0x10000) + U(deal % 256 * 256) + U(band) + U(1))))
+            if k - len(number) <= spare[band]:
+                break
+            deal += 1
     return np.concatenate(out)
 
 
@@ -158,95 +167,89 @@ def _matrix(bits: list[bytes]) -> np.ndarray:
     return out
 
 
-def _group_pairs(uid: np.ndarray, n: np.ndarray, bits: list[bytes], root: np.ndarray, side: np.ndarray, similarity: int, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a group within reach whose roots differ; side: 0 to pair with all, else 1 with 2. forest: only those that join two trees."""
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, a number, as tables that end where a group does."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = batch.column(0).to_numpy()
+        changes = np.flatnonzero(g[1:] != g[:-1])
+        cut = int(changes[-1]) + 1 if len(changes) else 0
+        if cut or (held and held[-1].column(0)[0].as_py() != g[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _spans(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    return begin, np.diff(np.append(begin, len(g)))
+
+
+def _forest(uid: np.ndarray, n: np.ndarray, bits: list[bytes], side: np.ndarray, similarity: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest of a group's pairs within reach; side: 0 to pair with all, else 1 with 2."""
     m = _matrix(bits)
-    label = np.unique(root, return_inverse=True)[1]
+    label = np.arange(len(uid))
     for i in range(1, len(uid)):
         other = label[:i] != label[i]
         if side[i]:
             other &= side[:i] != side[i]
         at = np.flatnonzero(other)
-        if not len(at):
-            continue
         near = at[_within(n[at], n[i], np.bitwise_count(m[at] ^ m[i]).sum(axis=1, dtype=np.int64), similarity)]
-        if not len(near):
-            continue
-        if forest:
+        if len(near):
             lab, first = np.unique(label[near], return_index=True)
             near = near[first]
             label[np.isin(label, lab)] = label[i]
-        yield np.minimum(uid[near], uid[i]), np.maximum(uid[near], uid[i])
-
-
-_MEMBER = ["g", "uid", "n", "bits", "root", "side"]
-
-
-def _pairs(similarity: int, forest: bool):
-    """Over rows sorted by group; groups may run over batches."""
-
-    def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        g, uid, n, root, side = (t[c].to_numpy() for c in ("g", "uid", "n", "root", "side"))
-        bits = t["bits"].combine_chunks() if t.num_rows else None
-        begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        size = np.diff(np.append(begin, len(g)))
-        left, right = [], []
-        two = begin[size == 2]
-        two = two[(root[two] != root[two + 1]) & ((side[two] == 0) | (side[two] != side[two + 1]))]
-        for i in two.tolist():
-            m = _matrix([bits[i].as_py(), bits[i + 1].as_py()])
-            if int(np.bitwise_count(m[0] ^ m[1]).sum()) * (100 + similarity) <= (100 - similarity) * int(n[i] + n[i + 1]):
-                left.append(np.sort(uid[i : i + 2])[:1])
-                right.append(np.sort(uid[i : i + 2])[1:])
-        for a, s in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            own = slice(a, a + s)
-            if (root[own] == root[a]).all():
-                continue
-            for x, y in _group_pairs(uid[own], n[own], bits[a : a + s].to_pylist(), root[own], side[own], similarity, forest):
-                left.append(x)
-                right.append(y)
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            a, b = np.unique(np.stack((a, b)), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield np.minimum(uid[near], uid[i]), np.maximum(uid[near], uid[i])
+
+
+def _pairs(similarity: int):
+    """Over rows sorted by group: g, uid, n, bits, side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            g = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(g, g[-1])) if g[0] <= g[-1] else int(np.flatnonzero(g != g[-1])[-1]) + 1
-            if cut or (held and held[-1].column(0)[0].as_py() != g[-1]):
-                yield from flush(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield from flush(pa.Table.from_batches(held))
+        for t in whole_groups(batches):
+            g, uid, n, side = (t[c].to_numpy() for c in ("g", "uid", "n", "side"))
+            bits = t["bits"]
+            begin, size = _spans(g)
+            left, right = [], []
+            two = begin[size == 2]
+            for i in two[(side[two] == 0) | (side[two] != side[two + 1])].tolist():
+                m = _matrix([bits[i].as_py(), bits[i + 1].as_py()])
+                if int(np.bitwise_count(m[0] ^ m[1]).sum()) * (100 + similarity) <= (100 - similarity) * int(n[i] + n[i + 1]):
+                    left.append(np.sort(uid[i : i + 2])[:1])
+                    right.append(np.sort(uid[i : i + 2])[1:])
+            for a, s in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                own = slice(a, a + s)
+                for x, y in _forest(uid[own], n[own], bits[own].to_pylist(), side[own], similarity):
+                    left.append(x)
+                    right.append(y)
+            if left:
+                a, b = np.unique(np.stack((np.concatenate(left), np.concatenate(right))), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
-def near_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame | None, similarity: int, forest: bool) -> DataFrame:
-    """Distinct pairs (a, b) of classes that share a key, have different roots, and whose sketches are within reach."""
-    rows = members
-    if roots is None:
-        rows = rows.withColumn("root", F.col("uid"))
-    else:
-        rows = rows.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-        rows = rows.join(mixed, "key")
-    blocks = F.ceil(F.col("many") / BLOCK).cast("long")
+def _dealt(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+    """rows with g and side: a row stands in every pair of blocks of its group that has its own block."""
     own = F.pmod(F.xxhash64("uid"), blocks)
     # all pairs of blocks that hold the row's own: (own, own) pairs within the block, (i, j) pairs across
     other = F.explode(F.when(blocks == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.withColumn("own", own).withColumn("other", other)
-    group = F.when(F.col("many") <= BLOCK, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    rows = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", other)
+    g = F.when(F.col("blocks") == 1, F.col(group)).otherwise(F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    rows = rows.select(group.alias("g"), "uid", "root", side.cast("int").alias("side"))
-    rows = rows.join(classes.select("uid", "n", "bits"), "uid").select(*_MEMBER)
+    return rows.withColumn("g", g).withColumn("side", side.cast("int"))
+
+
+def near_pairs(members: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
+    """Distinct pairs (a, b) of classes that span, key by key, those that share the key and whose sketches are within reach."""
+    rows = _dealt(members, "key", F.ceil(F.col("many") / BLOCK).cast("long")).select("g", "uid", "side")
+    rows = rows.join(classes.select("uid", "n", "bits"), "uid").select("g", "uid", "n", "bits", "side")
     dealt = rows.repartition(parts(members.sparkSession), "g").sortWithinPartitions("g", "uid")
-    return dealt.mapInArrow(_pairs(similarity, forest), "a long, b long").distinct()
+    return dealt.mapInArrow(_pairs(similarity), "a long, b long").distinct()
 
 
 def _sets_of(shingle: int):
@@ -265,29 +268,91 @@ def _sets_of(shingle: int):
     return run
 
 
+def _alike(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= similarity * (len(a) + len(b) - both)
+
+
 def _similar(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                a, b = np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= similarity * (len(a) + len(b) - both))
+            keep = [_alike(np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def token_table(ends: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """uid and tokens of the classes in ends (distinct uid), from the texts of the documents that stand for them."""
+    wanted = written(classes.join(ends, "uid").select("uid", "sig", F.col("doc_id").alias("d")), "wanted")
+    rows = docs.select("doc_id", "text").join(small(wanted), F.col("doc_id").eqNullSafe(F.col("d"))).select("uid", "sig", "text")
+    out = written(rows.mapInArrow(_sets_of(shingle), "uid long, tokens binary").groupBy("uid").agg(F.first("tokens").alias("tokens")), "sets", "lz4")
+    discard(wanted)
+    return out
+
+
+def _batch_rows(sets: DataFrame, of_a_row: int) -> int:
+    """Rows of a batch of bounded size, by the largest set."""
+    most = sets.agg(F.max(F.length("tokens"))).first()[0] or 1
+    return int(min(1000, max(1, BATCH_BYTES // (most * of_a_row))))
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
     """The pairs whose token sets are similar, compared exactly."""
     ends = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
-    wanted = written(classes.join(ends, "uid").select("uid", "sig", F.col("doc_id").alias("d")), "wanted")
-    texts = docs.select(F.col("doc_id"), F.col("text"))
-    rows = texts.join(small(wanted), F.col("doc_id").eqNullSafe(F.col("d"))).select("uid", "sig", "text")
-    sets = written(rows.mapInArrow(_sets_of(shingle), "uid long, tokens binary").groupBy("uid").agg(F.first("tokens").alias("tokens")), "sets", "lz4")
+    sets = token_table(ends, classes, docs, shingle)
     x, y = sets.select(F.col("uid").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("uid").alias("b"), F.col("tokens").alias("y"))
-    out = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "links")
-    discard(wanted, sets)
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    out = written(both.mapInArrow(_similar(similarity), "a long, b long"), "links", batch_rows=_batch_rows(sets, 2))
+    discard(sets)
+    return out
+
+
+def _joining(similarity: int):
+    """Over rows sorted by group (g, uid, root, side, n, bits, tokens): similar pairs that join two roots, until none is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            left, right = [], []
+            for a, s in zip(*(x.tolist() for x in _spans(t["g"].to_numpy())), strict=True):
+                own = t.slice(a, s)
+                root = own["root"].to_numpy()
+                label = np.unique(root, return_inverse=True)[1]
+                many = np.bincount(label)
+                order = np.argsort(label != many.argmax(), kind="stable")  # members of the largest aren't compared with each other
+                label, uid, n, side = (x[order] for x in (label, own["uid"].to_numpy(), own["n"].to_numpy(), own["side"].to_numpy()))
+                m = _matrix(own["bits"].to_pylist())[order]
+                tokens = [np.frombuffer(own["tokens"][int(i)].as_buffer(), dtype=U) for i in order]
+                for i in range(int(many.max()), s):
+                    other = label[:i] != label[i]
+                    if side[i]:
+                        other &= side[:i] != side[i]
+                    at = np.flatnonzero(other)
+                    near = at[_within(n[at], n[i], np.bitwise_count(m[at] ^ m[i]).sum(axis=1, dtype=np.int64), similarity)]
+                    for j in near.tolist():
+                        if label[j] != label[i] and _alike(tokens[j], tokens[i], similarity):
+                            label[label == label[j]] = label[i]
+                            left.append(min(uid[i], uid[j]))
+                            right.append(max(uid[i], uid[j]))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def joining_links(pairs: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """Similar pairs between the components of roots, enough to join all that are similar. Similar sets are in one tree of pairs, whatever came of its pairs."""
+    trees = written(components(pairs).select(F.col("node").alias("uid"), F.col("root").alias("tree")), "trees")
+    own = trees.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    own = own.join(classes.select("uid", "n"), "uid")
+    mixed = own.groupBy("tree").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many"), F.sum("n").alias("tokens")).where("lo != hi")
+    own = written(own.join(mixed.drop("lo", "hi"), "tree"), "mixed")
+    sets = token_table(own.select("uid"), classes, docs, shingle)
+    blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("long")
+    rows = _dealt(own, "tree", blocks).select("g", "uid", "root", "side").join(classes.select("uid", "n", "bits"), "uid").join(sets, "uid")
+    rows = rows.select("g", "uid", "root", "side", "n", "bits", "tokens").repartition(parts(docs.sparkSession), "g").sortWithinPartitions("g", "uid")
+    out = written(rows.mapInArrow(_joining(similarity), "a long, b long"), "links", batch_rows=_batch_rows(sets, 1))
+    discard(trees, own, sets)
     return out
 
 
@@ -304,17 +369,17 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: int
     each = classes.select("uid", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     members = written(each.join(shared, "key"), "members")
-    pairs = written(near_pairs(members, classes, None, similarity, True), "pairs")
+    pairs = written(near_pairs(members, classes, similarity), "pairs")
     links = verified(pairs, classes, own, shingle, similarity)
     roots = written(components(links), "roots")
-    more = written(near_pairs(members, classes, roots, similarity, False).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(verified(more, classes, own, shingle, similarity))
+    links = links.union(joining_links(pairs, roots, classes, own, shingle, similarity))
+    discard(roots)
     roots = written(components(links), "roots")
     of = copies.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("sig", "least", F.coalesce("root", "uid").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     of = written(of.join(least, "root").select("sig", "component_id", "root"), "components")
     out = rows.select("doc_id", "sig", F.col("n").alias("n_shingles")).join(of, "sig", "left")
-    discard(classes, members, pairs, more)
+    discard(classes, members, pairs)
     component = F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "sig", "n_shingles", component.alias("component_id"), "root"), links
 
@@ -332,7 +397,7 @@ def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: int =
     """docs without the documents that have a near duplicate of a smaller doc_id; all columns stay.
 
     Of each component the row of the smallest doc_id stays (rows without an id go if the component has one); equal doc_ids in
-    a component keep one row. Documents without words are no copies of each other and all stay.
+    a component keep the row that is least as JSON. Documents without words are no copies of each other and all stay.
     """
     found, _ = jaccard_components(docs, shingle, similarity)
     found = written(found.where("sig is not null").select("doc_id", "sig", "component_id", "root"), "found")
@@ -345,7 +410,8 @@ def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: int =
         again = docs.join(small(twice), id_.eqNullSafe(F.col("__twice")), "left_semi").withColumn("__sig", signatures(shingle)(F.col("text").cast("string")))
         of = found.select(F.col("sig").alias("__s"), F.col("component_id").alias("__component"), F.col("root").alias("__root")).distinct()
         again = again.join(of, F.col("__sig") == F.col("__s"), "left")
-        stays = again.where(F.col("__sig").isNotNull() & id_.eqNullSafe(F.col("__component"))).dropDuplicates(["__root"])
-        stays = stays.unionByName(again.where(F.col("__sig").isNull()))
-        out = out.join(small(twice), id_.eqNullSafe(F.col("__twice")), "left_anti").unionByName(stays.select(docs.columns))
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        stays = again.where(F.col("__sig").isNotNull() & id_.eqNullSafe(F.col("__component"))).groupBy("__root").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+        stays = stays.unionByName(again.where(F.col("__sig").isNull()).select(docs.columns))
+        out = out.join(small(twice), id_.eqNullSafe(F.col("__twice")), "left_anti").unionByName(stays)
     return out
