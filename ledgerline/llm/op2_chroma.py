@@ -5,14 +5,16 @@ smoothed and normalised; an integral image over (frame, pitch class) gives every
 compare such sums in a window that slides over the frames. Each filter's value is quantised to two bits (Gray code), and the
 bits of all sixteen are packed to one 32-bit integer per frame.
 
-Alignment: recordings of one fingerprint are one class. Every query class is aligned with every class at every offset with an overlap of
-LEAST_OVERLAP codes: the bits that agree less those that differ, over all offsets at once, are a correlation, taken by Fourier
-transforms. Of the offsets with a bit error up to MAX_ERROR, the one with the highest such figure is kept (the least offset of
-several), and the pair is a match. Votes are the places where two codes, GAP apart, are equal at that offset.
-
-A null or empty recording, and one shorter than the filters' window, has no codes and no matches. Copies are one class, named by its smallest id, and matched
-once. Ids should be unique: different recordings of one id are aligned together. A recording without an id is no class and no
-match.
+Alignment. A place of a recording is one where its code differs from the one before: silence and held tones have none after their
+first. A key is two codes of places 1 to GAPS apart. A recording and a query vote for an offset with each key that both have there;
+the votes by offset are the pair's histogram. At each offset with a vote and LEAST_OVERLAP codes in common, the bits that differ
+over the whole overlap are counted, and a pair is a match if one has a bit error of MAX_ERROR or less; the offset with the least is
+its own (of several the least offset). All recordings and all votes are gone through: what such a definition calls a match is found.
+
+Recordings of one fingerprint are one class, named by its smallest id, and matched once. A null or empty recording, and one shorter
+than the filters' window, has no codes and no matches; those are one class too. A recording without an id is left out. Different
+recordings of one id are classes of their own. Codes of long recordings are large rows: set
+spark.sql.execution.arrow.maxRecordsPerBatch to as many as a task's memory holds.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, parts, written
+from .shared import small, written
+from .wordhash import chunks, mix
 
 RATE = 4000
 FRAME = 512
@@ -38,12 +41,15 @@ WINDOW = 16
 FILTERS = [(k % 6, (5 * k) % (13 - high), high, 3 + (9 * k) % (WINDOW - 2)) for k in range(16) for high in [(3, 4, 6, 12)[k % 4]]]
 #: Values of a filter at which its code changes.
 LEVELS = (-0.12, 0.0, 0.12)
-GAP = 8
-MAX_ERROR = 0.2
+#: Codes of a key stand up to this many places apart.
+GAPS = 8
+MAX_ERROR = 0.1
 #: Codes that aligned recordings must have in common at least.
 LEAST_OVERLAP = 32
-#: Figures of an alignment that are held at a time.
-CELLS = 8 << 20
+#: Keys of all queries that are sent to every task, at 20 bytes each; of more, keys are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
+#: Codes whose keys are made at once.
+CHUNK_CODES = 1 << 17
 #: Of the query below: tones, and how long each sounds.
 TONES = 24
 TONE_SAMPLES = FRAME
@@ -139,62 +145,54 @@ def with_codes(recordings: DataFrame, samples: str = "samples", name: str = "cod
     return recordings.withColumn(name, F.arrow_udf(run, "array<int>")(F.col(f"`{samples}`")))
 
 
-def _by_length(recordings: list[dict]) -> list[tuple[list[int], np.ndarray]]:
-    out: dict[int, list[dict]] = {}
-    for x in recordings:
-        out.setdefault(len(x["codes"]), []).append(x)
-    return [([x["class_id"] for x in some], np.array([x["codes"] for x in some], dtype=np.int32).view(np.uint32)) for some in out.values()]
-
-
-def _spectra(codes: np.ndarray, n: int) -> np.ndarray:
-    """(frequencies, recordings, 32) of the codes' bits as 1 and -1."""
-    bits = np.unpackbits(codes.view(np.uint8).reshape(*codes.shape, 4), axis=2)
-    return np.fft.rfft(bits.astype(np.float32 if n <= 4096 else np.float64) * 2 - 1, n, axis=1).transpose(1, 0, 2)
-
-
-def _aligned(max_error: float):
-    def of_lengths(qs: list[int], a: np.ndarray, rs: list[int], b: np.ndarray) -> Iterator[tuple]:
-        la, lb = a.shape[1], b.shape[1]
-        n = 1 << (la + lb - 2).bit_length()
-        offs = np.arange(LEAST_OVERLAP - la, lb - LEAST_OVERLAP + 1)
-        common = 32 * (np.minimum(la, lb - offs) - np.maximum(0, -offs))[:, None, None]
-        fa = _spectra(a, n).conj()
-        step = max(1, CELLS // (n * len(a)))
-        for k in range(0, len(b), step):
-            agree = np.fft.irfft(fa @ _spectra(b[k : k + step], n).transpose(0, 2, 1), n, axis=0)[offs % n]
-            agree = 2 * np.rint(agree / 2)  # equal bits less others, an even number
-            agree[agree < common * (1 - 2 * max_error) - 1e-6] = -np.inf
-            best = agree.argmax(axis=0)
-            for i, j in np.argwhere(agree.max(axis=0) > -np.inf):
-                off = int(offs[best[i, j]])
-                lo, hi = max(0, -off), min(la, lb - off)
-                x = a[i, lo:hi] ^ b[k + j, lo + off : hi + off]
-                yield qs[i], rs[k + j], off, int(((x[:-GAP] == 0) & (x[GAP:] == 0)).sum()), float(np.bitwise_count(x).sum()) / (32 * len(x))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                asked, others = (_by_length(batch.column(c)[k].as_py()) for c in range(2))
-                rows = [x for qs, a in asked for rs, b in others for x in of_lengths(qs, a, rs, b) if x[0] != x[1]]
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["q", "r", "off", "votes", "bit_error"])
-
-    return run
-
-
-def _blocks(recordings: DataFrame, rows: int, name: str) -> DataFrame:
-    n = max(1, -(-recordings.count() // rows))
-    block = F.pmod(F.xxhash64("class_id"), F.lit(n))
-    return recordings.groupBy(block.alias("block")).agg(F.collect_list(F.struct("class_id", "codes")).alias(name)).select(name)
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    off = col.offsets.to_numpy().astype(np.int64)
+    return col.values.to_numpy()[off[0] : off[-1]].view(np.uint32), off - off[0]
+
+
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of recordings (id, codes): a row for each key, with its first place."""
+    for batch in batches:
+        codes, off = _flat(batch.column(1))
+        ids = batch.column(0).to_numpy()
+        for lo, hi in chunks(codes, off, CHUNK_CODES):
+            x, at = codes[off[lo] : off[hi]].astype(np.uint64), off[lo : hi + 1] - off[lo]
+            of = np.repeat(np.arange(lo, hi), np.diff(at))
+            place = np.arange(len(x)) - at[of - lo]
+            changes = np.append(False, x[1:] != x[:-1]) & (place > 0) if len(x) else np.zeros(0, bool)
+            for gap in range(1, GAPS + 1):
+                own = np.flatnonzero(changes[:-gap] & changes[gap:] & (of[:-gap] == of[gap:]))
+                key = mix(mix(x[own] << np.uint64(32) | x[own + gap]) + np.uint64(gap))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of[own]]), pa.array(key.view(np.int64)), pa.array(place[own].astype(np.int32))], names=["id", "key", "place"])
+
+
+def _bit_errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs at an offset (q, r, off, votes, codes of both): the share of bits that differ where they overlap; null if that is too short."""
+    for batch in batches:
+        off = batch.column(2).to_pylist()
+        (a, a_at), (b, b_at) = _flat(batch.column(4)), _flat(batch.column(5))
+        out = []
+        for i, d in enumerate(off):
+            x, y = a[a_at[i] : a_at[i + 1]], b[b_at[i] : b_at[i + 1]]
+            lo, hi = max(0, -d), min(len(x), len(y) - d)
+            out.append(float(np.bitwise_count(x[lo:hi] ^ y[lo + d : hi + d]).sum()) / (32 * (hi - lo)) if hi - lo >= LEAST_OVERLAP else None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.float64())], names=["q", "r", "off", "votes", "bit_error"])
 
 
 def align(classes: DataFrame, asked: DataFrame, max_error: float = MAX_ERROR) -> DataFrame:
     """Matches (q, r, off, votes, bit_error) of the classes in asked (column class_id) with all other classes (class_id, codes): a place i of q is place i + off of r."""
     classes = classes.select(F.col("class_id").cast("long").alias("class_id"), "codes").where(F.col("class_id").isNotNull() & (F.size("codes") >= LEAST_OVERLAP))
-    q = classes.join(asked.select("class_id"), "class_id", "left_semi")
-    both = _blocks(q, 64, "a").crossJoin(_blocks(classes, 256, "b")).select("a", "b")
-    return both.mapInArrow(_aligned(max_error), "q long, r long, off int, votes long, bit_error double").where(F.col("bit_error") <= max_error)
+    keys = "id long, key long, place int"
+    q = classes.join(small(asked.select("class_id").distinct()), "class_id", "left_semi").mapInArrow(_key_rows, keys)
+    q = small(written(q.select(F.col("id").alias("q"), "key", F.col("place").alias("p")), "keys"), BROADCAST_KEYS)
+    votes = classes.mapInArrow(_key_rows, keys).join(q, "key").where("q != id").groupBy("q", F.col("id").alias("r"), (F.col("place") - F.col("p")).alias("off")).agg(F.count("*").alias("votes"))
+    votes = small(written(votes, "votes"))
+    of_q, of_r = classes.select(F.col("class_id").alias("q"), F.col("codes").alias("a")), classes.select(F.col("class_id").alias("r"), F.col("codes").alias("b"))
+    both = of_r.join(votes, "r")
+    both = both.join(of_q.join(small(asked.select(F.col("class_id").alias("q")).distinct()), "q", "left_semi"), "q").select("q", "r", "off", "votes", "a", "b")
+    found = both.mapInArrow(_bit_errors, "q long, r long, off int, votes long, bit_error double").where(F.col("bit_error") <= max_error)
+    best = found.groupBy("q", "r").agg(F.min(F.struct("bit_error", "off", "votes")).alias("b"))
+    return best.select("q", "r", "b.off", "b.votes", "b.bit_error")
 
 
 def tones(rows: np.ndarray) -> np.ndarray:
@@ -207,15 +205,21 @@ def tones(rows: np.ndarray) -> np.ndarray:
     return wave_of[step].reshape(len(rows), -1)
 
 
+def search(recordings: DataFrame, asked: Column, max_error: float = MAX_ERROR) -> DataFrame:
+    """Of recordings (id, codes): a row for each asked one (a condition on id) and class that it matches, one with nulls if it matches none."""
+    own = recordings.where(F.col("id").isNotNull()).select("id", "codes", F.monotonically_increasing_id().alias("n"))
+    own = written(own, "codes")
+    prints = written(own.select("n", "id", F.xxhash64("codes").alias("h1"), F.md5(F.to_json(F.struct("codes"))).alias("h2")), "prints")
+    classes = written(prints.groupBy("h1", "h2").agg(F.min("n").alias("class"), F.min("id").alias("class_id"), F.count("*").alias("copies")), "classes")
+    queries = prints.where(asked).join(classes, ["h1", "h2"]).select("id", "class", "class_id", "copies")
+    codes = own.join(classes.select(F.col("class").alias("n")), "n", "left_semi").select(F.col("n").alias("class_id"), "codes")
+    found = align(codes, queries.select(F.col("class").alias("class_id")), max_error)
+    of = classes.select(F.col("class").alias("r"), F.col("class_id").alias("match_class"), F.col("copies").alias("match_copies"))
+    found = found.join(of, "r").select(F.col("q").alias("class"), "match_class", "match_copies", F.col("off").alias("offset"), "votes", "bit_error")
+    return queries.join(found, "class", "left").select("id", "class_id", "copies", "match_class", "match_copies", "offset", "votes", "bit_error")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    """Vectors sounded as tone rows stand for media: a row per vec_id divisible by 50, with all its matches, the closest first; copies are matched as the class of the smallest vec_id."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    coded = written(with_codes(vectors, "embedding", "codes", tones).select("vec_id", "codes", F.xxhash64("codes").alias("h1"), F.md5(F.to_json(F.struct("codes"))).alias("h2")), "codes")
-    least = coded.groupBy("h1", "h2").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"))
-    of = written(coded.select("vec_id", "h1", "h2").join(least, ["h1", "h2"]).select("vec_id", "class_id", "copies"), "classes")
-    classes = coded.join(of.where("vec_id = class_id").select("class_id").distinct(), F.col("vec_id") == F.col("class_id"), "left_semi").select(F.col("vec_id").alias("class_id"), "codes")
-    asked = of.where("vec_id % 50 = 0")
-    found = align(classes, asked.select("class_id").distinct())
-    found = found.groupBy(F.col("q").alias("class_id")).agg(F.array_sort(F.collect_list(F.struct("bit_error", F.col("r").alias("match_class"), F.col("off").alias("offset"), "votes"))).alias("matches"))
-    out = asked.join(found, "class_id", "left")
-    return out.select("vec_id", "class_id", "copies", F.when(F.col("matches").isNull(), 0).otherwise(F.size("matches")).cast("long").alias("n_matches"), "matches")
+    """Vectors sounded as tone rows stand for media: a row per vec_id divisible by 50 and class that it matches; copies are matched as the class of the smallest vec_id."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("id"), "embedding")
+    return search(with_codes(vectors, "embedding", "codes", tones), F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")

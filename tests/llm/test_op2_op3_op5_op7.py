@@ -5,6 +5,7 @@ import wave
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.llm import op2_chroma as chroma
 from ledgerline.llm import op3_licenses as lic
@@ -27,26 +28,95 @@ def test_shifted_recording_is_aligned(spark):
     assert found[1, 7].off == 0 and found[1, 7].bit_error < 0.15
 
 
-def test_all_pairs_up_to_the_error_are_found(spark):
+def brute_matches(codes, asked, max_error):
+    """By the definition: all pairs, all offsets."""
+    out = {}
+    for q in asked:
+        for r in codes:
+            if q == r:
+                continue
+            a, b = codes[q], codes[r]
+            changes = [{i for i in range(1, len(x)) if x[i] != x[i - 1]} for x in (a, b)]
+            for off in range(chroma.LEAST_OVERLAP - len(a), len(b) - chroma.LEAST_OVERLAP + 1):
+                lo, hi = max(0, -off), min(len(a), len(b) - off)
+                at = [i for i in changes[0] if i + off in changes[1] and a[i] == b[i + off]]
+                votes = sum(j in at for i in at for j in range(i + 1, i + chroma.GAPS + 1))
+                if votes and hi - lo >= chroma.LEAST_OVERLAP:
+                    error = sum(bin((x ^ y) & 0xFFFFFFFF).count("1") for x, y in zip(a[lo:hi], b[lo + off : hi + off])) / (32 * (hi - lo))
+                    if error <= max_error:
+                        out[q, r] = min(out.get((q, r), (9, 0, 0)), (error, off, votes))
+    return out
+
+
+def test_matches_equal_brute_force(spark):
+    """Noisy, cut, held and silent recordings, ones of a few codes, and ones that share a jingle."""
     rng = np.random.default_rng(3)
-    codes = rng.integers(0, 2**32, (8, 90), dtype=np.uint32)
-    flips = np.packbits(rng.random((4, 90, 32)) < [[[0.1]], [[0.15]], [[0.18]], [[0.3]]], axis=2).view(np.uint32)[..., 0]
-    spread = [*(codes[:4] ^ flips), codes[4][30:] ^ flips[0][30:]]
-    rows = [(i, c.view(np.int32).tolist()) for i, c in enumerate([*codes, *spread])]
-    made = spark.createDataFrame(rows, "class_id long, codes array<int>")
-    found = {(r.q, r.r): r.off for r in chroma.align(made, made.where("class_id < 5")).collect()}
-    assert found == {(0, 8): 0, (1, 9): 0, (2, 10): 0, (4, 12): -30}
-
-
-def test_filters_equal_sums_over_the_image():
+    base = [rng.integers(0, 2**31, rng.integers(30, 90)) for _ in range(12)]
+    few = [rng.integers(0, 3, 60) for _ in range(4)]
+    held = [np.repeat(rng.integers(0, 2**31, 6), 10), np.zeros(70, int), np.zeros(70, int), np.repeat(rng.integers(0, 2**31, 6), 10)]
+    jingle = rng.integers(0, 2**31, 40)
+    shared = [np.concatenate((rng.integers(0, 2**31, 15), jingle, rng.integers(0, 2**31, k))) for k in (0, 3, 40)]
+    flips = np.packbits(rng.random((12, 90, 32)) < rng.choice([0.01, 0.05, 0.1], (12, 1, 1)), axis=2).view(np.uint32)[..., 0].astype(int)
+    noisy = [b ^ f[: len(b)] for b, f in zip(base, flips)] + [base[0][7:], np.concatenate((rng.integers(0, 2**31, 9), base[1]))]
+    codes = {i: [int(np.int32(np.uint32(x))) for x in c] for i, c in enumerate([*base, *few, *held, *shared, *noisy])}
+    made = spark.createDataFrame([(i, c, "x") for i, c in codes.items()], "class_id long, codes array<int>, q string")
+    asked = made.where("class_id % 2 = 0")
+    for broadcast in (chroma.BROADCAST_KEYS, 0):
+        kept, chroma.BROADCAST_KEYS = chroma.BROADCAST_KEYS, broadcast
+        try:
+            got = {(r.q, r.r): (r.bit_error, r.off, r.votes) for r in chroma.align(made, asked, 0.2).collect()}
+        finally:
+            chroma.BROADCAST_KEYS = kept
+        want = brute_matches(codes, [i for i in codes if i % 2 == 0], 0.2)
+        assert got.keys() == want.keys() and len(got) > 20
+        assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_recall_of_noisy_copies():
+    """Of copies within the bit error at their offset, nine tenths and more have a vote there."""
+    rng = np.random.default_rng(5)
+    sound = chroma.tones(rng.normal(size=(60, 64)).astype(np.float32))
+    power, within, voted = (sound**2).mean(), 0, 0
+    for copy in [sound + rng.normal(0, np.sqrt(power / 10 ** (db / 10)), sound.shape) for db in (20, 10, 5, 1)] + [np.roll(sound, 100, axis=1), sound * 0.2]:
+        a, b = chroma.fingerprints(sound), chroma.fingerprints(copy.astype(np.float32))
+        error = np.bitwise_count(a.view(np.uint32) ^ b.view(np.uint32)).mean(1) / 32
+        same = (a == b) & np.append(np.zeros((60, 1), bool), (a[:, 1:] != a[:, :-1]) & (b[:, 1:] != b[:, :-1]), axis=1)
+        votes = sum((same[:, :-g] & same[:, g:]).sum(1) for g in range(1, chroma.GAPS + 1))
+        within, voted = within + (error <= chroma.MAX_ERROR).sum(), voted + ((error <= chroma.MAX_ERROR) & (votes > 0)).sum()
+    assert within > 250 and voted >= 0.9 * within
+
+
+def test_search_gives_a_row_for_each_query_and_class(spark):
+    rng = np.random.default_rng(6)
+    x, y = (rng.integers(0, 2**31, 70).astype(np.int32).tolist() for _ in range(2))
+    long = rng.integers(0, 2**31, 300_000).astype(np.int32).tolist()
+    rows = [(50, x), (7, x), (3, y), (100, [c ^ (i % 2) for i, c in enumerate(y)]), (150, None), (200, []), (None, x), (250, x[:20]), (50, y), (300, long), (8, long[150_000:150_500])]
+    made = spark.createDataFrame([(i, c, 1) for i, c in rows], "id long, codes array<int>, votes int")
+    got = sorted(map(tuple, chroma.search(made, F.col("id") % 50 == 0).collect()), key=repr)
+    flipped = 1 / 64
+    want = [(50, 7, 2, None, None, None, None, None), (50, 3, 2, 100, 1, 0, 126, flipped), (100, 100, 1, 3, 2, 0, 126, flipped), (150, 150, 1, None, None, None, None, None), (200, 200, 1, None, None, None, None, None), (250, 250, 1, None, None, None, None, None), (300, 300, 1, 8, 1, -150_000, 8 * 499 - 36, 0.0)]
+    assert got == sorted(want, key=repr)
+    assert chroma.search(made.limit(0), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("kind", range(6))
+def test_filters_equal_sums_over_the_image(kind):
     rng = np.random.default_rng(2)
     image = rng.random((1, 40, 12))
     integral = np.zeros((1, 41, 13))
     integral[:, 1:, 1:] = image.cumsum(1).cumsum(2)
-    y, high, wide = 2, 6, 8
-    got = chroma._filter(integral, 2, y, high, wide)[0]
+    y, high, wide = 2, 6, 9
+    got = chroma._filter(integral, kind, y, high, wide)[0]
     for i, g in enumerate(got):
-        a, b = image[0, i : i + wide // 2, y : y + high].sum(), image[0, i + wide // 2 : i + wide, y : y + high].sum()
+        part = lambda x0, y0, x1, y1: image[0, i + x0 : i + x1, y0:y1].sum()
+        a, b = {
+            0: lambda: (part(0, 2, 9, 8), part(0, 0, 9, 12) / 12 * 6),
+            1: lambda: (part(0, 2, 9, 5), part(0, 5, 9, 8)),
+            2: lambda: (part(0, 2, 4, 8), part(4, 2, 9, 8)),
+            3: lambda: (part(0, 2, 4, 5) + part(4, 5, 9, 8), part(0, 5, 4, 8) + part(4, 2, 9, 5)),
+            4: lambda: (part(0, 4, 9, 6), part(0, 2, 9, 4) + part(0, 6, 9, 8)),
+            5: lambda: (part(3, 2, 6, 8), part(0, 2, 3, 8) + part(6, 2, 9, 8)),
+        }[kind]()
         assert g == pytest.approx(np.log((1 + a) / (1 + b)))
 
 
