@@ -1,12 +1,16 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document's terms are its distinct words and their beginnings of 4, 5 and 6 bytes, hashed to 2**20 numbers; a beginning stands
-for all words of a stem. The machine scores a document by a bias, a weight for each term and a vector for each term, the inner
-products of two terms' vectors being the weights of the pair: it learns which terms count for more together.
+A document's terms are its distinct words and their beginnings of 4, 5 and 6 bytes, hashed to 40 bits; a beginning stands for all
+words of a stem. The machine scores a document by a bias, a weight for each term and a vector for each term, the inner
+products of two terms' vectors being the weights of the pair: it learns which terms count for more, or only, together.
 
 Training takes labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most TRAIN_ROWS of them (those of the least hashes of
-their ids; this bound holds at any size of the corpus). Terms are scaled by their log-odds between the classes, and by the root
-of the number of a document's terms; weights are fitted by AdaGrad on the logistic loss. The fit is the same for the same rows.
+their ids; this bound holds at any size of the corpus). Terms are counted by class in a grouped aggregation over these rows, and those
+whose share of toxic rows departs from the whole's by LEAST_Z standard deviations are known to the machine, at most KEPT_TERMS of them
+(the farthest); only their numbers come to the driver. Terms and pairs have a scale of their own, one, whatever the document's
+length: neither drowns in the other or in long texts. All weights begin at zero and all vectors near it, so that pairs take what single
+terms don't explain; an absolute penalty on weights keeps those at zero that pairs make needless. Steps are Adam's over all rows. The
+fit is the same for the same rows.
 
 Null and empty texts have no terms and get the bias' score. Without labelled rows of both classes, every score is the share of
 toxic rows among them (0 if there are none). A null doc_id is not held out and not trained on; an id's repeated labels count as
@@ -22,20 +26,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import discard, written
 from .wordhash import ALNUM_SPLIT, chunks, prefix_hashes, text_buffers, word_spans, words
 
 U = np.uint64
-TERM_BITS = 20
+TERM_BITS = 40
 PREFIXES = (4, 5, 6)
-#: Labelled rows to train on at most.
+#: Labelled rows to train on at most, and terms to know at most.
 TRAIN_ROWS = 16_000
-FACTORS = 4
-EPOCHS = 8
-#: Steps to take at least: few rows are passed over more often.
-LEAST_STEPS = 600
-BATCH_ROWS = 256
-#: Training rows a term must be in.
+KEPT_TERMS = 8_192
+#: Training rows a term must be in, and standard deviations that it must depart by.
 LEAST_ROWS = 3
+LEAST_Z = 4.0
+FACTORS = 4
+STEPS = 200
+RATE = 0.1
+PENALTY = 3e-4
+SHRINKAGE = 1e-3
+#: Bits of the bitmap that terms are looked up in first.
+SCREEN_BITS = 20
 
 
 def document_terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,97 +80,122 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, off = text_buffers(batch.column(2))
         for lo, hi in chunks(data, off):
             term, at = document_terms(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(term.astype(np.int32)))], names=["doc_id", "y", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(term))], names=["doc_id", "y", "terms"])
 
 
 class Machine:
-    """bias; of each known term, its weight and vector (both with the term's scale); slot: a term's place among them, or -1."""
+    """bias; the known terms in order; their weights and vectors."""
+
+    def __init__(self, bias: float, terms: np.ndarray, weight: np.ndarray, vector: np.ndarray):
+        self.bias, self.terms, self.weight, self.vector = bias, terms, weight, vector
+        self.screen = np.zeros(1 << SCREEN_BITS, dtype=bool)
+        self.screen[terms & ((1 << SCREEN_BITS) - 1)] = True
 
-    def __init__(self, bias: float, slot: np.ndarray, weight: np.ndarray, vector: np.ndarray):
-        self.bias, self.slot, self.weight, self.vector = bias, slot, weight, vector
+    def places(self, term: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of flat terms of documents: the known ones' places among them, and where each document's begin (and the last end)."""
+        some = np.flatnonzero(self.screen[term & ((1 << SCREEN_BITS) - 1)])
+        place = np.searchsorted(self.terms, term[some])
+        known = self.terms[np.minimum(place, len(self.terms) - 1)] == term[some] if len(self.terms) else np.zeros(0, bool)
+        return place[known], np.searchsorted(some[known], at)
 
     def logits(self, term: np.ndarray, at: np.ndarray) -> np.ndarray:
-        docs = len(at) - 1
-        doc = np.repeat(np.arange(docs), np.diff(at))
-        scale = 1 / np.sqrt(np.maximum(1, np.diff(at)))
-        place = self.slot[term]
-        known = place >= 0
-        doc, place = doc[known], place[known]
-        out = np.full(docs, self.bias) + scale * np.bincount(doc, self.weight[place], docs)
-        for f in range(self.vector.shape[1]):
-            v = self.vector[place, f]
-            out += 0.5 * scale**2 * (np.bincount(doc, v, docs) ** 2 - np.bincount(doc, v * v, docs))
-        return out
-
-
-def fit(y: np.ndarray, term: np.ndarray, at: np.ndarray, seed: int = 4) -> Machine:
-    """y: 0 or 1 of each row; term[at[i]:at[i+1]]: distinct terms of row i."""
-    size = 1 << TERM_BITS
+        place, at = self.places(term, at)
+        total, _, squares = _sums(self.vector[place], at)
+        return self.bias + _by(self.weight[place], at) + 0.5 * ((total**2).sum(1) - squares)
+
+
+def _by(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the rows x[at[i]:at[i + 1]]."""
+    whole = np.concatenate((x, np.zeros((1, *x.shape[1:]))))
+    out = np.add.reduceat(whole, np.minimum(at[:-1], len(x)), axis=0) if len(at) > 1 else np.zeros((0, *x.shape[1:]))
+    out[at[1:] == at[:-1]] = 0
+    return out
+
+
+def _sums(v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _by(v, at), v, _by((v * v).sum(1), at)
+
+
+def constant(share: float) -> Machine:
+    bias = float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share else -40.0)
+    return Machine(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
+
+
+def fit(y: np.ndarray, place: np.ndarray, at: np.ndarray, terms: np.ndarray, seed: int = 4) -> Machine:
+    """y: 0 or 1 of each row; place[at[i]:at[i+1]]: the distinct known terms of row i, as places in terms."""
     rows, good = len(y), int(y.sum())
-    slot = np.full(size, -1, dtype=np.int32)
     if not 0 < good < rows:
-        share = good / rows if rows else 0.0
-        bias = float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share else -40.0)
-        return Machine(bias, slot, np.zeros(0), np.zeros((0, FACTORS)))
-    pos, every = np.bincount(term[np.repeat(y == 1, np.diff(at))], minlength=size), np.bincount(term, minlength=size)
-    kept = np.flatnonzero(every >= LEAST_ROWS)
-    ratio = np.log((pos[kept] + 0.5) / (good + 1)) - np.log((every[kept] - pos[kept] + 0.5) / (rows - good + 1))
-    slot[kept] = np.arange(len(kept))
-    place = slot[term]
-    known = place >= 0
-    cut = np.append(0, np.cumsum(known, dtype=np.int64))[at]
-    place = place[known]
-    del known
-    scale = 1 / np.sqrt(np.maximum(1, np.diff(at)))
+        return constant(good / rows if rows else 0.0)
+    k = len(terms)
+    doc = np.repeat(np.arange(rows), np.diff(at))
+    by_term = np.argsort(place, kind="stable")
+    term_at = np.searchsorted(place[by_term], np.arange(k + 1))
     rng = np.random.default_rng(seed)
-    bias, w, v = float(np.log(good / (rows - good))), np.full(len(kept), 0.5), rng.normal(0, 0.02, (len(kept), FACTORS))
-    seen_b, seen_w, seen_v = 1e-6, np.full(len(kept), 1e-6), np.full(v.shape, 1e-6)
-    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-rows // BATCH_ROWS)))
-    for epoch in range(epochs):
-        rate = 0.1 / (1 + 4 * epoch / epochs)
-        order = rng.permutation(rows)
-        for i in range(0, rows, BATCH_ROWS):
-            some = order[i : i + BATCH_ROWS]
-            n = cut[some + 1] - cut[some]
-            own = np.repeat(np.arange(len(some)), n)
-            p = place[np.repeat(cut[some] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            x = ratio[p] * scale[some][own]
-            vx = v[p] * x[:, None]
-            total = np.stack([np.bincount(own, vx[:, f], len(some)) for f in range(FACTORS)], axis=1)
-            z = bias + np.bincount(own, w[p] * x, len(some)) + 0.5 * ((total**2).sum(1) - np.bincount(own, (vx * vx).sum(1), len(some)))
-            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]
-            gx = (g / len(some))[own] * x
-            used, back = np.unique(p, return_inverse=True)
-            gw = np.bincount(back, gx, len(used)) + 1e-6 * (w[used] - 0.5)
-            seen_w[used] += gw**2
-            w[used] -= rate * gw / np.sqrt(seen_w[used])
-            for f in range(FACTORS):
-                gv = np.bincount(back, gx * (total[own, f] - vx[:, f]), len(used)) + 1e-6 * v[used, f]
-                seen_v[used, f] += gv**2
-                v[used, f] -= rate * 0.3 * gv / np.sqrt(seen_v[used, f])
-            gb = float(g.mean())
-            seen_b += gb**2
-            bias -= rate * gb / np.sqrt(seen_b)
-    return Machine(bias, slot, w * ratio, v * ratio[:, None])
+    bias = float(np.log(good / (rows - good)))
+    value = [np.array([bias]), np.zeros(k), rng.normal(0, 0.05, (k, FACTORS))]
+    mean, square = ([np.zeros_like(x) for x in value] for _ in range(2))
+    for step in range(1, STEPS + 1):
+        (b,), w, v = value
+        vx = v[place]
+        total, _, squares = _sums(vx, at)
+        z = b + _by(w[place], at) + 0.5 * ((total**2).sum(1) - squares)
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / rows
+        gx = g[doc]
+        slope = [
+            np.array([g.sum()]),
+            _by(gx[by_term], term_at) + PENALTY * np.sign(w),
+            _by((gx[:, None] * (total[doc] - vx))[by_term], term_at) + SHRINKAGE * v,
+        ]
+        rate = RATE / (1 + 2 * step / STEPS)
+        for x, s, m, q in zip(value, slope, mean, square, strict=True):
+            m += 0.1 * (s - m)
+            q += 0.01 * (s * s - q)
+            x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-8)
+    return Machine(float(value[0][0]), terms, value[1], value[2])
+
+
+def known_terms(rows: DataFrame, n: int, good: int) -> np.ndarray:
+    """Of training rows (y, terms): the terms that depart the most from the share of toxic rows, in order."""
+    p = good / n
+    counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("every"), F.sum("y").alias("toxic")).where(F.col("every") >= LEAST_ROWS)
+    z = F.abs(F.col("toxic") - F.col("every") * p) / F.sqrt(F.col("every") * (p * (1 - p)))
+    kept = counts.select("term", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(KEPT_TERMS)
+    return np.sort(kept.select("term").toArrow()["term"].to_numpy())
+
+
+def _place_rows(terms: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Machine(0.0, terms, np.zeros(len(terms)), np.zeros((len(terms), FACTORS)))
+        for batch in batches:
+            col = batch.column(2)
+            off = col.offsets.to_numpy().astype(np.int64)
+            place, at = own.places(col.values.to_numpy()[off[0] : off[-1]], off - off[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(place.astype(np.int32))), batch.column(3)], names=["doc_id", "y", "places", "h"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> Machine:
     """The machine fitted on documents' texts and labels (doc_id and a 0/1 column)."""
     own = F.broadcast(training_labels(labels, label, rows))  # bounded by rows
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(own, "doc_id").select("doc_id", "y", "text")
-    table = found.mapInArrow(_term_rows, "doc_id long, y int, terms array<int>").toArrow().sort_by("doc_id")
-    y, terms = table["y"].to_numpy().astype(np.int64), table["terms"].combine_chunks()
-    if not len(y):
-        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64))
-    if isinstance(terms, pa.ChunkedArray):
-        terms = terms.combine_chunks()
-    off = terms.offsets.to_numpy()
-    return fit(y, terms.values.to_numpy()[off[0] : off[-1]], off - off[0])
+    table = written(found.mapInArrow(_term_rows, "doc_id long, y int, terms array<long>"), "terms")
+    n, good = table.agg(F.count("*"), F.sum("y")).first()
+    if not n or not 0 < good < n:
+        return constant(good / n if n else 0.0)
+    terms = known_terms(table, n, good)
+    # at most KEPT_TERMS numbers a row come to the driver
+    back = table.select("doc_id", "y", "terms", F.xxhash64("terms").alias("h")).mapInArrow(_place_rows(terms), "doc_id long, y int, places array<int>, h long")
+    back = back.toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")]).combine_chunks()
+    discard(table)
+    places = back["places"].chunk(0)
+    off = places.offsets.to_numpy().astype(np.int64)
+    return fit(back["y"].to_numpy().astype(np.int64), places.values.to_numpy()[off[0] : off[-1]].astype(np.int64), off - off[0], terms)
 
 
 def toxicity(spark, machine: Machine):
     """A function from a text column to its score, a double from 0 to 1."""
-    model = spark.sparkContext.broadcast((machine.bias, machine.slot, machine.weight.astype(np.float32), machine.vector.astype(np.float32)))
+    model = spark.sparkContext.broadcast((machine.bias, machine.terms, machine.weight, machine.vector))
 
     def run(col: pa.Array) -> pa.Array:
         own = Machine(*model.value)

@@ -1,7 +1,10 @@
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm import op4_toxicity as tox
@@ -37,19 +40,57 @@ def test_toxic_rows_are_found_on_held_out_ids(spark, docs, words):
     assert clean.columns == frame.columns and {900, 901, 902} <= {r.doc_id for r in clean.collect()}
 
 
-def test_factors_learn_an_interaction():
-    """An insult and a group are harmless apart; together they are toxic."""
-    rng = np.random.default_rng(0)
-    rows, y = [], []
+def rough_terms(text):
+    """Words and their beginnings, plainly."""
+    found = [w for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))]
+    return {("word", w) for w in found} | {(n, w[:n]) for w in found for n in tox.PREFIXES if len(w) >= n}
+
+
+def test_terms_are_words_and_their_beginnings(words):
+    texts = ["Moron morons, MORON!", "", "été étés naïve_x 12345678", "a" * 50_000 + " b", " ".join(words(300)), "\u00a0x y\tz"]
+    data, off = tox.text_buffers(pa.array(texts))
+    term, at = tox.document_terms(data, off)
+    got = [set(term[at[i] : at[i + 1]].tolist()) for i in range(len(texts))]
+    plain = [rough_terms(t) for t in texts]
+    assert [len(x) for x in got] == [len(x) for x in plain]
+    for i, x in enumerate(plain):  # a term has one number wherever it stands
+        for j in range(i):
+            assert len(x & plain[j]) == len(got[i] & got[j])
+
+
+def test_logits_equal_the_sum_over_pairs():
+    rng = np.random.default_rng(1)
+    terms = np.sort(rng.choice(1 << 40, 30, replace=False))
+    m = tox.Machine(-0.3, terms, rng.normal(size=30), rng.normal(size=(30, tox.FACTORS)))
+    rows = [np.sort(np.concatenate((rng.choice(terms, n, replace=False), rng.integers(0, 1 << 40, 5)))) for n in (0, 1, 2, 7, 30)] + [np.zeros(0, np.int64)]
+    got = m.logits(np.concatenate(rows), np.append(0, np.cumsum([len(r) for r in rows])))
+    for g, r in zip(got, rows):
+        at = [int(np.searchsorted(terms, t)) for t in r if t in terms]
+        want = m.bias + sum(m.weight[i] for i in at) + sum(m.vector[i] @ m.vector[j] for k, i in enumerate(at) for j in at[:k])
+        assert g == pytest.approx(want)
+
+
+def test_insults_with_group_mentions_are_toxic_only_together(spark, docs, words):
+    """Planted: an insult alone and a group alone are harmless. Pairs find them through the query's steps; without them, the best cut of the linear part fails."""
+    rng = random.Random(8)
+    rows, labels = [], []
     for i in range(3000):
-        a, b = i & 1, i >> 1 & 1
-        rows.append(np.unique(np.concatenate((rng.integers(100, 160, 3), [1] * a, [2] * b))).astype(np.int64))
-        y.append(a & b)
-    at = np.append(0, np.cumsum([len(r) for r in rows]))
-    m = tox.fit(np.array(y), np.concatenate(rows), at)
-    pair = m.vector[m.slot[1]] @ m.vector[m.slot[2]]
-    assert abs(pair) > 1e-3
-    assert np.mean((m.logits(np.concatenate(rows), at) >= 0) == np.array(y)) > 0.97
+        w = words(rng.randint(10, 120), 5000 + i, 600)
+        insult, group = i % 3 == 0, i % 4 < 2
+        w += ["blistering"] * insult + ["martians"] * group
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(insult and group)))
+    frame, table = docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    machine = tox.train(frame, table)
+    scored = frame.select("doc_id", "text", tox.toxicity(spark, machine)("text").alias("s")).collect()
+    held = [r for r in scored if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    truth = np.array([labels[r.doc_id][2] for r in held])
+    assert np.mean((np.array([r.s for r in held]) >= 0.5) == truth) > 0.98
+    linear = tox.Machine(machine.bias, machine.terms, machine.weight, np.zeros_like(machine.vector))
+    data, off = tox.text_buffers(pa.array([r.text for r in held]))
+    z = linear.logits(*tox.document_terms(data, off))
+    assert np.mean((z >= 0) == truth) < 0.9
 
 
 def test_training_without_both_classes(spark, docs):
