@@ -187,6 +187,14 @@ def test_marks_of_elements():
     assert page.main_text(page.lines(html), []) == "Title\nBody"
 
 
+def test_words_that_an_article_may_be_about_need_evidence():
+    def lines(n):
+        return page.lines(f'<article><h1>T{n}</h1><p class="search-results">Found {n}</p><section class="tags-and-types">Types {n}</section><div class="related">See also</div><div class="share-bar">Share</div><p class="ad">Buy</p><p>Body {n}</p></article>')
+
+    assert page.main_text(lines(1), []) == "T1\nFound 1\nTypes 1\nSee also\nBody 1"
+    assert page.main_text(lines(1), [lines(2)]) == "T1\nFound 1\nTypes 1\nBody 1"
+
+
 def test_pages_without_an_article_lose_shared_lines(spark):
     def html(body):
         return f"<html><body><div>Site name</div><div>Menu one</div>{body}<div>All rights</div></body></html>"
@@ -194,10 +202,18 @@ def test_pages_without_an_article_lose_shared_lines(spark):
     rows = [(1, "http://h.x/a/1", html("<p>first text")), (2, "https://H.x/a/2?x=1", html("<p>second text")), (3, "http://h.x/a/3", html("<p>second text")), (4, "http://other/a/1", html("<p>alone")), (5, None, None), (5, None, ""), (6, "x", "plain &lt;text")]
     frame = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, g string")
     got = sorted((r.page_id, r.text) for r in page.extract(frame).collect())
-    assert got == [(1, "first text"), (2, "second text"), (3, "Site name\nMenu one\nsecond text\nAll rights"), (4, "Site name\nMenu one\nalone\nAll rights"), (5, ""), (5, ""), (6, "plain <text")]
+    assert got == [(1, "first text"), (2, "second text"), (3, "second text"), (4, "Site name\nMenu one\nalone\nAll rights"), (5, ""), (5, ""), (6, "plain <text")]
     assert page.extract(frame.limit(0)).count() == 0
 
 
+def test_short_pages_in_a_long_frame_lose_it():
+    def lines(n):
+        return [(f"frame {i}", False, False, False) for i in range(30)] + [(f"own {n}", False, False, False)]
+
+    assert page.main_text(lines(1), [lines(2), lines(1), lines(3)]) == "own 1"
+    assert page.main_text(lines(1), [lines(2), lines(1)]).startswith("frame 0")
+
+
 def test_differencing_decides_on_pages_with_an_article():
     def lines(title, body):
         return page.lines(f"<div>Site name</div><h1>{title}</h1><article><p>{body}<p>Quoted</article><div>All rights</div>")
@@ -205,22 +221,73 @@ def test_differencing_decides_on_pages_with_an_article():
     assert page.main_text(lines("Title", "text"), [lines("Other", "else")]) == "Title\ntext\nQuoted"
 
 
-def test_groups_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(page, "GROUP_PAGES", 4)
-    rows = [(i, f"http://h/{i}", f"<div>Frame</div><article><p>t{i}</p></article>") for i in range(40)]
-    got = sorted((r.page_id, r.text) for r in page.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
-    assert got == [(i, f"t{i}") for i in range(40)]
-
-
-def test_neighbours_are_the_hosts_nearest_whatever_the_folder_and_range(spark, monkeypatch):
-    monkeypatch.setattr(page, "GROUP_PAGES", 3)
-    rows = [(i, f"http://h/a/{i:03}/index.html", f"<div>Shared {i // 2}</div><div>Own {i}</div><div>Shared {(i + 1) // 2}</div>") for i in range(41)]
-    rows += [(100 + i, None, f"<p>Frame<p>t{i}<p>u{i}") for i in range(3)]
-    got = sorted((r.page_id, r.text) for r in page.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect())
-    pages = [page.lines(r[2]) for r in rows]
-    host = [range(41), range(41, 44)]
-    want = [(rows[i][0], page.main_text(pages[i], [pages[k] for k in (i - 1, i + 1) if k in h])) for h in host for i in h]
-    assert got == want and got[3][1] == "Own 3\nShared 2" and got[-1][1] == "t2\nu2"
+def brute_texts(rows):
+    """Texts by page of whole hosts in memory, with plain neighbours and a plain alignment of greatest length."""
+
+    def key(r):
+        url = r[1] or ""
+        bare = url.split("://", 1)[1] if "://" in url else url
+        whole = bare.split("?")[0].split("#")[0]
+        host, _, rest = whole.partition("/")
+        return host.lower(), whole[len(host) :], r[0], r[1] or "", r[2] or ""
+
+    order = sorted(rows, key=key)
+    read = [page.lines(r[2] or "") for r in order]
+    out = []
+    for i, own in enumerate(read):
+        near = sorted((abs(j - i), j) for j in range(max(0, i - page.LOOK), min(len(read), i + page.LOOK + 1)) if j != i and key(order[j])[0] == key(order[i])[0])
+        names, copies, gone = [x[0] for x in own], [], None
+        for _, j in near:
+            other = [x[0] for x in read[j]]
+            if other != names and gone is None:
+                common = page.shared_lines(names, other)
+                assert len(common) == lcs(names, other)
+                if len(common) < page.COPY * len(names):
+                    gone = common
+                copies.append(common)
+        gone = gone if gone is not None else copies[0] & copies[1] if len(copies) > 1 else set()
+        out.append((order[i][0], "\n".join(x[0] for k, x in enumerate(own) if not x[2] and not (k in gone and (x[3] or not x[1])))))
+    return sorted(out)
+
+
+def test_texts_equal_brute_force_whatever_the_ranges(spark, monkeypatch):
+    """Copies, near copies, long frames, folders of one page, repeated ids and URLs, null URLs, over ranges of about three pages."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(160):
+        host, frame = rng.choice(["A.x", "b.x", "c.x:80"]), [f"<div>f{k % rng.choice([3, 40])}</div>" for k in range(rng.choice([2, 30]))]
+        body = [f"<p>t{rng.randrange(60)}</p>" for _ in range(rng.randint(0, 5))]
+        if rng.random() < 0.5:
+            body = ["<article>", *body, '<div class="related">See also</div>', "</article>"]
+        html = "".join(frame[: len(frame) // 2] + body + frame[len(frame) // 2 :])
+        url = rng.choice([f"http://{host}/a/{rng.randrange(50)}", f"https://{host}/{i}/index.html?q={i}", None])
+        rows += [(i, url, html)] * rng.choice([1, 1, 1, 2, 7]) if rng.random() < 0.9 else [(i, url, None)]
+    want = brute_texts(rows)
+    for size in (3, 1000):
+        monkeypatch.setattr(page, "GROUP_PAGES", size)
+        made = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+        assert sorted((r.page_id, r.text) for r in page.extract(made).collect()) == want
+
+
+def test_small_ranges_lend_across_each_other():
+    keys = [("h", f"{i:02}", i, "") for i in range(20)]
+    ends = {0: keys[:1], 1: keys[1:3], 3: keys[3:4], 4: [*keys[4:8], *keys[16:20]]}
+    lent = {}
+    for k, b in page._lendings(ends):
+        lent.setdefault(b, set()).add(k[2])
+    assert lent == {0: {1, 2, 3, 4}, 1: {0, 3, 4, 5, 6}, 2: {0, 1, 2, 4, 5, 6, 7}, 3: {0, 1, 2, 3}}
+
+
+@pytest.mark.parametrize("part", ["<a '", '<a ="', "<a b='>'", "<div></x>", "<b><p>", "<b>", "<!--", "<title>", "</b>", "&amp;", "<p><b><div></b>", "<", "<![CDATA[", "<a b=c>d", "<li>x", "<script>x"])
+def test_a_megabyte_of_anything_is_read_in_proportion(part):
+    import time
+
+    took = []
+    for size in (1 << 17, 1 << 20):
+        began = time.perf_counter()
+        page.lines("<b><div>" + part * (size // len(part)) + "</x>" * 9)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0] + 1
 
 
 # --- chat ------------------------------------------------------------------------------------------------------------------
