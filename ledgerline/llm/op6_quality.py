@@ -1,15 +1,20 @@
 """Quality by hierarchical empirical Bayes: a document's own evidence, and what its path and host are like.
 
 Evidence is the logit of a logistic regression on figures of style (shares of capitals, digits, signs, repeated words, pairs and
-lines, word lengths), fitted on a bounded sample of labelled rows. Rates of good documents by host and by path are grouped sums of
-the documents' probabilities. A path's rate is shrunk toward its host's, a host's toward the global one, each as if it had kappa
-more documents of that rate; kappa is estimated from how much the groups differ beyond what their sizes explain, so that sites
-with few documents follow the prior, and so do all if sites don't differ. A document is left out of its own path's rate.
+lines, word lengths), fitted on a bounded sample of labelled rows, and computed once for each document. Rates of good documents by host
+and by path are grouped sums of the documents' probabilities. A path's rate is shrunk toward its host's, a host's toward the global one, each
+as if it had kappa more documents of that rate. Kappa is the variance of documents within groups over the variance between groups,
+by the usual moments of a one-way layout (groups of all sizes): sites with few documents follow the prior, and so do all if sites
+don't differ. A document is left out of its own path's rate.
 
-The score of a document is its evidence, moved by the log-odds of its path's rate against the global one.
+The score of a document is its evidence, moved by the log-odds of its path's rate against the global one: the posterior of a
+document whose prior is its site's instead of the corpus'.
+
+Hosts and paths are columns. Of a table without URLs, site() takes what is before the first slash of a source (after a scheme) as the host, and
+the first folder after it, or else the language, as the path.
 
 A null or empty text has figures of 0 and is scored from them. Null hosts and paths form a group of their own. Without labelled
-rows of both classes, all evidence is 0 and all documents are kept. A null doc_id isn't trained on.
+rows of both classes, all evidence is 0 and all documents are kept. A null doc_id isn't trained on. Repeated rows count each time.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from .wordhash import LOWER, SPACE_SPLIT, byte_class, chunks, ngrams, text_buffe
 
 #: Labelled rows to train on at most.
 TRAIN_ROWS = 16_000
+#: Least and largest kappa; the latter also where groups don't differ or there is one only.
 KAPPA = (2.0, 1e6)
 _LINES = byte_class(b"\n")
 _SIGNS = np.zeros(256, dtype=bool)
@@ -133,35 +139,49 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def _kappa(groups: DataFrame, rate: float) -> float:
-    """Documents that a prior counts for, from the spread of the groups' rates."""
-    n, k, spread = groups.agg(F.sum("n"), F.count("*"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - rate, 2))).first()
-    inner = rate * (1 - rate)
-    if not n or not inner:
+def _kappa(groups: DataFrame) -> float:
+    """Documents that a prior counts for, from the groups' sums s, sums of squares q and counts n."""
+    of = F.sum("n"), F.sum(F.col("n") * F.col("n")), F.count("*"), F.sum("s"), F.sum(F.col("s") * F.col("s") / F.col("n")), F.sum("q")
+    n, n2, k, s, by_group, q = groups.agg(*of).first()
+    if not n or k < 2 or n <= k:
         return KAPPA[1]
-    between = spread / n - inner * k / n
-    return float(min(max(inner / between - 1 if between > 0 else KAPPA[1], KAPPA[0]), KAPPA[1]))
+    within = max(0.0, q - by_group) / (n - k)
+    between = (by_group - s * s / n - (k - 1) * within) / (n - n2 / n)
+    return float(min(max(within / between, KAPPA[0]), KAPPA[1])) if between > 0 else KAPPA[1]
 
 
 def site_rates(docs: DataFrame, p: Column, host: Column, path: Column) -> tuple[DataFrame, float, float]:
     """A row per path: its host, path, s and n (sum and count), the host's shrunk rate; the global rate and the paths' kappa."""
-    paths = written(docs.select(host.cast("string").alias("host"), path.cast("string").alias("path"), p.alias("p")).groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    own = docs.select(host.cast("string").alias("host"), path.cast("string").alias("path"), p.alias("p"))
+    paths = written(own.groupBy("host", "path").agg(F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"), F.count("*").alias("n")), "paths")
+    hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"))
     s, n = hosts.agg(F.sum("s"), F.sum("n")).first()
     rate = s / n if n else 0.5
-    kh, kp = _kappa(hosts, rate), _kappa(paths, rate)
+    kh, kp = _kappa(hosts), _kappa(paths)
     hosts = hosts.select(F.col("host").alias("h"), ((F.col("s") + kh * rate) / (F.col("n") + kh)).alias("host_rate"))
-    return paths.join(small(hosts), F.col("host").eqNullSafe(F.col("h"))).drop("h"), rate, kp
+    return paths.join(small(hosts), F.col("host").eqNullSafe(F.col("h"))).drop("h", "q"), rate, kp
+
+
+def site(source: Column, lang: Column) -> tuple[Column, Column]:
+    """Host and path of a source, a URL or a name."""
+    bare = F.regexp_replace(F.lower(source.cast("string")), "^[a-z][a-z0-9+.-]*://", "")
+    folder = F.regexp_extract(bare, "^[^/]*/([^/?#]+)/", 1)
+    return F.regexp_extract(bare, "^[^/?#]*", 0), F.when(folder != "", folder).otherwise(lang.cast("string"))
+
+
+def with_evidence(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with a column __e, the logit of being good by the text alone."""
+    return docs.withColumn("__e", evidence(docs.sparkSession, train(docs, labels))(F.col("text").cast("string")))
 
 
-def scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
-    """docs with a struct column quality: evidence (logit), host_rate, path_rate, score; the columns of docs stay."""
-    logit = evidence(docs.sparkSession, train(docs, labels))(F.col("text").cast("string"))
+def scored(docs: DataFrame, host: Column, path: Column) -> DataFrame:
+    """docs (with __e) with a struct column quality: evidence (logit), host_rate, path_rate, score; the other columns stay. docs is written once, so that evidence isn't computed for the rates and again for the scores."""
+    docs = written(docs, "evidence")
     p = 1 / (1 + F.exp(-F.col("__e")))
-    rates, rate, kappa = site_rates(docs.withColumn("__e", logit), p, host, path)
+    rates, rate, kappa = site_rates(docs, p, host, path)
     rates = rates.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("s").alias("__s"), F.col("n").alias("__n"), F.col("host_rate").alias("__hr"))
     on = host.cast("string").eqNullSafe(F.col("__host")) & path.cast("string").eqNullSafe(F.col("__path"))
-    both = docs.withColumn("__e", logit).join(small(rates), on)
+    both = docs.join(small(rates), on)
     path_rate = (F.col("__s") - p + kappa * F.col("__hr")) / (F.col("__n") - 1 + kappa)
     score = 1 / (1 + F.exp(-(F.col("__e") + _logit(path_rate) - _logit(F.lit(rate)))))
     return both.withColumn("quality", F.struct(F.col("__e").alias("evidence"), F.col("__hr").alias("host_rate"), path_rate.alias("path_rate"), score.alias("score"))).drop("__e", "__host", "__path", "__s", "__n", "__hr")
@@ -169,14 +189,15 @@ def scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> Da
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    out = scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("source"), F.col("lang"))
+    own = with_evidence(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
+    out = scored(own, *site(F.col("source"), F.col("lang")))
     q = F.col("quality")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), q["evidence"].alias("evidence"), q["host_rate"].alias("host_rate"), q["path_rate"].alias("path_rate"), q["score"].alias("score"), (q["score"] >= 0.5).cast("int").alias("predicted"))
 
 
 def good_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that score under 0.5; all columns stay. Hosts are sources, paths their languages."""
+    """docs without those that score under 0.5; all columns stay, whatever their names."""
     columns = docs.columns
     kept = docs if "quality" not in columns else docs.withColumnRenamed("quality", "__quality")
-    out = scored(kept, labels, F.col("source"), F.col("lang")).where("quality.score >= 0.5").drop("quality")
+    out = scored(with_evidence(kept, labels), *site(F.col("source"), F.col("lang"))).where("quality.score >= 0.5").drop("quality")
     return (out.withColumnRenamed("__quality", "quality") if "quality" in columns else out).select(columns)

@@ -113,9 +113,81 @@ def test_quality(spark, docs, words):
     assert np.mean([(i in got) == truth[i] for i in truth]) > 0.95
 
 
-def test_sparse_sites_follow_the_prior(spark):
-    rows = [(h, f"p{i % 2}", 0.9 if h == "good" else 0.1) for h in ("good", "bad") for i in range(200)] + [("rare", "p", 0.9)]
-    frame = spark.createDataFrame(rows, "h string, p string, x double")
-    rates, rate, kappa = qual.site_rates(frame, F.col("x"), F.col("h"), F.col("p"))
-    by = {r.host: r.host_rate for r in rates.collect()}
-    assert by["good"] > by["rare"] > by["bad"] and abs(by["rare"] - rate) < 0.9 - rate and kappa >= qual.KAPPA[0]
+def plain_scores(rows):
+    """Scores by the formulas, of rows (host, path, evidence), in plain Python."""
+    logit = lambda p: np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    p = [1 / (1 + np.exp(-e)) for _, _, e in rows]
+    rate = np.mean(p)
+
+    def kappa(names):
+        groups = {}
+        for g, x in zip(names, p):
+            groups.setdefault(g, []).append(x)
+        k, n = len(groups), len(p)
+        if k < 2 or n <= k:
+            return groups, qual.KAPPA[1]
+        within = sum(((np.array(x) - np.mean(x)) ** 2).sum() for x in groups.values()) / (n - k)
+        between = sum(len(x) * (np.mean(x) - rate) ** 2 for x in groups.values()) - (k - 1) * within
+        between /= n - sum(len(x) ** 2 for x in groups.values()) / n
+        return groups, min(max(within / between, qual.KAPPA[0]), qual.KAPPA[1]) if between > 0 else qual.KAPPA[1]
+
+    hosts, kh = kappa([h for h, _, _ in rows])
+    paths, kp = kappa([r[:2] for r in rows])
+    out = []
+    for (h, q, e), x in zip(rows, p):
+        host = (sum(hosts[h]) + kh * rate) / (len(hosts[h]) + kh)
+        path = (sum(paths[h, q]) - x + kp * host) / (len(paths[h, q]) - 1 + kp)
+        out.append((host, path, 1 / (1 + np.exp(-(e + logit(path) - logit(rate))))))
+    return out
+
+
+def test_scores_equal_the_formulas(spark):
+    """Hosts of all sizes, two of them much worse than the rest, null hosts and paths, one document alone; and sites that don't differ."""
+    rng = np.random.default_rng(3)
+    for worse in (4.0, 0.0):
+        rows = []
+        for h in [*range(12), None]:
+            for _ in range(200 if h in (3, 5) else int(rng.choice([1, 2, 30, 200]))):
+                q = rng.choice(["a", "b", ""])
+                rows.append((None if h is None else f"h{h}", str(q) or None, float(rng.normal(1.5 - worse * (h in (3, 5)) - (worse > 0) * (q == "b"), 1.5))))
+        made = spark.createDataFrame([(i, *r, "x") for i, r in enumerate(rows)], "doc_id long, host string, path string, __e double, n string").repartition(3)
+        got = sorted(qual.scored(made, F.col("host"), F.col("path")).collect(), key=lambda r: r.doc_id)
+        assert [r.n for r in got] == ["x"] * len(rows)
+        for r, (host, path, score) in zip(got, plain_scores(rows)):
+            assert (r.quality.host_rate, r.quality.path_rate, r.quality.score) == pytest.approx((host, path, score), rel=1e-6)
+        rates = {r.host: r.quality.host_rate for r in got}
+        spread = max(rates.values()) - min(rates.values())
+        assert spread > 0.2 if worse else spread < 0.1
+
+
+def test_a_bad_site_turns_doubtful_documents_down(spark):
+    """Planted: of two documents with the same evidence, that of the site of junk goes and that of the good site stays; a site seen once follows the prior."""
+    rows = [("good", "a", 3.0)] * 60 + [("junk", "a", -3.0)] * 60 + [("good", "a", 0.2), ("junk", "a", 0.2), ("rare", "a", 0.2)]
+    made = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, host string, path string, __e double")
+    got = {r.doc_id: r.quality for r in qual.scored(made, F.col("host"), F.col("path")).collect()}
+    assert got[120].score > 0.6 and got[121].score < 0.2 and 0.4 < got[122].score < 0.65
+    assert got[120].host_rate > got[122].host_rate > got[121].host_rate
+
+
+def test_hosts_and_paths_of_sources(spark):
+    made = spark.createDataFrame([("https://A.x/b/c?d", "en"), ("a.x", "de"), ("src1", None), (None, "fr"), ("a.x/only", "es")], "source string, lang string")
+    got = [tuple(r) for r in made.select(*qual.site(F.col("source"), F.col("lang"))).collect()]
+    assert got == [("a.x", "b"), ("a.x", "de"), ("src1", None), (None, "fr"), ("a.x", "es")]
+
+
+def test_figures_are_plain_shares(words):
+    texts = ["ABC abc! a, a", "", "x\n x\ny | z", " ".join(words(500)), "\u00e9t\u00e9 1234567890123", "  "]
+    data, off = qual.text_buffers(pa.array(texts))
+    got = qual.figures(data, off)
+    for row, t in zip(got, texts):
+        raw = t.encode()
+        w = [x for x in re.split(rb"[\x20\x09-\x0d]+", raw) if x]
+        low = [x.lower() for x in w]
+        n, size, letters = max(1, len(w)), max(1, len(raw)), max(1, len(re.findall(rb"[A-Za-z]", raw)))
+        pairs = list(zip(low, low[1:]))
+        lines = [x for x in raw.lower().split(b"\n") if x]
+        repeated = lambda x: (len(x) - len(set(x))) / max(1, len(x))
+        want = [len(re.findall(rb"[A-Z]", raw)) / letters, len(re.findall(rb"[0-9]", raw)) / size, len(re.findall(rb"[#$%&*+<=>@^_{|}~\[\]\\/]", raw)) / size]
+        want += [raw.count(b"|") / n, raw.count(b"!") / n, len(re.findall(rb"[.,;:?]", raw)) / n, repeated(low), repeated(pairs), repeated(lines)]
+        want += [sum(len(x) <= 3 for x in w) / n, sum(len(x) > 12 for x in w) / n, sum(map(len, w)) / n / 10]
+        assert row == pytest.approx([*want, *np.sqrt(want), np.log1p(len(w)) / 10, np.log1p(size) / 10, float(not w)])
