@@ -5,8 +5,13 @@ holds all of its shingles, so one shingle is enough for a prefix: the rarest, as
 Documents look their shingles up among the prefix tokens; a match is kept if the window fits between the document's ends with
 the prefix at its place (length and positional bounds), and then verified by all the window's words.
 
-Windows go to the executors in blocks of bounded size: one broadcast for each block, one pass over the documents for each.
-Words are hashed to 64 bits; a window's identity is the hash of its words' hashes.
+Up to BLOCK_WINDOWS windows go to every task as one sorted table that documents are searched in, in one pass and without a shuffle.
+Of more, only a bitmap of the prefix tokens is sent: documents' shingles that it has, with the words around them, are joined with
+the windows by token in a shuffle, verified, and the hits grouped by document. Both give the same.
+
+Words are hashed to 64 bits, a shingle and a window to 64 bits of their words' hashes, and equal hashes count as equal: text that is no
+window's counts as hit only if both a shingle's and the whole window's hash collide, with a probability of 2^-64 and less for each
+candidate.
 
 Nulls and texts without words have no words and no hits. Null item texts have no windows; a null item_id counts as no item,
 but its windows still hit. Repeated documents give repeated rows, repeated items count once. An empty benchmark hits nothing.
@@ -22,15 +27,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small, written
 from .wordhash import ALNUM_SPLIT, chunks, ngrams, text_buffers, words
 
 U = np.uint64
 WINDOW = 10
 #: Words of a prefix token; windows of fewer words have tokens of one or two.
 GRAM = 3
-#: Windows of one broadcast, about 40 bytes each: 20 MB.
+#: Windows of the broadcast, about 40 bytes each: 20 MB. More are joined.
 BLOCK_WINDOWS = 500_000
+#: Bits of the bitmap for each window of a join, and at most (32 MB).
+JOIN_BITS = 16
+MOST_BITS = 1 << 28
 #: Bits of the bitmap that a document's shingles are looked up in first.
 SCREEN_BITS = 1 << 22
 
@@ -155,34 +163,111 @@ def _summary(hit: pa.Array, items: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(sha, pa.string())], names=["n_hit", "n_items", "items_sha256"])
 
 
-def _united(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        out.append(y or x if not (x and y) else np.bitwise_or(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).tobytes())
-    return pa.array(out, pa.binary())
+def _searched(docs: DataFrame, windows: DataFrame, name: str, text: str) -> DataFrame:
+    """By a broadcast of all windows: n_words, hit and items of each document."""
+    sink = pa.BufferOutputStream()
+    table = windows.toArrow()  # at most BLOCK_WINDOWS rows
+    with pa.ipc.new_stream(sink, table.schema) as s:
+        s.write_table(table)
+    search = F.arrow_udf(_searcher(docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())), _HIT_SCHEMA)
+    return docs.withColumn(name, search(F.col(f"`{text}`").cast("string")))
+
+
+def _bitmap(windows: DataFrame, n: int) -> np.ndarray:
+    """True for the low bits of every token."""
+    bits = min(MOST_BITS, max(SCREEN_BITS, 1 << (JOIN_BITS * n - 1).bit_length()))
+    low = F.col("token").bitwiseAND(F.lit(bits - 1))
+    cells = windows.groupBy(F.shiftright(low, 6).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(token & 63 as int)))").alias("set")).toArrow()
+    out = np.zeros(bits // 64, dtype=U)
+    out[cells["cell"].to_numpy()] = cells["set"].to_numpy().view(U)
+    return out
+
+
+_CANDIDATE = "uid long, token long, place_in int, before int, around array<long>"
+
+
+def _candidates(bitmap, window: int, grams: list[int]):
+    """Over uid and text: the shingles that may be a window's prefix, with the words around that such a window could have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        screen = bitmap.value
+        mask = U(len(screen) * 64 - 1)
+        for batch in batches:
+            data, off = text_buffers(batch.column(1))
+            uid = batch.column(0).to_numpy()
+            for lo, hi in chunks(data, off):
+                h, at = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], ALNUM_SPLIT)
+                for g in grams:
+                    t = ngrams(h, g)
+                    low = t & mask
+                    pos = np.flatnonzero(screen[(low >> U(6)).astype(np.int64)] >> (low & U(63)) & U(1))
+                    d = np.searchsorted(at, pos, side="right") - 1
+                    inside = pos + g <= at[d + 1]
+                    for i in range(0, int(inside.sum()), 1 << 15):
+                        p, own = pos[inside][i : i + (1 << 15)], d[inside][i : i + (1 << 15)]
+                        first, last = np.maximum(at[own], p + g - window), np.minimum(at[own + 1], p + window)
+                        n = last - first
+                        flat = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                        around = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(h[flat].view(np.int64)))
+                        yield pa.RecordBatch.from_arrays([pa.array(uid[lo + own]), pa.array(t[p].view(np.int64)), pa.array((p - at[own]).astype(np.int32)), pa.array((p - first).astype(np.int32)), around], names=["uid", "token", "place_in", "before", "around"])
+
+    return run
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over joined candidates: those that have the window's words around them (length and positional bounds, then all words)."""
+    for batch in batches:
+        uid, place_in, before, place, length = (batch.column(c).to_numpy().astype(np.int64) for c in ("uid", "place_in", "before", "place", "length"))
+        around = batch.column("around")
+        off = around.offsets.to_numpy().astype(np.int64)
+        h = around.values.to_numpy().view(U)
+        begin = off[:-1] + before - place
+        ok = (before >= place) & (begin + length <= off[1:])
+        same = np.zeros(len(uid), dtype=bool)
+        window = batch.column("window").to_numpy().view(U)
+        for m in np.unique(length[ok]):
+            own = np.flatnonzero(ok & (length == m))
+            same[own] = _row_hash(h[begin[own][:, None] + np.arange(m)]) == window[own]
+        yield pa.RecordBatch.from_arrays([pa.array(uid[same]), pa.array((place_in - place)[same]), pa.array(length[same]), batch.column("item_id").filter(pa.array(same))], names=["uid", "start", "length", "item_id"])
+
+
+def _marked(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """n_words, and a bit for each word that is in a span."""
+    data, off = text_buffers(text)
+    n, hit = [], []
+    spans = spans.to_pylist()
+    for lo, hi in chunks(data, off):
+        at = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], ALNUM_SPLIT)[1]
+        for i, many in enumerate(np.diff(at).tolist()):
+            n.append(many)
+            inside = np.zeros(many, dtype=bool)
+            for s in spans[lo + i] or ():
+                inside[s["start"] : s["start"] + s["length"]] = True
+            hit.append(np.packbits(inside).tobytes() if inside.any() else b"")
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(hit, pa.binary())], names=["n_words", "hit"])
+
+
+def _joined(docs: DataFrame, windows: DataFrame, n: int, name: str, text: str, window: int) -> DataFrame:
+    """By a shuffled join on prefix tokens: n_words, hit and items of each document."""
+    spark = docs.sparkSession
+    own = written(docs.withColumn("__uid", F.monotonically_increasing_id()), "documents")
+    grams = sorted(min(GRAM, r[0]) for r in windows.select("length").distinct().collect())
+    bitmap = spark.sparkContext.broadcast(_bitmap(windows, n))
+    found = own.select(F.col("__uid").alias("uid"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(_candidates(bitmap, window, sorted(set(grams))), _CANDIDATE)
+    hits = found.join(windows, "token").mapInArrow(_verified, "uid long, start long, length long, item_id string")
+    hits = written(hits, "hits").groupBy("uid").agg(F.collect_set(F.struct("start", "length")).alias("__spans"), F.collect_set("item_id").alias("__items"))  # one document's own
+    out = own.join(small(hits), F.col("__uid") == F.col("uid"), "left").drop("uid", "__uid")
+    marked = F.arrow_udf(_marked, "n_words long, hit binary")(F.col(f"`{text}`").cast("string"), F.col("__spans"))
+    out = out.withColumn("__marked", marked).withColumn("__items", F.coalesce("__items", F.array().cast("array<string>")))
+    both = F.struct(F.col("__marked.n_words").alias("n_words"), F.col("__marked.hit").alias("hit"), F.col("__items").alias("items"))
+    return out.withColumn(name, both).drop("__marked", "__items", "__spans")
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "leak", text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs with a struct column called name: n_words, hit (a bit for each word, high bits first; empty if none), items, n_hit, n_items, items_sha256."""
-    spark = docs.sparkSession
     windows = written(benchmark_windows(benchmark, window), "windows")
-    blocks = max(1, -(-windows.count() // block_windows))
-    out = docs
-    for k in range(blocks):
-        sink = pa.BufferOutputStream()
-        table = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).toArrow()
-        with pa.ipc.new_stream(sink, table.schema) as s:
-            s.write_table(table)
-        search = F.arrow_udf(_searcher(spark.sparkContext.broadcast(sink.getvalue().to_pybytes())), _HIT_SCHEMA)
-        found = search(F.col(text))
-        if k == 0:
-            out = out.withColumn(name, found)
-        else:
-            now = F.col("`__now`")
-            old = F.col(f"`{name}`")
-            union = F.arrow_udf(_united, "binary")
-            out = written(out, "hits").withColumn("__now", found)
-            out = out.withColumn(name, F.struct(old["n_words"].alias("n_words"), union(old["hit"], now["hit"]).alias("hit"), F.array_union(old["items"], now["items"]).alias("items"))).drop("__now")
+    n = windows.count()
+    out = _searched(docs, windows, name, text) if n <= block_windows else _joined(docs, windows, n, name, text, window)
     found = F.col(f"`{name}`")
     total = F.arrow_udf(_summary, "n_hit long, n_items long, items_sha256 string")(found["hit"], found["items"])
     out = out.withColumn("__total", total)

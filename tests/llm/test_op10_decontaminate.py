@@ -43,6 +43,7 @@ def cases(words):
             a = rng.randint(0, max(0, len(piece) - 8))
             w[rng.randint(0, len(w)) :] = piece[a : a + rng.randint(5, 40)]
         texts.append(rng.choice([" ", ", ", "\n"]).join(w).title())
+    texts.append(" ".join(words(30_000, 5, 60) + split(items[1][1]) + words(9, 6, 60)))  # very long
     return list(enumerate(texts)) + [(3, texts[3]), (None, items[0][1])], items
 
 
