@@ -4,10 +4,14 @@ A text is normalised as the model's identity normaliser does: a space stands for
 holds U+2581 after another character, so no merge crosses from a word into the next one's mark: each word with its marks is
 encoded apart, and once for all its occurrences.
 
-New words' symbols lie in one flat array. In each round, every word's least pair rank is found, the leftmost pair of that rank in
-each word is merged, for all words at once, and the array is compacted; words without a pair of the vocabulary leave it. One
-merge of a word per round keeps the order of the library's queue, where a merge can make a better pair than the next occurrence
-of the same one. Words of over LONG symbols use a queue of their own, so that one long word doesn't set the number of rounds.
+A word is cut further wherever its two neighbouring characters stand side by side in no piece, as no merge crosses there: what is
+left are runs, most of one character in writing without spaces that the model hardly knows.
+
+New words' symbols lie in one flat array. In each round, every run's least pair rank is found, the leftmost pair of that rank in
+each run is merged, for all runs at once, and the array is compacted; runs without a pair of the vocabulary leave it. One
+merge of a run per round keeps the order of the library's queue, where a merge can make a better pair than the next occurrence
+of the same one. A run of over LONG symbols, each two of them side by side in some piece, would set the number of rounds by itself: its
+merges go through a queue.
 
 A null text is an empty one: no ids, empty decoded text.
 """
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 from .units import Remembered
 
 MARK = "▁"
-LONG = 64
+#: Symbols of a run that is merged in rounds.
+LONG = 1024
 #: Symbol of a character that is no piece: this and its code point.
 _OTHER = 1 << 20
 #: Words remembered by one Python worker.
@@ -58,6 +63,8 @@ class PieceEncoder:
         found = sorted({(a << 32 | b, rank[i], i) for p, i in pieces.items() for k in range(1, len(p)) if (a := symbol(p[:k])) is not None and (b := symbol(p[k:])) is not None})
         self.pairs, self.ranks, self.merged = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
         self.lookup = {k: (r, i) for k, r, i in found}
+        beside = {ord(x) << 32 | ord(y) for p in pieces for x, y in zip(p, p[1:])}
+        self.beside = np.array(sorted(beside), dtype=np.int64)
         self.ids = Remembered(self._encode_words, REMEMBERED_WORDS)
         self.written = [b"%d," % i for i in range(size)]
 
@@ -97,13 +104,17 @@ class PieceEncoder:
     def _symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols of all words in order, and how many each has."""
         length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        sym = self.symbol_of[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        word = np.repeat(np.arange(len(words)), length)
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        sym, of = self.symbol_of[chars], np.repeat(np.arange(len(words)), length)
+        key = chars[:-1] << 32 | chars[1:]
+        at = np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)
+        begin = np.flatnonzero(np.append(True, (self.beside[at] != key) | (of[1:] != of[:-1])))
+        length, word_of = np.diff(np.append(begin, len(chars))), of[begin]  # of runs
+        word = np.repeat(np.arange(len(begin)), length)
         done_word, done_sym = [], []
         if (length > LONG).any():
-            at = np.append(0, np.cumsum(length))
             for w in np.flatnonzero(length > LONG):
-                out = self._queue(sym[at[w] : at[w + 1]].tolist())
+                out = self._queue(sym[begin[w] : begin[w] + length[w]].tolist())
                 done_sym.append(np.array(out, dtype=np.int64))
                 done_word.append(np.full(len(out), w))
             short = length[word] <= LONG
@@ -141,7 +152,7 @@ class PieceEncoder:
         done_word.append(word)
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
-        return sym[order], np.bincount(word, minlength=len(words))
+        return sym[order], np.bincount(word_of[word], minlength=len(words))
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word, its first mark left out, as 32-bit numbers."""

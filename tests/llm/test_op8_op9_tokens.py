@@ -29,12 +29,56 @@ def test_pieces_equal_the_library_and_decode():
         assert enc.decode(ids) == (enc.library.decode(want) if want else "")
 
 
-def test_long_word_uses_its_queue():
-    enc = piece.piece_encoder(PIECES)
-    text = "".join(random.Random(3).choice("abcdeés") for _ in range(20_000))
+@pytest.mark.parametrize("letters", ["abcdeés", "日本語のテスト中文字符", "ab日é本▁", "01.,", "a"])
+def test_texts_without_spaces(letters, monkeypatch):
+    enc = piece.PieceEncoder(PIECES)
+    text = "".join(random.Random(3).choice(letters) for _ in range(20_000))
+    want = enc.library.encode(text)
+    assert enc.encode([text])[0] == want
+    monkeypatch.setattr(piece, "LONG", 40_000)  # rounds to the end
+    short = text[:3000]
+    assert piece.PieceEncoder(PIECES).encode([short])[0] == enc.library.encode(short)
+    enc.encode(["next"])
+    assert max(map(len, enc.ids.values)) < 1000  # long units are forgotten
+
+
+def test_long_runs_are_rare(monkeypatch):
+    """Writing without spaces is cut where no piece joins two characters, so whole texts don't leave the rounds."""
+    enc = piece.PieceEncoder(PIECES)
+    monkeypatch.setattr(enc, "_queue", lambda sym: pytest.fail("a queue"))
+    text = "".join(chr(random.Random(4).randrange(0x4E00, 0x9FFF)) for _ in range(5000)) + "".join(chr(0x3041 + i * 7 % 80) for i in range(5000))
     assert enc.encode([text])[0] == enc.library.encode(text)
 
 
+def real_texts():
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    import pyarrow.parquet as pq
+
+    return [t or "" for t in pq.read_table(path, columns=["text"])["text"].to_pylist()]
+
+
+def test_whole_documents_in_all_languages():
+    texts = real_texts()
+    pieces, tokens = piece.piece_encoder(PIECES), rec.encoder(BYTES)
+    assert pieces.encode(texts) == [pieces.library.encode(t) if t else [] for t in texts]
+    want = tokens.library.encode_batch(texts, add_special_tokens=False)
+    assert all(np.frombuffer(ids, tokens.dtype).tolist() == w.ids for ids, w in zip(tokens.encode(texts), want, strict=True))
+
+
+def test_letters_of_many_scripts():
+    rng = random.Random(6)
+    ranges = [(0x20, 0x7F), (0xA0, 0x250), (0x250, 0x700), (0x900, 0xA00), (0xE00, 0xE60), (0x1E00, 0x2100), (0x2000, 0x2070), (0x3000, 0x3100), (0x4E00, 0x4F00), (0xAC00, 0xAD00), (0x1F300, 0x1F650)]
+    texts = ["".join(chr(rng.randrange(*rng.choice(ranges[: rng.randint(1, len(ranges))]))) if rng.random() < 0.8 else rng.choice("  \n\t") for _ in range(rng.randrange(120))) for _ in range(3000)]
+    pieces, tokens = piece.piece_encoder(PIECES), rec.encoder(BYTES)
+    for t, ids, data in zip(texts, pieces.encode(texts), tokens.encode(texts), strict=True):
+        assert ids == pieces.library.encode(t), t
+        assert np.frombuffer(data, tokens.dtype).tolist() == tokens.library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_memory_of_units_is_bounded():
     enc = rec.Encoder(BYTES)
     enc.rest.limit = 5
