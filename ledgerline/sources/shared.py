@@ -30,6 +30,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one that goes when the process ends."""
+    path = shared_path(spark, name)
+    _made[path] = spark
+    return path
+
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
