@@ -10,7 +10,8 @@ something else, is found in a text; escaped bytes come in pairs, so reading back
 covers the texts of assistant turns, as spans of bytes.
 
 Turns go in order of turn, then role and text (nulls first); repeated rows are turns of their own. A null text is empty, a null
-role has a header of its own and reads back as null. Rows with a null conv_id are one conversation.
+role has a header of its own and reads back as null. Rows with a null conv_id are one conversation. A conversation is one string
+of at most 2 GiB, as a Spark value is; others are laid out CHUNK_BYTES at a time.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,9 @@ TEMPLATE = {
 #: Of a turn in another role, whose escaped name stands between.
 OTHER = (b"<<ROLE ", b">> ", b" <</ROLE>>")
 LEARNED = "assistant"
+#: Bytes of turns that are laid out at once, and bytes that one scatter copies; longer segments are copied as slices.
+CHUNK_BYTES = 16 << 20
+SCATTER_BYTES = 1 << 20
 _ESCAPED = np.zeros(256, dtype=bool)
 _ESCAPED[list(b"\\<[>")] = True
 _PAIR = re.compile(rb"([\\<\[>])\\")
@@ -45,11 +50,15 @@ _PAIR = re.compile(rb"([\\<\[>])\\")
 
 def escape(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Escaped bytes and offsets of texts."""
-    special = _ESCAPED[data]
-    before = np.append(0, np.cumsum(special))
-    out = np.full(len(data) + before[-1], ord("\\"), dtype=np.uint8)
-    out[np.arange(len(data)) + before[:-1]] = data
-    return out, off + before[off]
+    special = np.flatnonzero(_ESCAPED[data])
+    out = np.full(len(data) + len(special), ord("\\"), dtype=np.uint8)
+    for i in range(0, len(data), SCATTER_BYTES):
+        j = min(len(data), i + SCATTER_BYTES)
+        lo, hi = np.searchsorted(special, (i, j))
+        before = np.zeros(j - i, dtype=np.int64)
+        before[special[lo:hi][special[lo:hi] + 1 < j] + 1 - i] = 1
+        out[np.arange(i, j) + lo + np.cumsum(before)] = data[i:j]
+    return out, off + np.searchsorted(special, off)
 
 
 def unescape(data: bytes) -> bytes:
@@ -57,9 +66,19 @@ def unescape(data: bytes) -> bytes:
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, source: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
-    """Copies source[start:start + length] to out[at:] for every segment at once."""
-    step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    out[np.repeat(at, length) + step] = source[np.repeat(start, length) + step]
+    """Copies source[start:start + length] to out[at:] for every segment at once, some megabytes of them at a time."""
+    for i in np.flatnonzero(length > SCATTER_BYTES):
+        out[at[i] : at[i] + length[i]] = source[start[i] : start[i] + length[i]]
+    some = np.flatnonzero((length > 0) & (length <= SCATTER_BYTES))
+    ends = np.cumsum(length[some])
+    i = 0
+    while i < len(some):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SCATTER_BYTES, side="right")))
+        own = some[i:j]
+        n = length[own]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(at[own], n) + step] = source[np.repeat(start[own], n) + step]
+        i = j
 
 
 def assemble(conv: np.ndarray, roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,6 +132,22 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = pa.LargeStringArray.from_buffers(n, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
         return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), text, *spans], names=["conv_id", "formatted", "loss_from", "loss_to"])
 
+    def flushed(batches_: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole conversations, about CHUNK_BYTES of them at a time."""
+        t = pa.Table.from_batches(batches_)
+        ids = t["conv_id"].to_numpy() if not t["conv_id"].null_count else t["conv_id"].to_pandas(integer_object_nulls=True).to_numpy()
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        if t["conv_id"].null_count:  # nulls come first, and are one conversation
+            first = np.append(0, first[first >= t["conv_id"].null_count])
+        size = np.cumsum(pc.binary_length(t["text"]).fill_null(0).to_numpy())
+        ends = np.append(first[1:], t.num_rows)
+        i = 0
+        while i < len(first):
+            before = size[first[i] - 1] if first[i] else 0
+            j = max(i + 1, int(np.searchsorted(size[ends - 1], before + CHUNK_BYTES, side="right")))
+            yield flush(t.slice(first[i], ends[j - 1] - first[i]))
+            i = j
+
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -122,13 +157,13 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while i and ids[i - 1].as_py() == last:
             i -= 1
         if held and (i or held[-1].column(0)[-1].as_py() != last):
-            yield flush(pa.Table.from_batches([*held, batch.slice(0, i)]))
+            yield from flushed([*held, batch.slice(0, i)])
             held = []
         elif i:
-            yield flush(pa.Table.from_batches([batch.slice(0, i)]))
+            yield from flushed([batch.slice(0, i)])
         held.append(batch.slice(i))
     if held:
-        yield flush(pa.Table.from_batches(held))
+        yield from flushed(held)
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:

@@ -9,7 +9,10 @@ that checksums of data that holds checksums stay sound. The index is an Arrow fi
 n_tokens, for reads in any order. Files follow each other in ascending doc_id order (nulls first, equal ids by text).
 
 Tasks write under a name of their own attempt; only names that successful tasks return get into the manifest, so a lost
-executor leaves no half-written file in it.
+executor leaves no half-written file in it, and files of a folder that aren't in the manifest are deleted at the end.
+
+Rows are dealt by ranges of the id and the text's beginning, so that rows of one id needn't be in one file. Workers write and read through
+Arrow's file systems (file, hdfs, s3 and s3a, gs, abfs); another scheme is refused before a job runs.
 
 A null text is an empty one; its record holds the end id alone. An empty table gives no files and no rows.
 """
@@ -25,18 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts, shared_path, written
+from .shared import filesystem, parts, temporary, written
 from .units import Remembered
 
 MAGIC = b"LTOKREC1"
 END_ID = 2
 _MASK = 0xA282EAD8
 READ_BYTES = 8 << 20
+#: Of a text, what its range goes by, beside its id.
+RANGE_CHARS = 64
 
 
 def masked_crc(data: bytes) -> int:
@@ -152,7 +156,7 @@ def _writer(path: str, folder: str, end_id: int):
         enc = encoder(path)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         part = TaskContext.get().partitionId()
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = filesystem(folder)
         store.create_dir(base, recursive=True)
         name = f"{base}/part-{part:06d}-{uuid.uuid4().hex}"
         ids, offsets, counts, at = [], [], [], len(MAGIC) + 4
@@ -181,13 +185,25 @@ def _writer(path: str, folder: str, end_id: int):
     return run
 
 
+def _sweep(store, base: str, kept: set[str]) -> None:
+    """Deletes what attempts that didn't succeed have left in a folder that this call writes alone."""
+    from pyarrow import fs
+
+    names = {k.rsplit("/", 1)[-1] for k in kept}
+    for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if f.base_name.startswith("part-") and f.base_name not in names:
+            store.delete_file(f.path)
+
+
 def write_records(docs: DataFrame, path: str, folder: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Writes the files; returns the manifest: a row per file, with the ids before it as start. path: the tokenizer's file."""
+    """Writes the files; returns the manifest: a row per file, with the ids before it as start. path: the tokenizer's file. Without a folder, the files go when the process ends."""
     spark = docs.sparkSession
-    folder = folder or shared_path(spark, "records")
+    folder = folder or temporary(spark, "records")
+    store, base = filesystem(folder)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = own.repartitionByRange(parts(spark), F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    dealt = own.repartitionByRange(parts(spark), F.col("doc_id"), F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
     files = written(dealt.mapInArrow(_writer(path, folder, end_id), _FILES), "manifest").orderBy("part").collect()  # a row per file
+    _sweep(store, base, {f[c] for f in files for c in ("records", "index")})
     start, rows = 0, []
     for f in files:
         rows.append((folder, f["part"], f["records"], f["index"], f["n_docs"], f["n_tokens"], start))
@@ -198,7 +214,7 @@ def write_records(docs: DataFrame, path: str, folder: str | None = None, end_id:
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for f in batch.to_pylist():
-            store, _ = fs.FileSystem.from_uri(f["folder"])
+            store, _ = filesystem(f["folder"])
             with store.open_input_file(f["index"]) as src:
                 index = pa.ipc.open_file(src).read_all()
             offset, count = index["offset"].to_numpy(), index["n_tokens"].to_numpy()

@@ -4,6 +4,7 @@ import random
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,5 +320,26 @@ def test_conversations_run_over_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+def test_small_chunks_and_long_texts(spark, monkeypatch):
+    """Chunks of single conversations, scatters of some bytes, segments that are copied as slices."""
+    rng = np.random.default_rng(1)
+    text = rng.choice(np.frombuffer(b"ab<[>\\ ", np.uint8), 5000)
+    want = bytes(b for x in text.tolist() for b in ([x, 92] if x in b"<[>\\" else [x]))
+    for size in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(chat, "SCATTER_BYTES", size)
+        out, off = chat.escape(text, np.array([0, 10, 10, 5000]))
+        assert out.tobytes() == want and chat.unescape(out[off[0] : off[1]].tobytes()) == text[:10].tobytes() and off[1] == off[2]
+        rows = [(c, t, r, s) for c in (3, None) for t, (r, s) in enumerate([("user", "a<" * 50), ("assistant", "x" * 2000 + "]é"), ("assistant", None), ("tool", "[" * 99)])]
+        table = {k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])}
+        batch = pa.RecordBatch.from_arrays([table["conv_id"].take(pa.array([4, 5, 6, 7, 0, 1, 2, 3])), table["role"].take(pa.array([4, 5, 6, 7, 0, 1, 2, 3])), table["text"].take(pa.array([4, 5, 6, 7, 0, 1, 2, 3]))], names=["conv_id", "role", "text"])
+        for chunk in (1, 1 << 20):
+            monkeypatch.setattr(chat, "CHUNK_BYTES", chunk)
+            got = [r for b in chat._formatted(iter([batch.slice(0, 3), batch.slice(3, 3), batch.slice(6)])) for r in b.to_pylist()]
+            assert [r["conv_id"] for r in got] == [None, 3]
+            for r in got:
+                assert chat.parse(r["formatted"].encode()) == [("user", "a<" * 50), ("assistant", "x" * 2000 + "]é"), ("assistant", ""), ("tool", "[" * 99)]
+                assert [r["formatted"].encode()[a:b].decode() for a, b in zip(r["loss_from"], r["loss_to"])] == ["x" * 2000 + "]é", ""]
+
+
 def test_no_conversations(spark):
     assert chat.digests(chat.format_conversations(spark.createDataFrame([], TURNS))).count() == 0

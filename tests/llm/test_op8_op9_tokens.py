@@ -110,6 +110,26 @@ def test_record_files_are_checked(spark, docs, tmp_path):
         rec.read_records(manifest).collect()
 
 
+def test_one_id_needs_no_single_file(spark, docs):
+    rows = [(7, f"text {i % 50} of {i}") for i in range(400)] + [(i, "x") for i in range(5)]
+    manifest = rec.write_records(docs(rows), BYTES)
+    assert manifest.where("n_docs < 300").count() == manifest.count() > 1
+    got = sorted(rec.read_records(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(d for d, _ in rows) and got[-1].start + got[-1].n_tokens == manifest.selectExpr("sum(n_tokens)").first()[0]
+
+
+def test_files_of_failed_attempts_go(spark, docs, tmp_path):
+    (tmp_path / "part-000000-dead.rec").write_bytes(b"half")
+    (tmp_path / "notes.txt").write_bytes(b"mine")
+    rec.write_records(docs(["a b"]), BYTES, f"file://{tmp_path}")
+    assert sorted(p.name[:5] for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["notes", "part-", "part-"]
+
+
+def test_schemes_that_workers_cannot_open_are_refused_first(docs):
+    with pytest.raises(ValueError, match="no file system for wasbs://"):
+        rec.write_records(docs(["a"]), BYTES, "wasbs://x@y/z")
+
+
 def test_empty_tables(docs):
     assert rec.read_records(rec.write_records(docs([]), BYTES)).count() == 0
     assert piece.with_digests(docs([]), PIECES).count() == 0
