@@ -33,31 +33,44 @@ class Folder:
     def create(self, name: str, text: str) -> bool:
         """Creates the file with its whole content, or returns False if it is there.
 
-        The name is claimed first, by an empty file whose creation is exclusive on every file system; then the content, written under
-        another name, is renamed to it, so that no reader sees half a file. A claim that is left by a writer that died is dropped
-        after CLAIM_SECONDS.
+        The name is claimed first, by a file with a token of its writer that is created exclusively; then the content, written
+        under another name, is renamed to it, so that no reader sees half a file. A claim that is older than CLAIM_SECONDS is taken to be
+        a dead writer's: of those that see it, the one that creates the claim named by its token goes on, and the slow writer, if it isn't
+        dead, sees that claim before it renames. Object stores need a client with conditional creation for this.
         """
         if self.exists(name):
             return False
-        claim = self._path(f"{name}.claim")
-        if not self._claimed(claim):
-            if self.exists(name) or not self.fs.exists(claim) or time.time() - self.fs.getFileStatus(claim).getModificationTime() / 1000 < CLAIM_SECONDS:
+        token, claim = uuid.uuid4().hex, f"{name}.claim"
+        while not self._claimed(claim, token):
+            held = self._token(claim)
+            if self.exists(name) or held is None or time.time() - self.fs.getFileStatus(self._path(claim)).getModificationTime() / 1000 < CLAIM_SECONDS:
                 return False
-            self.fs.delete(claim, False)
-            if not self._claimed(claim):
-                return False
-        draft = self._path(f".{name}.{uuid.uuid4().hex}")
-        out = self.fs.create(draft, False)
+            claim = f"{name}.claim-{held}"
+        draft = self._path(f".{name}.{token}")
+        self._write(draft, text)
+        if self.exists(name) or self.exists(f"{name}.claim-{token}"):
+            self.fs.delete(draft, False)
+            return False
+        return bool(self.fs.rename(draft, self._path(name)))
+
+    def _write(self, path, text: str) -> None:
+        out = self.fs.create(path, False)
         out.write(bytearray(text.encode()))
         out.close()
-        return bool(self.fs.rename(draft, self._path(name)))
 
-    def _claimed(self, claim) -> bool:
+    def _claimed(self, claim: str, token: str) -> bool:
         try:
-            self.fs.create(claim, False).close()
+            self._write(self._path(claim), token)
         except Py4JJavaError:
             return False
-        return True
+        return self._token(claim) == token
+
+    def _token(self, claim: str) -> str | None:
+        """Of the writer that holds a claim; None while it isn't written, or if it is gone."""
+        try:
+            return self.read_text(claim) or None
+        except Py4JJavaError:
+            return None
 
     def replace(self, name: str, text: str) -> None:
         out = self.fs.create(self._path(name), True)
@@ -72,5 +85,6 @@ class Folder:
             src.close()
 
     def delete(self, name: str) -> bool:
-        self.fs.delete(self._path(f"{name}.claim"), False)
+        for claim in self.names(f"{name}.claim"):
+            self.fs.delete(self._path(claim), False)
         return self.fs.delete(self._path(name), True)

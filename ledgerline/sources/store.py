@@ -49,6 +49,10 @@ class Contended(Exception):
     """Other writers were first, too many times."""
 
 
+class StoreChanged(AppendConditionNotFulfilled):
+    """Anything at all was appended after the token of a whole-store condition."""
+
+
 @dataclass(frozen=True)
 class WriteResult:
     stream_id: str
@@ -67,10 +71,11 @@ class AppendResult:
 
 @dataclass(frozen=True)
 class AppendCondition:
-    """Fails if events match the criteria after the token's position; without a token, at any position."""
+    """Fails if events match the criteria after the token's position; without a token, at any position. whole_store: fails if any event of the store, with tags or none, came after the token."""
 
     criteria: dcb.Criteria
     token: int = 0
+    whole_store: bool = False
 
 
 @dataclass(frozen=True)
@@ -169,6 +174,8 @@ class EventStore:
         for _ in range(ATTEMPTS):
             state = self._state()
             log = self._read(state.parts)
+            if condition is not None and condition.whole_store and state.head > condition.token:
+                raise StoreChanged(f"the store is at {state.head}, not at {condition.token}")
             if condition is not None and not log.where((F.col("position") > condition.token) & condition.criteria.column()).isEmpty():
                 raise AppendConditionNotFulfilled(condition.criteria.key())
             self._refuse_duplicates(log, events)
@@ -187,29 +194,34 @@ class EventStore:
         raise Contended("append")
 
     def append_frame(self, events: DataFrame, stream: str, order: list[str]) -> AppendResult | None:
-        """Bulk append of a DataFrame of events (envelope columns without stamps) to the streams in a column, versions and positions given in order. Refuses events that are in the log."""
+        """Bulk append of a DataFrame of events (envelope columns without stamps) to the streams in a column, versions and positions given in order. Refuses events that are in the log or twice in the frame."""
+        from pyspark.sql import Window
+
         from .event_log import numbered
+        from .shared import discard, written
 
-        state = self._state()
-        log = self._read(state.parts)
+        events = written(events, "bulk")  # one and the same in all steps
         n = events.count()
         if not n:
             return None
-        if not events.join(log.select("id", "source"), ["id", "source"], "left_semi").isEmpty():
-            raise DuplicateEvent("events of the frame are in the log")
-        from pyspark.sql import Window
-
-        append_id = str(uuid.uuid4())
-        last = log.groupBy("streamid").agg(F.max("streamversion").alias("__last"))
-        rows = numbered(events, order, "position", state.head).withColumnRenamed(stream, "streamid").join(last, "streamid", "left")
-        rows = rows.withColumn("streamversion", F.coalesce("__last", F.lit(0)) + F.row_number().over(Window.partitionBy("streamid").orderBy("position"))).withColumn("appendid", F.lit(append_id))
-        have = set(rows.columns)
-        rows = rows.select(*[(F.col(f.name) if f.name in have else F.lit(SPEC if f.name == "specversion" else None)).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA])
-        part = self._put(rows)
-        if not self._commit(state, (*state.parts, part), state.head + n, {"added": part}):
-            self.data.delete(part)
-            raise Contended("bulk append")
-        return AppendResult(state.head + 1, state.head + n, n, append_id)
+        if not events.groupBy("id", "source").agg(F.count("*").alias("__many")).where("__many > 1").isEmpty():
+            raise DuplicateEvent("an event is in the frame twice")
+        for _ in range(ATTEMPTS):
+            state = self._state()
+            log = self._read(state.parts)
+            if not events.join(log.select("id", "source"), ["id", "source"], "left_semi").isEmpty():
+                raise DuplicateEvent("events of the frame are in the log")
+            append_id = str(uuid.uuid4())
+            streams = events.select(F.col(stream).alias("streamid")).distinct()
+            last = log.join(streams, "streamid", "left_semi").groupBy("streamid").agg(F.max("streamversion").alias("__last"))
+            rows = numbered(events, order, "position", state.head).withColumnRenamed(stream, "streamid").join(last, "streamid", "left")
+            rows = rows.withColumn("streamversion", F.coalesce("__last", F.lit(0)) + F.row_number().over(Window.partitionBy("streamid").orderBy("position"))).withColumn("appendid", F.lit(append_id))
+            have = set(rows.columns)
+            rows = rows.select(*[(F.col(f.name) if f.name in have else F.lit(SPEC if f.name == "specversion" else None)).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA])
+            if self._add(state, rows, n):
+                discard(events)
+                return AppendResult(state.head + 1, state.head + n, n, append_id)
+        raise Contended("bulk append")
 
     def _add(self, state: _State, rows: DataFrame, n: int) -> bool:
         part = self._put(rows)
@@ -221,25 +233,29 @@ class EventStore:
         return True
 
     # deletes and updates
-    def _rewrite(self, f: Filter, change: Callable[[DataFrame], DataFrame]) -> int:
-        """Replaces the parts that hold events of f by what change makes of their rows; returns how many events f has."""
-        for _ in range(ATTEMPTS):
-            state = self._state()
-            hit, n = [], 0
-            for p in state.parts:
-                own = self._read((p,)).where(where(f, EVENT_SCHEMA.names)).count()
-                n += own
-                hit += [p] * bool(own)
-            if not n:
-                return 0
-            part = self._put(change(self._read(tuple(hit))))
-            if self._commit(state, (*(p for p in state.parts if p not in hit), part), state.head, {"rewritten": hit}):
-                return n
-            self.data.delete(part)
-        raise Contended("rewrite")
+    def _holding(self, state: _State, f: Filter) -> dict[str, int]:
+        """The parts that hold events of f, and how many: one job over all parts."""
+        if not state.parts:
+            return {}
+        part = F.regexp_extract(F.col("_metadata.file_path"), "/data/([^/]+)/", 1).alias("part")
+        return {r["part"]: r["count"] for r in self._read(state.parts).where(where(f, EVENT_SCHEMA.names)).groupBy(part).count().collect()}
+
+    def _rewrite(self, state: _State, hit: list[str], change: Callable[[DataFrame], DataFrame]) -> bool:
+        """Replaces parts by what change makes of their rows; False if another writer was first."""
+        part = self._put(change(self._read(tuple(hit))))
+        if self._commit(state, (*(p for p in state.parts if p not in hit), part), state.head, {"rewritten": hit}):
+            return True
+        self.data.delete(part)
+        return False
 
     def delete(self, f: Filter) -> int:
-        return self._rewrite(f, lambda rows: rows.where(~where(f, EVENT_SCHEMA.names)))
+        """How many events went."""
+        for _ in range(ATTEMPTS):
+            state = self._state()
+            found = self._holding(state, f)
+            if not found or self._rewrite(state, sorted(found), lambda rows: rows.where(~where(f, EVENT_SCHEMA.names))):
+                return sum(found.values())
+        raise Contended("delete")
 
     def delete_stream(self, stream_id: str) -> int:
         """A stream that isn't there is no error."""
@@ -249,23 +265,29 @@ class EventStore:
         return self.delete(cloud_event(id, source))
 
     def update_event(self, id: str, source: str, change: Callable[[dict], dict]) -> dict | None:
-        """Replaces an event by what change makes of it; its stream, version, position, append id and tags stay. None if there is none."""
+        """Replaces an event by what change makes of it; its stream, version, position, append id and tags stay. None if there is none. After a lost commit, change gets the event as it is then."""
         f = cloud_event(id, source)
-        row = self.log().where(where(f, EVENT_SCHEMA.names)).first()
-        if row is None:
-            return None
-        old = row.asDict(recursive=True)
-        new = change(dict(old))
-        if new is None:
-            raise ValueError("an update gives an event")
-        new = {**old, **new, **{k: old[k] for k in STAMPS}}
-        if not isinstance(new["data"], (str, type(None))):
-            new["data"] = json.dumps(new["data"], ensure_ascii=False)
-        if new == old:
-            return old
-        changed = self.spark.createDataFrame([tuple(new[n] for n in EVENT_SCHEMA.names)], EVENT_SCHEMA)
-        self._rewrite(f, lambda rows: rows.where(~where(f, EVENT_SCHEMA.names)).union(changed))
-        return new
+        for _ in range(ATTEMPTS):
+            state = self._state()
+            log = self._read(state.parts)
+            row = log.where(where(f, EVENT_SCHEMA.names)).first()
+            if row is None:
+                return None
+            old = row.asDict(recursive=True)
+            new = change(dict(old))
+            if new is None:
+                raise ValueError("an update gives an event")
+            new = {**old, **new, **{k: old[k] for k in STAMPS}}
+            if not isinstance(new["data"], (str, type(None))):
+                new["data"] = json.dumps(new["data"], ensure_ascii=False)
+            if new == old:
+                return old
+            if (new["id"], new["source"]) != (id, source) and not log.where(where(cloud_event(new["id"], new["source"]), EVENT_SCHEMA.names)).isEmpty():
+                raise DuplicateEvent(f"{new['id']} of {new['source']} is in the log")
+            changed = self.spark.createDataFrame([tuple(new[n] for n in EVENT_SCHEMA.names)], EVENT_SCHEMA)
+            if self._rewrite(state, sorted(self._holding(state, f)), lambda rows: rows.where(~where(f, EVENT_SCHEMA.names)).union(changed)):  # noqa: B023
+                return new
+        raise Contended("update")
 
     def compact(self) -> None:
         """All parts as one table, sorted by position in ranges."""

@@ -230,3 +230,57 @@ def test_listeners_and_types(store):
     assert heard == ["e2"]
     assert store.log().schema["dcbtags"].dataType.simpleString() == "array<string>"
     assert store.log().select(F.max("position")).first()[0] == 2
+
+
+def test_bulk_appends_refuse_repeats_and_are_heard(spark, store):
+    heard = []
+    store.listeners.append(lambda rows: heard.append(rows.count()))
+    frame = spark.createDataFrame([("x1", "urn:b", "t", "s"), ("x2", "urn:b", "t", "s"), ("x1", "urn:c", "t", "r")], "id string, source string, type string, stream string")
+    with pytest.raises(DuplicateEvent):
+        store.append_frame(frame.union(frame.limit(1)), "stream", ["id"])
+    assert store.append_frame(frame, "stream", ["id", "source"]).count == 3 and heard == [3]
+    with pytest.raises(DuplicateEvent):
+        store.append_frame(frame.limit(1), "stream", ["id"])
+    assert store.append_frame(frame.limit(0), "stream", ["id"]) is None and store.log().count() == 3
+
+
+def test_an_update_is_made_of_the_event_as_it_is(spark, store):
+    """Another writer's update comes between the read and the commit: both count."""
+    store.write("a", [ev(1, data={"n": 0}), ev(2)])
+    other, calls = EventStore(spark, store.path), []
+
+    def add(e):
+        import json
+
+        return {**e, "data": {"n": json.loads(e["data"])["n"] + 1}}
+
+    def change(e):
+        calls.append(e["data"])
+        if len(calls) == 1:
+            other.update_event("e1", "urn:ledgerline", add)
+        return add(e)
+
+    assert store.update_event("e1", "urn:ledgerline", change)["data"] == '{"n": 2}' and calls == ['{"n": 0}', '{"n": 1}']
+    with pytest.raises(DuplicateEvent):
+        store.update_event("e1", "urn:ledgerline", lambda e: {**e, "id": "e2"})
+    assert store.update_event("e1", "urn:ledgerline", lambda e: {**e, "id": "e9"})["id"] == "e9" and sorted(ids(store.log())) == ["e2", "e9"]
+
+
+def test_a_whole_store_condition(store):
+    token = store.append([ev(1, tags=("x",))]).last_position
+    store.write("a", [ev(2)])
+    with pytest.raises(AppendConditionNotFulfilled):
+        store.append([ev(3, tags=("y",))], AppendCondition(dcb.tags("y"), token, whole_store=True))
+    assert store.append([ev(3, tags=("y",))], AppendCondition(dcb.tags("y"), store.current_position(), whole_store=True)).count == 1
+
+
+def test_stale_claims_have_one_successor(spark, tmp_path, monkeypatch):
+    from ledgerline.sources import files
+
+    one, two = (files.Folder(spark, f"file://{tmp_path}/f") for _ in range(2))
+    assert one._claimed("c-1.claim", "slow") and not two.create("c-1", "x")
+    monkeypatch.setattr(files, "CLAIM_SECONDS", -1)
+    assert two._claimed("c-1.claim-slow", "next") and not two._claimed("c-1.claim-slow", "other")
+    assert one.create("c-1", "third") and one.read_text("c-1") == "third" and not two.create("c-1", "late")
+    one.delete("c-1")
+    assert one.names("c-1") == []
