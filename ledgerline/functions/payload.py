@@ -34,9 +34,20 @@ def _key(segment: str) -> str:
     return f"$['{segment}']"
 
 
+def parsed(data: Column) -> Column:
+    """JSON text as a variant, null if it is none. A variant has no repeated keys: of such an object, the first of each is kept."""
+    found = F.from_json(data, "map<string,variant>")
+    keys = F.map_keys(found)
+    first = F.filter(F.map_entries(found), lambda x, i: F.array_position(keys, x["key"]) == i + 1)
+    return F.coalesce(F.try_parse_json(data), F.to_variant_object(F.map_from_entries(first)))
+
+
+def _get(v: Column, segment: str) -> Column:
+    return F.try_variant_get(v, _key(segment), "variant")
+
+
 def _step(values: Column, segment: str) -> Column:
-    get = lambda v: F.try_variant_get(v, _key(segment), "variant")
-    found = F.flatten(F.transform(values, lambda v: F.coalesce(F.transform(_elements(v), get), F.array(get(v)))))
+    found = F.flatten(F.transform(values, lambda v: F.coalesce(F.transform(_elements(v), lambda x: _get(x, segment)), F.array(_get(v, segment)))))
     return F.filter(found, lambda v: v.isNotNull())
 
 
@@ -47,18 +58,30 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def values_at(data: Column, path: str) -> Column:
     """array<variant>: what the path reaches in JSON text, elements of a last array each."""
-    return values_in(F.try_parse_json(data), path)
+    return values_in(parsed(data), path)
 
 
 def values_in(root: Column, path: str) -> Column:
     """The same in a variant."""
-    out = F.when(root.isNotNull() & _elements(root).isNull(), F.array(root))
-    for segment in path.split("."):
+    first, *rest = path.split(".")
+    out = F.array_compact(F.array(_get(root, first)))  # of no object, there is none
+    for segment in rest:
         out = _step(out, segment)
     out = F.flatten(F.transform(out, lambda v: F.coalesce(_elements(v), F.array(v))))
     return F.coalesce(out, F.array().cast("array<variant>"))
 
 
+def readings(values: Column, operands: list) -> Column:
+    """Of each value its kind, and itself as what the operands are, so that several conditions read it once."""
+    kinds = {"flag" if isinstance(v, bool) else "number" if isinstance(v, (int, float, Decimal)) else "text" if isinstance(v, str) else "other" for v in operands}
+
+    def read(v: Column) -> Column:
+        as_ = lambda t, kind: F.try_variant_get(v, "$", t) if kind in kinds else F.lit(None).cast(t)
+        return F.struct(_kind(v).alias("k"), as_("double", "number").alias("d"), as_("decimal(38,9)", "number").alias("n"), as_("string", "text").alias("s"), as_("boolean", "flag").alias("b"))
+
+    return F.transform(values, read)
+
+
 def scalar_text(data: Column, path: str) -> Column:
     """The first value a path reaches, as text."""
     return F.try_variant_get(F.get(values_at(data, path), F.lit(0)), "$", "string")
@@ -68,71 +91,72 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _is_number(v: Column) -> Column:
-    return _kind(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+def _is_number(x: Column) -> Column:
+    k = x["k"]
+    return k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL")
 
 
-def _number(v: Column, op: str, value) -> Column:
+def _number(x: Column, op: str, value) -> Column:
     """Numbers compare by value: exactly up to nine decimals, by double beyond."""
-    x, y = F.try_variant_get(v, "$", "double"), F.lit(float(value))
+    a, y = x["d"], F.lit(float(value))
     if isinstance(value, float) and not math.isfinite(value):
-        return _is_number(v) & _compare(x, op, y)
+        return _is_number(x) & _compare(a, op, y)
     exact = Decimal(str(value))
     if abs(exact) >= Decimal(10) ** 28 or exact.normalize().as_tuple().exponent < -9:
-        return _is_number(v) & F.coalesce(_compare(x, op, y), false())
-    a, b = F.try_variant_get(v, "$", "decimal(38,9)"), F.lit(exact).cast("decimal(38,9)")
-    same = F.when(a.isNull(), x == y).otherwise((a == b) & (x == y))
+        return _is_number(x) & F.coalesce(_compare(a, op, y), false())
+    n, b = x["n"], F.lit(exact).cast("decimal(38,9)")
+    same = F.when(n.isNull(), a == y).otherwise((n == b) & (a == y))
     if op == "eq":
         out = same
     elif op == "ne":
         out = ~same
     else:
-        out = F.when(a.isNull() | (a == b), _compare(x, op, y)).otherwise(_compare(a, op, b))
-    return _is_number(v) & F.coalesce(out, false())
+        out = F.when(n.isNull() | (n == b), _compare(a, op, y)).otherwise(_compare(n, op, b))
+    return _is_number(x) & F.coalesce(out, false())
 
 
 def _compare(a: Column, op: str, b: Column) -> Column:
     return {"eq": a == b, "ne": a != b, "lt": a < b, "gt": a > b, "lte": a <= b, "gte": a >= b}[op]
 
 
-def _one(v: Column, op: str, value) -> Column:
-    """A comparison of one variant with an operand of its own type; other types never match, without an error."""
+def _one(x: Column, op: str, value) -> Column:
+    """A comparison of one reading with an operand of its own type; other types never match, without an error."""
     if isinstance(value, bool):
-        out = (_kind(v) == "BOOLEAN") & _compare(F.try_variant_get(v, "$", "boolean"), op, F.lit(value))
+        out = (x["k"] == "BOOLEAN") & _compare(x["b"], op, F.lit(value))
     elif isinstance(value, (int, float, Decimal)):
-        out = _number(v, op, value)
+        out = _number(x, op, value)
     elif isinstance(value, str):
-        out = (_kind(v) == "STRING") & _compare(F.try_variant_get(v, "$", "string"), op, F.lit(value))
+        out = (x["k"] == "STRING") & _compare(x["s"], op, F.lit(value))
     elif value is None:
-        out = (_kind(v) == "VOID") if op == "eq" else false()
+        out = (x["k"] == "VOID") if op == "eq" else false()
     else:
         out = false()
     return F.coalesce(out, false())
 
 
-def matches(values: Column, condition: Condition, missing_ne: bool = False) -> Column:
-    """A condition on the values of a path, true or false. eq, in and ranges hold if one value's does; ne if none is equal, and the path is there (or missing_ne)."""
+def matches(found: Column, condition: Condition, missing_ne: bool = False) -> Column:
+    """A condition on the readings of a path, true or false. eq, in and ranges hold if one value's does; ne if none is equal, and the path is there (or missing_ne)."""
     match condition:
         case Compare("ne", v):
-            some = F.exists(values, lambda x: _one(x, "eq", v))
-            return ~some if missing_ne else (F.size(values) > 0) & ~some
+            some = F.exists(found, lambda x: _one(x, "eq", v))
+            return ~some if missing_ne else (F.size(found) > 0) & ~some
         case Compare(op, v):
-            return F.exists(values, lambda x: _one(x, op, v))
+            return F.exists(found, lambda x: _one(x, op, v))
         case Within(operands):
             out = false()
             for v in operands:
-                out = out | matches(values, Compare("eq", v))
+                out = out | matches(found, Compare("eq", v))
             return out
         case Every(parts):
             out = true()
             for p in parts:
-                out = out & matches(values, p, missing_ne)
+                out = out & matches(found, p, missing_ne)
             return out
         case Some(parts):
             out = false()
             for p in parts:
-                out = out | matches(values, p, missing_ne)
+                out = out | matches(found, p, missing_ne)
             return out
         case Not(part):
-            return ~matches(values, part, missing_ne)
+            return ~matches(found, part, missing_ne)
     raise TypeError(f"no condition: {condition!r}")

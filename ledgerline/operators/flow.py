@@ -1,9 +1,13 @@
 """Flow sagas: ordered steps that wait for conditions on the events received, with branches and timeouts.
 
-A flow is a Saga whose state is {step, events, entered, counts}: the current step, the window of received events (the first one stays
-when the window drops others), the place in it where the step began, and how many events of the step each of its requirements has
-had. Conditions hold by these counts, so the window limits what guards and commands can read, not what is counted. Of a step's
-branches, the first in order of declaration whose condition holds is taken.
+A flow is a Saga whose state is {step, events, entered, counts, short}: the current step, the window of received events, the place in
+it where the step began, how many events of the step each of its requirements has had, and whether the window has lost events of
+the step. Conditions hold by these counts, so the window limits what guards and commands can read, not what is counted. Of a
+step's branches, the first in order of declaration whose condition holds is taken.
+
+The window. The event that began the instance stays always. When a step is left, history events from before it stay, and all of its
+own, for its commands to read; a step's own events are kept without a limit, or up to step_window of them (the newest, of the types that
+the flow waits for), and then nothing from before them but the first event. A window is at most history + 2 * step_window + 1 long.
 """
 
 from __future__ import annotations
@@ -19,11 +23,12 @@ HISTORY = 100
 
 @dataclass(frozen=True)
 class Needs:
-    """count events of a type (that a predicate holds on) since the step began."""
+    """count events of a type (that a predicate holds on) since the step began. A flow with a step_window needs names of predicates, to know counts again after a change of the program."""
 
     type: str
     count: int = 1
     predicate: Callable[[dict], bool] | None = None
+    name: str | None = None
 
     def __post_init__(self):
         if self.count < 1:
@@ -62,8 +67,8 @@ class AnyOf:
         return [x for p in self.parts for x in p.leaves()]
 
 
-def event(type: str, count: int = 1, predicate: Callable[[dict], bool] | None = None) -> Needs:
-    return Needs(type, count, predicate)
+def event(type: str, count: int = 1, predicate: Callable[[dict], bool] | None = None, name: str | None = None) -> Needs:
+    return Needs(type, count, predicate, name)
 
 
 def _flat(kind, parts: tuple) -> tuple:
@@ -132,8 +137,21 @@ class Received:
         return not self.any(type)
 
 
-def flow(name: str, starts_on: str, steps: list[Step], history: int = HISTORY, keep: tuple[str, ...] = ("type", "position")) -> Saga:
+def _named(steps: list[Step]) -> None:
+    """Refuses predicates without a name, and a name of two predicates."""
+    for s in steps:
+        known: dict[str, object] = {}
+        for x in (x for b in s.branches for x in b.when.leaves() if x.predicate is not None):
+            if x.name is None or known.setdefault(x.name, x.predicate) is not x.predicate:
+                raise ValueError(f"step {s.name}: with a step window, each predicate has a name of its own")
+
+
+def flow(name: str, starts_on: str, steps: list[Step], history: int = HISTORY, keep: tuple[str, ...] = ("type", "position"), step_window: int | None = None) -> Saga:
     """The saga of a flow. keep: what of each event stays in the window, beside its type."""
+    if history < 0 or (step_window is not None and step_window < 1):
+        raise ValueError("history isn't negative, a step's window has an event")
+    if step_window is not None:
+        _named(steps)
     if not steps or len({s.name for s in steps}) < len(steps):
         raise ValueError("a flow has steps of different names")
     order = {s.name: i for i, s in enumerate(steps)}
@@ -157,37 +175,50 @@ def flow(name: str, starts_on: str, steps: list[Step], history: int = HISTORY, k
         s = steps[order[state["step"]]]
         if isinstance(given, Timeout):
             return (s, s.on_timeout or Branch(None, END)) if given.name == timer(s.name) else None
-        counts, received = iter(state["counts"]), Received(state["events"])
+        counts, received = iter(state["counts"]["n"]), Received(state["events"])
         met = [b.when.met(counts) for b in s.branches]
         return next(((s, b) for b, m in zip(s.branches, met, strict=True) if m and b.guard(received)), None)
 
-    def counted(state: dict, e: dict) -> list[int]:
+    types = frozenset(x.type for s in steps for b in s.branches for x in b.when.leaves())
+
+    def leaves(state: dict) -> list[Needs]:
+        return [x for b in steps[order[state["step"]]].branches for x in b.when.leaves()]
+
+    def declared(own: list[Needs]) -> list[list]:
+        """What the counts were counted for."""
+        return [[x.type, x.name] for x in own]
+
+    def counted(state: dict, e: dict) -> dict:
         """The step's counts with a new event; those of a state that has none, or others than the step's, from its window."""
         if state["step"] == END:
-            return []
-        leaves = [x for b in steps[order[state["step"]]].branches for x in b.when.leaves()]
-        kept = state.get("counts")
-        if kept is None or len(kept) != len(leaves):
-            kept = [sum(x.counts(o) for o in state["events"][state["entered"] : -1]) for x in leaves]
-        return [n + x.counts(e) for n, x in zip(kept, leaves, strict=True)]
+            return {"of": [], "n": []}
+        own, kept = leaves(state), state.get("counts")
+        if kept is None or kept["of"] != declared(own):
+            if state.get("short"):
+                raise ValueError(f"step {state['step']} waits for something else than before, and events that it would count are gone")
+            kept = {"n": [sum(x.counts(o) for o in state["events"][state["entered"] : -1]) for x in own]}
+        return {"of": declared(own), "n": [n + x.counts(e) for n, x in zip(kept["n"], own, strict=True)]}
+
+    def within_step(state: dict) -> None:
+        """Drops the oldest events of the step beyond its window, and all before them."""
+        mine = [i for i in range(state["entered"], len(state["events"])) if state["events"][i]["type"] in types]
+        if step_window is not None and len(mine) > step_window:
+            del state["events"][1 : mine[-step_window]]
+            state |= {"entered": 1, "short": True}
 
     def evolve(state: dict, given) -> dict:
         state = {**state, "events": list(state["events"]), "moved": None}
         if isinstance(given, dict):
             state["events"].append({k: given.get(k) for k in dict.fromkeys(("type", *keep))})
-            first = len(state["events"]) == 1
-            if not first:
-                state["counts"] = counted(state, state["events"][-1])
-            if (drop := len(state["events"]) - history) > 0:
-                del state["events"][1 : 1 + drop]
-                state["entered"] = max(1, state["entered"] - drop)
-            if first:
-                state["entered"] = 1
-                return state
+            if len(state["events"]) == 1:
+                return state | {"entered": 1}
+            state["counts"] = counted(state, state["events"][-1])
+            within_step(state)
         found = taken(state, given)
         if found:
             s, b = found
-            state |= {"step": after(s, b), "entered": len(state["events"]), "counts": None, "moved": [s.name, s.branches.index(b) if b in s.branches else -1]}
+            del state["events"][1 : max(1, state["entered"] - history)]
+            state |= {"step": after(s, b), "entered": len(state["events"]), "counts": None, "short": False, "moved": [s.name, s.branches.index(b) if b in s.branches else -1]}
         return state
 
     def react(state: dict, given) -> list:
@@ -206,10 +237,9 @@ def flow(name: str, starts_on: str, steps: list[Step], history: int = HISTORY, k
         s = steps[order[state["step"]]]
         return [StartTimer(timer(s.name), s.timeout)] if s.timeout is not None else []
 
-    types = frozenset(x.type for s in steps for b in s.branches for x in b.when.leaves())
     return Saga(
         name,
-        lambda: {"step": steps[0].name, "events": [], "entered": 0, "counts": None, "moved": None},
+        lambda: {"step": steps[0].name, "events": [], "entered": 0, "counts": None, "short": False, "moved": None},
         frozenset((starts_on,)),
         evolve,
         react,

@@ -15,9 +15,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..condition import Compare, Condition, Every, Not, Some, Within
+from ..condition import Compare, Condition, Every, Not, Some, Within, operands
 from ..filter import DATA, Both, Capability, Either, Everything, Field, Filter, references_payload
-from ..functions.payload import false, matches, once, true, values_in
+from ..functions.payload import false, matches, once, parsed, readings, true, values_in
 from ..model import ATTRIBUTES, DCB, time_parts
 
 LONGS = ("streamversion", "position")
@@ -112,24 +112,44 @@ class Compiler:
         return _attribute(known, F.col(known), condition, offset, self.exact)
 
     def payload(self, parts: list[Filter]) -> Column:
-        """All of the filters, on one parse of the payload, or on a variant column data_v if the log has it."""
-        parsed = F.col("data_v") if "data_v" in self.columns else F.try_parse_json("data")
+        """All of the filters, on one parse of the payload, or on a variant column data_v if the log has it. What a path reaches is read once for all conditions on it."""
+        root = F.col("data_v") if "data_v" in self.columns else parsed(F.col("data"))
         if "datacontenttype" in self.columns:
             json = F.lower(F.col("datacontenttype")).rlike(r"^\s*(application|text)/([^;]*\+)?json\s*(;|$)")
-            parsed = F.when(F.coalesce(json, true()), parsed)
-        return once(parsed, lambda root: reduce(Column.__and__, (self._inner(p, root) for p in parts)))
+            root = F.when(F.coalesce(json, true()), root)
+        wanted: dict[str, list] = {}
+        for p in parts:
+            _paths(p, wanted)
 
-    def _inner(self, f: Filter, root: Column) -> Column:
+        def bound(left: list[str], root: Column, found: dict[str, Column]) -> Column:
+            if not left:
+                return reduce(Column.__and__, (self._inner(p, found) for p in parts))
+            path = left[0]
+            return once(readings(values_in(root, path), wanted[path]), lambda values: bound(left[1:], root, {**found, path: values}))
+
+        return once(root, lambda root: bound(list(wanted), root, {}))
+
+    def _inner(self, f: Filter, found: dict[str, Column]) -> Column:
         match f:
             case Field(name, condition) if name.startswith(DATA):
-                return once(values_in(root, name.removeprefix(DATA)), lambda values: matches(values, condition, self.missing_ne))
+                return matches(found[name.removeprefix(DATA)], condition, self.missing_ne)
             case Both(parts):
-                return reduce(Column.__and__, (self._inner(p, root) for p in parts))
+                return reduce(Column.__and__, (self._inner(p, found) for p in parts))
             case Either(parts):
-                return reduce(Column.__or__, (self._inner(p, root) for p in parts))
+                return reduce(Column.__or__, (self._inner(p, found) for p in parts))
         return self.column(f)
 
 
+def _paths(f: Filter, wanted: dict[str, list]) -> None:
+    """The payload paths of a filter, each with the operands it is compared with."""
+    match f:
+        case Field(name, condition) if name.startswith(DATA):
+            wanted.setdefault(name.removeprefix(DATA), []).extend(operands(condition))
+        case Both(parts) | Either(parts):
+            for p in parts:
+                _paths(p, wanted)
+
+
 def _has_range(c: Condition) -> bool:
     match c:
         case Compare(op, _):

@@ -193,8 +193,8 @@ def test_flow():
 
 def test_flow_window_and_checks():
     own = flow.flow("w", "start", [flow.Step("s", (flow.Branch(flow.event("x", 3), flow.END),))], history=3)
-    kept, _ = replay(own, [ev(1, "start"), ev(2, "y"), ev(3, "x"), ev(4, "y")], 0, lambda e: e["t"])
-    assert [e["type"] for e in kept.state["events"]] == ["start", "x", "y"]
+    kept, _ = replay(own, [ev(1, "start"), *[ev(2 + i, "y") for i in range(9)], ev(20, "x")], 0, lambda e: e["t"])
+    assert len(kept.state["events"]) == 11  # a step's own events stay, whatever the history
     r = flow.Received([{"type": "a"}, {"type": "b"}, {"type": "b"}])
     assert r.initiating["type"] == "a" and r.count("b") == 2 and r.first("c") is None and r.any("b") and r.none("c")
     for bad in (lambda: flow.all_of(flow.event("a"), flow.event("a", 2)), lambda: flow.event("a", 0), lambda: flow.any_of(), lambda: flow.flow("e", "s", []), lambda: flow.flow("e", "s", [flow.Step("s", (flow.Branch(flow.event("x"), "nowhere"),))])):
@@ -203,6 +203,43 @@ def test_flow_window_and_checks():
     assert len(flow.all_of(flow.event("a"), flow.all_of(flow.event("b"), flow.event("c"))).parts) == 3
 
 
+def test_windows_are_cut_when_a_step_is_left():
+    """a, b and c wait for three x each; each reports what it can read."""
+    read = lambda r: ["".join(str(e["n"]) for e in r.events)]
+    step = lambda n: flow.Step(n, (flow.Branch(flow.event("x", 3), commands=read),))
+    events = [ev(1, "start", n=0), *[ev(2 + i, "x", n=1 + i) for i in range(9)]]
+    run = lambda **k: bodies(replay(flow.flow("w", "start", [step("a"), step("b"), step("c")], keep=("n",), **k), events, 0, lambda e: e["t"])[1])
+    assert run() == ["0123", "0123456", "0123456789"]
+    assert run(history=0) == ["0123", "0456", "0789"]
+    assert run(history=2) == ["0123", "023456", "056789"]
+    assert run(step_window=1) == ["03", "06", "09"]
+    assert run(history=1, step_window=3) == ["0123", "03456", "06789"]
+    with_noise = flow.flow("w", "start", [step("a")], keep=("n",), step_window=2)
+    kept, _ = replay(with_noise, [events[0], ev(2, "x", n=1), ev(3, "y", n=2), ev(4, "x", n=3), ev(5, "y", n=4)], 0, lambda e: e["t"])
+    assert [e["n"] for e in kept.state["events"]] == [0, 1, 2, 3, 4] and not kept.state["short"]
+
+
+def test_step_windows_need_names_and_the_same_step():
+    some = lambda e: True
+    for leaves in ([flow.event("x", 2, some)], [flow.event("x", 2, some, "n"), flow.event("y", 2, lambda e: False, "n")]):
+        steps = [flow.Step("a", tuple(flow.Branch(x, flow.END) for x in leaves))]
+        assert flow.flow("w", "start", steps)
+        with pytest.raises(ValueError):
+            flow.flow("w", "start", steps, step_window=3)
+    make = lambda n, window, *more: flow.flow("w", "start", [flow.Step("a", (flow.Branch(flow.event("x", n), flow.END), *[flow.Branch(flow.event(t), flow.END) for t in more]))], step_window=window)
+    begun = [ev(1, "start"), ev(2, "x"), ev(3, "x"), ev(4, "x")]
+    kept, _ = replay(make(9, 1), begun, 0, lambda e: e["t"])
+    assert kept.state["short"] and kept.state["counts"]["n"] == [3]
+    assert saga.step(make(4, 1), kept, ev(5, "x"), 5)[0].status == saga.COMPLETED  # another count of the same events
+    with pytest.raises(ValueError):
+        saga.step(make(9, 1, "y"), kept, ev(5, "x"), 5)
+    kept, _ = replay(make(9, None), begun, 0, lambda e: e["t"])
+    assert saga.step(make(4, None, "y"), kept, ev(5, "x"), 5)[0].status == saga.COMPLETED
+    for bad in ({"history": -1}, {"step_window": 0}):
+        with pytest.raises(ValueError):
+            flow.flow("w", "start", [flow.Step("a", (flow.Branch(flow.event("x"), flow.END),))], **bad)
+
+
 def test_flow_conditions_count_beyond_the_window():
     views = [ev(2 + i, "view") for i in range(3)]
     look = flow.Step("look", (flow.Branch(flow.all_of(flow.event("view", 3), flow.event("click", 2)), flow.END, lambda r: ["looked"]), flow.Branch(flow.event("x", 150), flow.END, lambda r: ["many"])))
@@ -211,7 +248,7 @@ def test_flow_conditions_count_beyond_the_window():
     kept, made = replay(own, [ev(1, "start"), *views, *noise, ev(200, "click"), ev(201, "click")], 0, lambda e: e["t"])
     assert bodies(made) == ["looked"] and kept.status == saga.COMPLETED
     kept, made = replay(own, [ev(1, "start"), *noise, ev(200, "x")], 0, lambda e: e["t"])
-    assert bodies(made) == ["many"] and len(kept.state["events"]) == flow.HISTORY
+    assert bodies(made) == ["many"] and len(kept.state["events"]) == 151
 
 
 def test_retry():
