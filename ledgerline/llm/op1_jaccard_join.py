@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import ceil, exp
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -52,13 +52,15 @@ BLOCK = 1024
 BLOCK_TOKENS = 1 << 20
 #: Deals after which chunks of one token are keys too: a bound on the time that a very small set may take.
 STRICT_DEALS = 8
+#: Far more than any set needs: of the smallest sets of a band, one in about 40 needs another deal.
+MOST_DEALS = 200
 #: Of Arrow batches that hold token sets.
 BATCH_BYTES = 64 << 20
 
 
 @lru_cache
-def bands(similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Of each band: its largest size, the chunks, how many of them may be left out, and the sketch words (of 64 bits); the tokens up to which a chunk is weak."""
+def bands(similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of each band: its largest size, the chunks, how many of them may be left out, the sketch words (of 64 bits), and whether its least sets have too few tokens for chunks; the tokens up to which a chunk is weak."""
     t = similarity / 100
     weak = 1 if t >= 0.85 else 0
     hi = [1]
@@ -66,12 +68,16 @@ def bands(similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         hi.append(max(hi[-1] + 1, ceil(hi[-1] * BAND)))
     size = np.array(hi)
     d = (100 - similarity) * 2 * size // (100 + similarity)
-    mean = (1 + t) / (2 * (1 - t)) / BAND
-    share = exp(-mean) * (1 + mean * weak)
-    spare = 2 + np.ceil(2 * share * d).astype(np.int64)
+    least = np.ceil(t * (np.append(0, size[:-1]) + 1))  # of the sets in a band, those of the band below among them
+    spare = np.full(len(size), 2)
+    for _ in range(16):  # short chunks of the smallest sets, and two standard deviations more, with as many chunks as that makes
+        k = d + 1 + spare
+        mean = least / k
+        short = np.exp(-mean) * (1 + mean * weak) * k
+        spare = np.minimum(2 + np.ceil(short + 2 * np.sqrt(short)), 2 + d).astype(np.int64)
     width = np.clip(d * SKETCH_BITS // 64, 2, SKETCH_WORDS)
     width = 1 << np.ceil(np.log2(width)).astype(np.int64)
-    return size, d + 1 + spare, spare, width, weak
+    return size, d + 1 + spare, spare, width, least <= d, weak
 
 
 def sketch(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -83,7 +89,7 @@ def sketch(tokens: np.ndarray, width: int) -> np.ndarray:
 
 def keys(tokens: np.ndarray, similarity: int) -> np.ndarray:
     """Join keys of a set, over its bands."""
-    size, n_chunks, spare, _, weak = bands(similarity)
+    size, n_chunks, spare, _, few, weak = bands(similarity)
     n = len(tokens)
     if n * 100 < similarity * (n + 1):  # one token less or more is too many
         return np.zeros(0, dtype=U)
@@ -92,6 +98,9 @@ def keys(tokens: np.ndarray, similarity: int) -> np.ndarray:
     for band in (own, own + 1):
         if band > own and n * 100 < similarity * (int(size[own]) + 1):
             break
+        if few[band]:  # at a similarity of a half, say, sets of one and two tokens: similar ones share one
+            out.append(mix(tokens ^ mix(np.full(n, band + 1, dtype=U))))
+            continue
         k, deal = int(n_chunks[band]), 0
         while True:
             chunk = (((mix(tokens + U(deal)) if deal else tokens) >> U(32)) % U(k)).astype(np.int64)
@@ -103,6 +112,8 @@ def keys(tokens: np.ndarray, similarity: int) -> np.ndarray:
             if k - len(number) <= spare[band]:
                 break
             deal += 1
+            if deal == MOST_DEALS:
+                raise RuntimeError(f"{n} tokens in {k} chunks: too few in most, {deal} times")
     return np.concatenate(out)
 
 

@@ -85,35 +85,44 @@ def test_short_texts_and_near_misses_give_few_pairs(spark, docs, words):
 def test_components_by_the_second_comparison(docs, words, monkeypatch):
     """Links that the first forests miss: a bridge from one family to another by one member each; tiny blocks."""
     rng = random.Random(11)
-    for block, tokens in ((1024, 1 << 20), (4, 200)):
-        monkeypatch.setattr(op, "BLOCK", block)
-        monkeypatch.setattr(op, "BLOCK_TOKENS", tokens)
-        texts = []
-        for k in range(6):
-            base = words(rng.randint(30, 80), 50 + k)
-            texts += family(base, 12, 5, rng)
-        rows = list(enumerate(texts))
-        got, _ = op.jaccard_components(docs(rows), 3, 80)
-        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(brute(rows, 3, 80))
+    monkeypatch.setattr(op, "BLOCK", 4)
+    monkeypatch.setattr(op, "BLOCK_TOKENS", 200)
+    texts = []
+    for k in range(6):
+        base = words(rng.randint(30, 80), 50 + k)
+        texts += family(base, 12, 5, rng)
+    rows = list(enumerate(texts))
+    got, _ = op.jaccard_components(docs(rows), 3, 80)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(brute(rows, 3, 80))
 
 
 def test_shuffled_tables_give_the_same(docs, words, monkeypatch):
     rng = random.Random(12)
     rows = list(enumerate([t for k in range(4) for t in family(words(60, k), 8, 6, rng)] + ["", None]))
-    want, _ = op.jaccard_components(docs(rows), 3, 80)
-    want = sorted((r.doc_id, r.component_id) for r in want.collect())
+    want = sorted((d, c) for d, _, c in brute(rows, 3, 80))
     monkeypatch.setattr(op, "small", lambda df, limit=0: df)
     monkeypatch.setattr(op, "BROADCAST_ROWS", 0)
     got, _ = op.jaccard_components(docs(rows), 3, 80)
     assert sorted((r.doc_id, r.component_id) for r in got.collect()) == want
 
 
+def test_keys_are_few_at_every_size():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for similarity in (50, 70, 80, 90, 95):
+        for n in [*range(1, 80), *map(int, 80 * 1.13 ** np.arange(45))]:
+            for _ in range(20 if n < 80 else 1):
+                keys = op.keys(np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)), similarity)
+                assert len(keys) <= 16 + 5 * (100 - similarity) * 2 * n / (100 + similarity)
+
+
 def test_similar_sets_share_a_key(words):
     import numpy as np
 
     rng = np.random.default_rng(1)
-    for similarity in (80, 90):
-        for n in (1, 2, 3, 7, 9, 10, 11, 20, 45, 100, 333, 1000):
+    for similarity in (50, 80, 90):
+        for n in (*range(1, 34), 45, 100, 333, 520, 840, 1000, 1340):
             for _ in range(20):
                 a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
                 d = (100 - similarity) * 2 * n // (100 + similarity)
