@@ -74,7 +74,7 @@ def bands(similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         k = d + 1 + spare
         mean = least / k
         short = np.exp(-mean) * (1 + mean * weak) * k
-        spare = np.minimum(2 + np.ceil(short + 2 * np.sqrt(short)), 2 + d).astype(np.int64)
+        spare = np.minimum(2 + np.ceil(short + 2 * np.sqrt(short)), 2 + d * (1 if t >= 0.75 else 3)).astype(np.int64)
     width = np.clip(d * SKETCH_BITS // 64, 2, SKETCH_WORDS)
     width = 1 << np.ceil(np.log2(width)).astype(np.int64)
     return size, d + 1 + spare, spare, width, least <= d, weak
