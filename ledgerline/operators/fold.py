@@ -157,28 +157,84 @@ def project(log: DataFrame, p: Projection, schema: str, read: Callable[[object],
     return python_fold(source, key, p.view, schema, read, columns)
 
 
+class Conflict(RuntimeError):
+    """Another writer has saved states meanwhile."""
+
+
 class StateTable:
-    """States by key, as Parquet versions of a table: each batch merges into a new version, whose name is then made current."""
+    """States by key: a version lists Parquet parts, each with the states of one batch, and the newest state of a key counts. A version is one file, created exclusively; after PARTS parts, one part is made of all."""
+
+    PARTS = 16
 
     def __init__(self, spark, path: str, schema: str):
         from ..sources.files import Folder
 
         self.spark, self.folder, self.schema = spark, Folder(spark, path), schema
 
+    def _version(self) -> tuple[int, dict]:
+        n = self.folder.last("v")
+        return (0, {"parts": [], "positions": {}}) if n is None else (n, json.loads(self.folder.read_text(f"v-{n:012d}")))
+
+    def _states(self, parts: list[str]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        if len(parts) == 1:
+            return self.spark.read.schema(self.schema).parquet(f"{self.folder.path}/{parts[0]}")
+        rows = self.spark.read.schema(f"{self.schema}, __n long").parquet(*[f"{self.folder.path}/{p}" for p in parts])
+        columns = [c for c in rows.columns if c not in ("key", "__n")]
+        newest = rows.groupBy("key").agg(F.max_by(F.struct(*columns), F.coalesce("__n", F.lit(0))).alias("s"))
+        return newest.select("key", *[F.col(f"s.`{c}`").alias(c) for c in columns])
+
     def current(self) -> DataFrame:
-        version = self.folder.last("v")
-        return self.spark.createDataFrame([], self.schema) if version is None else self.spark.read.schema(self.schema).parquet(f"{self.folder.path}/{self.folder.read_text(f'v-{version:012d}')}")
+        return self._states(self._version()[1]["parts"])
+
+    def position(self, name: str) -> int:
+        """The last position that a projection has saved with its states."""
+        return self._version()[1]["positions"].get(name, 0)
 
     def find(self, *keys: str) -> DataFrame:
         return self.current().where(F.col("key").isin(list(keys)))
 
-    def save(self, states: DataFrame) -> None:
-        """Replaces the states of these keys, in one read and one write for the whole batch."""
+    def save(self, states: DataFrame | Callable[[DataFrame], DataFrame], positions: dict[str, int] | None = None, conflict: str = "raise") -> bool:
+        """Replaces the states of these keys, in one write for the whole batch, and notes positions with them. states may be a function of the current states. conflict: of another writer meanwhile, "raise", "ignore" (nothing is saved, False is returned) or "retry"."""
         import uuid
 
-        version = self.folder.last("v")
-        name = f"data-{uuid.uuid4().hex}"
-        merged = self.current().join(states.select("key"), "key", "left_anti").unionByName(states.select(self.current().columns))
-        merged.write.parquet(f"{self.folder.path}/{name}")
-        if not self.folder.create(f"v-{(version or 0) + 1:012d}", name):
-            raise RuntimeError("another writer has saved meanwhile")
+        if conflict not in ("raise", "ignore", "retry"):
+            raise ValueError(f"no conflict policy: {conflict}")
+        while True:
+            n, kept = self._version()
+            new = states(self._states(kept["parts"])) if callable(states) else states
+            columns = self._states([]).columns
+            name, parts = f"data-{uuid.uuid4().hex}", kept["parts"]
+            if len(parts) >= self.PARTS:
+                new = self._states(parts).join(new.select("key"), "key", "left_anti").unionByName(new.select(columns))
+                parts = []
+            new.select(*columns, F.lit(n + 1).cast("long").alias("__n")).write.parquet(f"{self.folder.path}/{name}")
+            if self.folder.create(f"v-{n + 1:012d}", json.dumps({"parts": [*parts, name], "positions": {**kept["positions"], **(positions or {})}})):
+                return True
+            self.folder.delete(name)
+            if conflict == "raise":
+                raise Conflict("another writer has saved meanwhile")
+            if conflict == "ignore":
+                return False
+
+
+def coalesced(log: DataFrame, key: Column, batch: int, states: dict[str, tuple[Column, Callable[[Column], Column]]], after: int = 0) -> DataFrame:
+    """A replay that buffers events and flushes them by the batch: a row for each flush and key that it writes, with the key's states after it.
+
+    A flush takes batch positions, the last one what is left; each key in it is read and written once, however many events it has. states: of each
+    state, its aggregate over a flush's events and how those combine (F.count("*") with F.sum, say). One job, whatever the number of flushes.
+    """
+    if batch < 1:
+        raise ValueError("a batch has an event")
+    from pyspark.sql import Window
+
+    flush = F.floor((F.col("position") - after - 1) / batch).cast("long")
+    own = log.where(F.col("position") > after).groupBy(flush.alias("flush"), key.cast("string").alias("key")).agg(F.count("*").alias("events"), *[c.alias(n) for n, (c, _) in states.items()]).where(F.col("key").isNotNull())
+    so_far = Window.partitionBy("key").orderBy("flush").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return own.select("flush", "key", "events", *[combine(F.col(n)).over(so_far).alias(n) for n, (_, combine) in states.items()])
+
+
+def dcb_projection(log: DataFrame, p: Projection, criteria, schema: str, read: Callable[[object], dict], columns: list[str] | None = None) -> DataFrame:
+    """A projection over the events of criteria, across streams: its key and handlers as elsewhere, its own filter with the criteria's."""
+    return project(log.where(criteria.column()), p, schema, read, None, columns)

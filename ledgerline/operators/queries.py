@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..condition import in_
-from ..filter import Everything, Filter, TypeRegistry, stream_read_filter, type_
+from ..filter import Everything, Filter, TypeRegistry, references_payload, stream_read_filter, type_
 from ..model import PositionRange
 from ..plans.compile import predicate
 from ..sort import SortBy, unsorted
@@ -35,13 +35,16 @@ def _not_negative(**kwargs: int | None) -> None:
 class EventQueries:
     """Queries over one log, a DataFrame of the envelope's columns."""
 
-    def __init__(self, log: DataFrame, types: TypeRegistry | None = None, missing_ne: bool = False, strict: bool = False):
-        self.log, self.types = log, types or TypeRegistry()
+    def __init__(self, log: DataFrame, types: TypeRegistry | None = None, missing_ne: bool = False, strict: bool = False, payloads: bool = True):
+        """payloads: whether payload conditions are supported; without, a filter that has one is refused."""
+        self.log, self.types, self.payloads = log, types or TypeRegistry(), payloads
         self.options = {"missing_ne": missing_ne, "strict": strict}
 
     def _where(self, f: Filter | None) -> DataFrame:
         if f is None or isinstance(f, Everything):
             return self.log
+        if not self.payloads and references_payload(f):
+            raise ValueError("payload conditions aren't supported here")
         return self.log.where(predicate(f, self.log.columns, **self.options))
 
     def query(self, f: Filter | None = None, skip: int = 0, limit: int | None = None, sort: SortBy | None = None) -> DataFrame:
@@ -97,6 +100,10 @@ class EventQueries:
         version = self.log.where(F.col("streamid") == stream_id).agg(F.max("streamversion")).first()[0]
         return EventStream(stream_id, version or 0, events)
 
+    def stream_versions(self) -> DataFrame:
+        """streamid, version and n of every stream, combined before the shuffle: no stream is read whole by one task."""
+        return self.log.where(F.col("streamid").isNotNull()).groupBy("streamid").agg(F.max("streamversion").alias("version"), F.count("*").alias("n"))
+
     # positions
     def current_position(self) -> int:
         return self.log.agg(F.max("position")).first()[0] or 0

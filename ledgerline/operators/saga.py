@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -211,11 +211,63 @@ class SagaStore:
         return [k for _, k in sorted((s.updated, k) for k, s in self.kept.items() if s.status == status and s.updated < updated_before)][:limit]
 
 
+class FileSagaStore:
+    """Instances in a folder that processes share: a version of an instance is a file, created exclusively, so saves compare by themselves. Polls read the last version of each active instance."""
+
+    def __init__(self, spark, path: str, keep: int = 3):
+        from ..sources.files import Folder
+
+        self.folder, self.keep = Folder(spark, path), keep
+
+    @staticmethod
+    def _name(saga_id: str) -> str:
+        return "s" + saga_id.encode().hex()
+
+    def find(self, saga_id: str) -> SagaState | None:
+        n = self.folder.last(self._name(saga_id))
+        return None if n is None else self._read(f"{self._name(saga_id)}-{n}")
+
+    def _read(self, name: str) -> SagaState | None:
+        found = json.loads(self.folder.read_text(name))
+        return None if found is None else SagaState(**found)
+
+    def _number(self, saga_id: str) -> int:
+        return self.folder.last(self._name(saga_id)) or 0
+
+    def compare_and_save(self, saga_id: str, expected: int, new: SagaState) -> bool:
+        n, now = self._number(saga_id), self.find(saga_id)
+        if (now.version if now else 0) != expected or not self.folder.create(f"{self._name(saga_id)}-{n + 1}", json.dumps(asdict(new))):
+            return False
+        if n + 1 > self.keep:
+            self.folder.delete(f"{self._name(saga_id)}-{n + 1 - self.keep}")
+        return True
+
+    def delete(self, saga_id: str) -> None:
+        if self.find(saga_id) is not None:
+            self.folder.create(f"{self._name(saga_id)}-{self._number(saga_id) + 1}", "null")
+
+    def _all(self) -> dict[str, SagaState]:
+        last: dict[str, int] = {}
+        for name in self.folder.names("s"):
+            key, _, n = name.partition("-")
+            if n.isdigit():
+                last[key] = max(last.get(key, 0), int(n))
+        found = {bytes.fromhex(k[1:]).decode(): self._read(f"{k}-{n}") for k, n in last.items()}
+        return {k: s for k, s in found.items() if s is not None}
+
+    def with_due_timers(self, now: float, limit: int = 100) -> list[str]:
+        return [k for _, k in sorted((s.due(now)[0][0], k) for k, s in self._all().items() if s.due(now))][:limit]
+
+    def by_status(self, status: str, updated_before: float, limit: int = 100) -> list[str]:
+        return [k for _, k in sorted((s.updated, k) for k, s in self._all().items() if s.status == status and s.updated < updated_before)][:limit]
+
+
 class SagaRunner:
     """Runs a saga over single inputs: commands are given before the state is saved, so they may come again after a failure."""
 
-    def __init__(self, saga: Saga, store: SagaStore, dispatch: Callable[[object], object], attempts: int = 50):
-        self.saga, self.store, self.dispatch, self.attempts = saga, store, dispatch, attempts
+    def __init__(self, saga: Saga, store: SagaStore | FileSagaStore, dispatch: Callable[[object], object], attempts: int = 50, lease=None, require_key: bool = False):
+        """lease: polls fire timers only while this process holds it. require_key: refuse events whose redelivery can't be told, as they have neither a version in their stream nor a position."""
+        self.saga, self.store, self.dispatch, self.attempts, self.lease, self.require_key = saga, store, dispatch, attempts, lease, require_key
 
     def _apply(self, saga_id: str, given, now: float) -> SagaState | None:
         for _ in range(self.attempts):
@@ -230,11 +282,15 @@ class SagaRunner:
         raise RuntimeError(f"{saga_id} is contended")
 
     def on_event(self, saga_id: str, event: dict, now: float) -> SagaState | None:
+        if self.require_key and event.get("position") is None and (event.get("streamid") is None or event.get("streamversion") is None):
+            raise ValueError("an event without a stream's version and a position")
         return self._apply(saga_id, event, now)
 
     def poll(self, now: float, limit: int = 100) -> int:
         """Fires due timers; returns how many."""
         n = 0
+        if self.lease is not None and self.lease.acquire(f"timers-{self.saga.name}") is None:
+            return n
         for saga_id in self.store.with_due_timers(now, limit):
             for at, name in self.store.find(saga_id).due(now):
                 self._apply(saga_id, Timeout(name, at), now)

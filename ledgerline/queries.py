@@ -17,7 +17,7 @@ from .filter import TypeRegistry
 from .model import DCB, STREAM, PositionRange
 from .operators import dcb, flow, saga, snapshot
 from .operators.decider import Decider, decider_states
-from .operators.fold import Projection, View, algebraic, expression_fold, first_by, last_by, project, python_fold
+from .operators.fold import Projection, View, algebraic, coalesced, dcb_projection, expression_fold, first_by, last_by, project, python_fold
 from .operators.queries import EventQueries
 from .sources.event_log import backfilled, conversation_log, event_log, numbered
 
@@ -251,10 +251,12 @@ def typed_decoded(spark, d):
     return _plain(spark, d).decoded("value double, k bigint", "purchase").select("position", "payload.value", "payload.k")
 
 
-@query("SELECT * FROM (VALUES ('signup'), ('purchase')) AS t(type)", log=False)
+@query("SELECT type, count(*) AS n FROM log WHERE type IN ('signup', 'purchase') AND k > 1 GROUP BY type")
 def type_narrowing(spark, d):
-    own = f.narrowed_types(f.type_(in_("signup", "purchase", "view")) & f.data("k", gt(1)) & (f.type_("signup") | f.type_("purchase")))
-    return spark.createDataFrame([(t,) for t in sorted(own)], "type string")
+    """Partitions by type that a filter needs no events from are left out by the types it narrows to."""
+    own = f.type_(in_("signup", "purchase", "view")) & f.data("k", gt(1)) & (f.type_("signup") | f.type_("purchase"))
+    log = event_log(spark, d, versions=False)
+    return EventQueries(log.where(F.col("type").isin(sorted(f.narrowed_types(own))))).query(own).groupBy("type").agg(F.count("*").alias("n"))
 
 
 # --- streams and positions -------------------------------------------------------------------------------------------------
@@ -277,7 +279,7 @@ def read_stream_filtered(spark, d):
 
 @query("SELECT streamid, max(streamversion) AS version, count(*) AS n FROM log GROUP BY streamid")
 def stream_versions(spark, d):
-    return _versioned(spark, d).log.groupBy("streamid").agg(F.max("streamversion").alias("version"), F.count("*").alias("n"))
+    return _versioned(spark, d).stream_versions()
 
 
 @query(f"SELECT {IDS} FROM log WHERE position > 100 AND position <= 160 AND type <> 'view'")
@@ -287,7 +289,7 @@ def position_range(spark, d):
 
 @query("SELECT max(position) AS head FROM log")
 def position_head(spark, d):
-    return event_log(spark, d, versions=False).agg(F.max("position").alias("head"))
+    return spark.createDataFrame([(_plain(spark, d).current_position(),)], "head long")
 
 
 @query("SELECT 'conv-' || conv_id AS streamid, max(turn) + 1 AS version, count(*) AS n FROM conversations GROUP BY conv_id", log=False)
@@ -318,10 +320,10 @@ def dcb_backward_skip_limit(spark, d):
     return _ids(dcb.select(event_log(spark, d, False), dcb.types("signup", "purchase"), options))
 
 
-@query("SELECT count(*) AS n FROM log WHERE dcbtags IS NOT NULL AND list_contains(dcbtags, 'k:5') AND position > 100 AND position <= 5000")
+@query("SELECT count(*) AS n, count(*) > 0 AS some, false AS none FROM log WHERE dcbtags IS NOT NULL AND list_contains(dcbtags, 'k:5') AND position > 100 AND position <= 5000")
 def dcb_count_window(spark, d):
-    log = event_log(spark, d, False).where((F.col("position") > 100) & (F.col("position") <= 5000))
-    return dcb.select(log, dcb.tags("k:5")).agg(F.count("*").alias("n"))
+    log, options = event_log(spark, d, False), dcb.ReadOptions(PositionRange(100, 5000), dcb.BACKWARD, 3, 7)  # only the positions count
+    return spark.createDataFrame([(dcb.count(log, dcb.tags("k:5"), options), dcb.exists(log, dcb.tags("k:5"), options), dcb.exists(log, dcb.tags("k:none"), options))], "n long, some boolean, none boolean")
 
 
 @query("SELECT position, array_to_string(dcbtags, chr(10)) AS encoded, len(dcbtags) AS n FROM log WHERE dcbtags IS NOT NULL")
@@ -330,18 +332,18 @@ def dcb_tag_codec(spark, d):
     return own.withColumn("n", F.size(dcb.decoded_tags(F.col("encoded"))).cast("long"))
 
 
-@query("SELECT position, array_to_string(list_sort(['person:' || subject, 'what:' || type]), ',') AS tags FROM log WHERE position <= 500")
+@query("SELECT position, array_to_string(list_sort(['person:' || subject, 'what:' || type]), ',') AS tags FROM log")
 def dcb_generated_tags(spark, d):
-    return event_log(spark, d, False).where("position <= 500").select("position", F.array_join(dcb.tags_of({"subject": "person", "type": "what"}), ",").alias("tags"))
+    return event_log(spark, d, False).select("position", F.array_join(dcb.tags_of({"subject": "person", "type": "what"}), ",").alias("tags"))
 
 
-@query("SELECT streamid, NOT EXISTS (SELECT 1 FROM log l WHERE l.type = 'purchase' AND list_contains(l.dcbtags, 'user:' || substr(s.streamid, 6)) AND l.position > 5000) AS may_append FROM (SELECT DISTINCT streamid FROM log) s")
+@query("SELECT s.streamid, (SELECT count(*) FROM log l WHERE l.type = 'purchase' AND list_contains(l.dcbtags, 'user:' || substr(s.streamid, 6)) AND list_contains(l.dcbtags, 'k:3') AND l.position > 5000) AS events FROM (SELECT DISTINCT streamid FROM log) s")
 def append_condition_check(spark, d):
-    """For each user: whether an append that must not follow a purchase after position 5000 may go on."""
+    """For each user, an append that no purchase with two tags may precede after position 5000: how many events fail it."""
     log = event_log(spark, d, False)
-    late = log.where((F.col("position") > 5000) & dcb.types("purchase").column())
-    blocked = late.groupBy("streamid").agg(F.count("*").alias("n"))
-    return log.select("streamid").distinct().join(blocked, "streamid", "left").select("streamid", F.col("n").isNull().alias("may_append"))
+    user = F.concat(F.lit("user:"), F.substring("streamid", 6, 100))
+    asked = log.select("streamid").distinct().select(F.col("streamid").alias("key"), F.array(F.lit("purchase")).alias("types"), F.array(user, F.lit("k:3")).alias("tags"), F.lit(5000).alias("token"))
+    return dcb.blocked(log, asked).withColumnRenamed("key", "streamid")
 
 
 @query("SELECT id, CASE WHEN position % 4 = 0 THEN position ELSE 1000000 + row_number() OVER (PARTITION BY position % 4 = 0 ORDER BY time, CAST(id AS BIGINT)) END AS position FROM log")
@@ -410,10 +412,12 @@ def projection_on_demand(spark, d):
     return project(event_log(spark, d, False), p, "views bigint, clicks bigint", lambda s: {"views": s[0], "clicks": s[1]}, "user-7", ["type"])
 
 
-@query("SELECT count(*) FILTER (type = 'purchase') AS purchases, count(*) AS n FROM log WHERE dcbtags IS NOT NULL AND list_contains(dcbtags, 'k:4')")
+@query("SELECT streamid AS key, count(*) FILTER (type = 'purchase') AS purchases, CAST(sum(k) AS BIGINT) AS total FROM log WHERE dcbtags IS NOT NULL AND (list_contains(dcbtags, 'k:4') OR (type = 'signup' AND list_contains(dcbtags, 'k:5'))) GROUP BY 1")
 def projection_dcb(spark, d):
-    log = dcb.select(event_log(spark, d, False), dcb.tags("k:4"))
-    return algebraic(log, None, purchases=F.count_if(F.col("type") == "purchase"), n=F.count("*"))
+    """Criteria and a projection: handlers by type over the events of the criteria, across streams."""
+    p = Projection("k4", lambda: (0, 0), F.col("streamid")).on("purchase", lambda s, e: (s[0] + 1, s[1] + e["k"])).on("signup", lambda s, e: (s[0], s[1] + e["k"]))
+    own = dcb.any_of(dcb.tags("k:4"), dcb.criterion(("signup",), ("k:5",)))
+    return dcb_projection(event_log(spark, d, False), p, own, "purchases bigint, total bigint", lambda s: {"purchases": s[0], "total": s[1]}, ["type", "k"])
 
 
 @query(
@@ -430,8 +434,7 @@ def decider_terminal_fold(spark, d):
 @query("SELECT streamid, CAST(max(streamversion) // 25 AS BIGINT) * 25 AS version FROM log GROUP BY streamid HAVING max(streamversion) >= 25")
 def snapshot_every_n(spark, d):
     """The last version of each stream at which every(25) has taken a snapshot."""
-    log = _versioned(spark, d).log.withColumn("since", F.when(F.col("streamversion") % 25 == 0, 25).otherwise(F.col("streamversion") % 25))
-    return log.where(snapshot.every(25).column()).groupBy("streamid").agg(F.max("streamversion").alias("version"))
+    return snapshot.taken(_versioned(spark, d).log, snapshot.every(25)).groupBy(F.col("key").alias("streamid")).agg(F.max("version").alias("version"))
 
 
 @query("SELECT streamid AS key, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM log GROUP BY streamid")
@@ -461,18 +464,23 @@ def checkpoint_replay_delta(spark, d):
     return _ids(_plain(spark, d).after_position(9000, f.type_("purchase")))
 
 
-@query("SELECT id, source, min(position) AS position FROM log GROUP BY id, source")
+@query("SELECT id, source, position FROM log")
 def dedup_redelivery(spark, d):
     """Events delivered twice count once."""
+    from .streaming.subscriptions import deduplicated
+
     log = event_log(spark, d, False).select("id", "source", "position")
-    return log.unionByName(log.where("position % 3 = 0")).groupBy("id", "source").agg(F.min("position").alias("position"))
+    return deduplicated(log.unionByName(log.where("position % 3 = 0")))
 
 
-@query("SELECT (position - 1) // 1000 AS n, count(*) AS events, count(DISTINCT streamid) AS keys FROM log GROUP BY 1")
+@query(
+    "SELECT flush, key, events, CAST(sum(events) OVER w AS BIGINT) AS n, CAST(sum(k) OVER w AS BIGINT) AS total, max(last) OVER w AS last FROM (SELECT (position - 1) // 1000 AS flush, streamid AS key, count(*) AS events, sum(k) AS k, max(position) AS last FROM log GROUP BY 1, 2) "
+    "WINDOW w AS (PARTITION BY key ORDER BY flush)"
+)
 def coalesced_replay(spark, d):
-    """A replay in windows of 1000 positions: each has one read and write per distinct key."""
-    w = F.floor((F.col("position") - 1) / 1000).cast("long").alias("n")
-    return event_log(spark, d, False).groupBy(w).agg(F.count("*").alias("events"), F.countDistinct("streamid").alias("keys"))
+    """A replay that flushes every 1000 events: what each flush writes of each key that it has events of."""
+    states = {"n": (F.count("*"), F.sum), "total": (F.sum("k"), F.sum), "last": (F.max("position"), F.max)}
+    return coalesced(event_log(spark, d, False), F.col("streamid"), 1000, states)
 
 
 # --- ad-hoc aggregation ----------------------------------------------------------------------------------------------------
@@ -539,12 +547,20 @@ def saga_commands(spark, d):
     return own.select("saga_id", "version", F.get_json_object("command", "$.do").alias("what"), F.get_json_object("command", "$.n").cast("long").alias("n"))
 
 
-@query()
+HALF = 1704067200.0 + 4 * 86400
+
+
+@query(
+    "SELECT saga_id, timer, at_ms FROM (WITH "
+    + _ORDER.replace("FROM log l JOIN", "FROM (SELECT * FROM log WHERE time <= TIMESTAMP '2024-01-05') l JOIN").replace("FROM log WHERE type = 'signup'", "FROM log WHERE time <= TIMESTAMP '2024-01-05' AND type = 'signup'").replace("1704067200000000 + 40 *", "1704067200000000 + 4 *")
+    + " SELECT a.streamid AS saga_id, 'ship' AS timer, CAST(round(a.due / 1000.0) AS BIGINT) AS at_ms FROM armed a LEFT JOIN ends e USING (streamid) "
+    "WHERE e.v IS NULL AND a.v = (SELECT max(v) FROM armed b WHERE b.streamid = a.streamid) AND a.due <= 1704067200000000 + 6 * 86400000000)"
+)
 def saga_due_timers(spark, d):
-    half = 1704067200.0 + 4 * 86400
+    """As of 5 January: of the instances that are active, the timers that are due within two days."""
     log = event_log(spark, d).where(F.col("time") <= F.lit("2024-01-05").cast("timestamp_ntz"))
-    own = saga.run_batch(log, _order_saga(), F.col("streamid"), half, ["k", "streamid", "streamversion"])
-    return saga.due_timers(own, half + 2 * 86400)
+    own = saga.run_batch(log, _order_saga(), F.col("streamid"), HALF, ["k", "streamid", "streamversion"])
+    return saga.due_timers(own, HALF + 2 * 86400).select("saga_id", "timer", F.round(F.col("at") * 1000).cast("long").alias("at_ms"))
 
 
 def _three_views() -> saga.Saga:
@@ -578,13 +594,13 @@ def flow_first_match_branch(spark, d):
 
 
 @query(
-    "SELECT 'order-' || o.o_orderkey AS saga_id, CASE WHEN count(*) FILTER (l.l_shipdate IS NOT NULL) >= 2 THEN '__end__' ELSE 'ship' END AS step FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'F' GROUP BY o.o_orderkey",
+    "SELECT 'order-' || o.o_orderkey AS saga_id, CASE WHEN count(*) FILTER (l.l_shipdate IS NOT NULL) >= 2 THEN '__end__' ELSE 'ship' END AS step FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey",
     log=False,
 )
 def order_lifecycle_flow(spark, d):
     """Orders and their lines as a log: an order is done when two of its lines have been shipped."""
-    orders = spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'F'")
-    lines = spark.read.parquet(f"{d}/lineitem.parquet").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").where("l_shipdate is not null")
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").where("l_shipdate is not null")
     log = orders.select(F.concat(F.lit("order-"), "o_orderkey").alias("streamid"), F.lit("placed").alias("type"), F.lit(0).cast("long").alias("position"), F.col("o_orderdate").alias("time")).unionByName(
         lines.select(F.concat(F.lit("order-"), "l_orderkey").alias("streamid"), F.lit("shipped").alias("type"), (F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 8 + F.col("l_linenumber")).alias("position"), F.col("l_shipdate").alias("time"))
     )
@@ -606,3 +622,5 @@ def dcb_stream_placement(spark, d):
 
 
 FLAGSHIP = "dcb_backward_skip_limit"
+
+from . import queries_store  # noqa: E402, F401  registers the queries that write

@@ -289,6 +289,14 @@ class EventStore:
                 return new
         raise Contended("update")
 
+    def copied(self, path: str) -> EventStore:
+        """A store of the same events with the same stamps elsewhere, to be changed apart."""
+        state, out = self._state(), EventStore(self.spark, path)
+        part = out._put(self._read(state.parts))
+        if not out._commit(_State(0, (), 0), (part,), state.head, {"copied": self.path}):
+            raise Contended("the copy's store isn't new")
+        return out
+
     def compact(self) -> None:
         """All parts as one table, sorted by position in ranges."""
         state = self._state()

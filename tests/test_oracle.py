@@ -50,22 +50,3 @@ def test_placement_equals_the_plain_function(spark):
         s = dcb.stream_of(r[0])
         want[s] = want.get(s, 0) + 1
     assert got == want
-
-
-def test_due_timers_equal_a_replay(spark):
-    from ledgerline import queries as q
-    from ledgerline.operators.saga import replay
-    from ledgerline.sources.event_log import event_log
-
-    half = 1704067200.0 + 4 * 86400
-    by = {}
-    for r in event_log(spark, SF).where("time <= timestamp_ntz'2024-01-05'").orderBy("position").collect():
-        by.setdefault(r.streamid, []).append({"type": r.type, "k": r.k, "position": r.position, "streamid": r.streamid, "streamversion": r.streamversion, "t": r.time.timestamp()})
-    want = set()
-    for s, events in by.items():
-        own = [e for e in events if e["type"] in q._order_saga().types()]
-        kept, _ = replay(q._order_saga(), own, half, lambda e: e["t"])
-        if kept and kept.status == "active":
-            want |= {(s, n, round(at, 3)) for n, at in kept.timers.items() if at <= half + 2 * 86400}
-    got = {(r.saga_id, r.timer, round(r["at"], 3)) for r in QUERIES["saga_due_timers"](spark, SF).collect()}
-    assert got == want
