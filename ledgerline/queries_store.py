@@ -291,7 +291,7 @@ def decider_with_snapshots(spark, d):
 def composed_command_functions(spark, d):
     """A chain of commands over a stream's events: the last one sees what the ones before have made."""
     events = [(r.type, json.loads(r.data)["k"]) for r in _store(spark, d).queries().read_events("user-7", f.type_(in_("view", "click"))).collect()]  # one stream
-    count = lambda kind: lambda es: [(f"n:{kind}", len([1 for t, _ in es if t == kind]), sum(k for t, k in es if t == kind))]
+    count = lambda kind: lambda es: [(f"n:{kind}", len([1 for e in es if e[0] == kind]), sum(e[1] for e in es if e[0] == kind))]
     both = lambda es: [("n:both", sum(e[1] for e in es if e[0].startswith("n:")), sum(e[2] for e in es if e[0].startswith("n:")))]
     made = composed_commands(count("view"), count("click"), both)(events)
     return spark.createDataFrame([(t.removeprefix("n:"), n, k) for t, n, k in made], "type string, n long, total long")
@@ -475,11 +475,11 @@ def _delivered(spark, d, f_=None, **kwargs) -> DataFrame:
     at = temporary(spark, "delivered")
     subs = Subscriptions(_store(spark, d), temporary(spark, "checkpoints"))
     try:
-        query = subs.subscribe("s", lambda batch, n: batch.select("position", "id", "type", "streamid", F.lit(n).alias("batch")).write.mode("overwrite").parquet(f"{at}/batch={n:06d}"), f_, trigger={"availableNow": True}, **kwargs)
-        query.awaitTermination()
+        query = subs.subscribe("s", lambda batch, n: batch.select("position", "id", "type", "streamid", F.lit(n).alias("batch")).write.mode("overwrite").parquet(f"{at}/batch={n:06d}"), f_, **kwargs)
+        query.processAllAvailable()
     finally:
         subs.stop()
-    return spark.read.schema(f"position long, id string, type string, streamid string").option("recursiveFileLookup", "true").parquet(at)
+    return spark.read.schema("position long, id string, type string, streamid string").option("recursiveFileLookup", "true").parquet(at)
 
 
 @query(f"SELECT {IDS} FROM log WHERE type = 'purchase' AND k > 20")
@@ -520,7 +520,7 @@ def subscription_keeps_a_projection(spark, d):
     p = Projection("seen", lambda: {"views": 0, "clicks": 0}, F.col("streamid")).on("view", lambda s, e: {**s, "views": s["views"] + 1}).on("click", lambda s, e: {**s, "clicks": s["clicks"] + 1})
     subs = Subscriptions(_store(spark, d), temporary(spark, "checkpoints"))
     try:
-        subs.project("p", p, table, "views long, clicks long", lambda s: s, columns=["type"], trigger={"availableNow": True}, most=5000).awaitTermination()
+        subs.project("p", p, table, "views long, clicks long", lambda s: s, columns=["type"], most=5000).processAllAvailable()
     finally:
         subs.stop()
     return table.current()
