@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .shared import discard, written
 
-#: More rounds than any graph needs whose longest path fits in a 64-bit count; a guard against endless loops only.
+#: More rounds than any graph needs whose longest path fits in a 64-bit count: the longest path about halves in a round. Beyond it, an error.
 ROUNDS = 200
 
 
@@ -34,4 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components aren't settled after {ROUNDS} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A line that names a holder.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*((copyright[ \t]+)?(\(c\)|©)|copyright[ \t]+[0-9]{4}|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = r"(^|\n)[ \t]*((copyright[ \t]+)?(\(c\)|©)|copyright[ \t]+[0-9]{4}|all[ \t]+rights[ \t]+reserved)[^\n]*"
 #: Equivalent spellings of texts whose words stand one space apart, fixed values.
 SPELLINGS = [
     ("licence", "license"),

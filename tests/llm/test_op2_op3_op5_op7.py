@@ -150,6 +150,31 @@ def test_common_licenses_are_known(docs):
     assert got == dict(enumerate([*names, "GPL-3.0-line", "CC-BY-NC-4.0-line", "Apache-2.0-filled"]))
 
 
+def test_whole_licenses_among_documents_through_the_query(spark, docs, tmp_path):
+    """Planted: every known text in another dress, among long, repeated, null and clashing rows; the query's rows equal its SQL's."""
+    import duckdb
+
+    known = sorted(lic.LICENSES)
+    rows = [(i, "Copyright 2021 A. Nother\n" + lic.LICENSES[n].replace("license", "LICENCE").replace(" ", "  ")) for i, n in enumerate(known)]
+    rows += [(500, "word " * 200_000 + lic.LICENSES["MIT"]), (501, None), (501, None), (502, lic.LICENSES["MIT"]), (502, lic.LICENSES["MIT"]), (None, lic.LICENSES["ISC"]), (503, "")]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, lic.query(spark, str(tmp_path)).collect()), key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cursor = con.execute(lic.oracle())
+    at = [[c[0] for c in cursor.description].index(n) for n in ("doc_id", "license_digest", "license_id")]
+    assert got == sorted((tuple(r[i] for i in at) for r in cursor.fetchall()), key=repr)
+    by = {r[0]: r[2] for r in got}
+    assert [n for i, n in enumerate(known) if by[i] is None] == [] and [r[2] for r in got if r[0] == 502] == ["MIT", "MIT"]
+    assert by[500] is None and by[501] is None and by[None] == "ISC"
+
+
+def test_license_columns_of_the_input_are_replaced(docs):
+    frame = docs([lic.LICENSES["MIT"], "x"]).withColumn("license_id", F.lit("mine")).withColumn("license_digest", F.lit(1))
+    out = lic.with_license(frame)
+    assert sorted(out.columns) == sorted(frame.columns) and [r.license_id for r in out.orderBy("doc_id").collect()] == ["MIT", None]
+
+
 # --- pages -----------------------------------------------------------------------------------------------------------------
 def lcs(a, b):
     d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from ledgerline.llm import registry
 from ledgerline.llm.components import components
 
@@ -26,6 +28,12 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_unfinished_components_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr("ledgerline.llm.components.ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long"))
+
+
 def test_pipeline_stages_run(spark, docs, words, tmp_path):
     import corpus_pipeline
 
