@@ -109,11 +109,12 @@ class EventQueries:
         return self.log.agg(F.max("position")).first()[0] or 0
 
     def read_in_position_order(self, f: Filter | None = None, positions: PositionRange | None = None) -> DataFrame:
-        """Events in a range of positions, ascending; an open end is the position that is current now."""
+        """Events in a range of positions, ascending. The log is as of when it was read, so an open end needs no look at its head."""
         positions = positions or PositionRange()
-        head = self.current_position()
-        up_to = head if positions.up_to is None else min(head, positions.up_to)
-        return self._where(f).where((F.col("position") > positions.after) & (F.col("position") <= up_to)).orderBy("position")
+        out = self._where(f).where(F.col("position") > positions.after)
+        if positions.up_to is not None:
+            out = out.where(F.col("position") <= positions.up_to)
+        return out.orderBy("position")
 
     def after_position(self, position: int, f: Filter | None = None) -> DataFrame:
         return self.read_in_position_order(f, PositionRange(position))

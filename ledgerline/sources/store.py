@@ -1,9 +1,9 @@
 """A writable event log: Parquet parts and a list of commits.
 
 A commit is a file commits/c-<n> that is created exclusively: of two writers of the same n, one succeeds, and the other reads the
-new state, checks its condition again and retries. A commit names all live parts and the log's head position. A write adds one
-part; deletes and updates write the parts that hold the events anew, and leave the others. Parts are sorted by position, so
-that scans of position ranges read few row groups.
+new state, checks its condition again and retries. Commits add and remove parts, each with the range of its positions, and name the log's
+head (see commits). A write adds one part; deletes and updates write the parts that hold the events anew, and leave the
+others. Parts are sorted by position; reads of position ranges leave out parts beyond them, and read few row groups of the others.
 
 Versions of a stream go on from its last remaining event, and start at 1 again once it is empty; positions are never used twice.
 An event's (id, source) is unique in the whole store.
@@ -25,6 +25,7 @@ from ..model import EVENT_SCHEMA, STAMPS, Event, encode_tags, time_parts
 from ..operators import dcb
 from ..operators.queries import EventQueries
 from ..plans.compile import where
+from .commits import Part, commit_of, overlapping, state_at
 from .files import Folder
 
 ATTEMPTS = 50
@@ -81,7 +82,7 @@ class AppendCondition:
 @dataclass(frozen=True)
 class _State:
     number: int
-    parts: tuple[str, ...]
+    parts: tuple[Part, ...]
     head: int
 
 
@@ -100,18 +101,23 @@ class EventStore:
         n = self.commits.last("c")
         if n is None:
             return _State(0, (), 0)
-        found = json.loads(self.commits.read_text(f"c-{n:012d}"))
-        return _State(n, tuple(found["parts"]), found["head"])
+        return _State(n, *state_at(n, lambda k: json.loads(self.commits.read_text(f"c-{k:012d}"))))
 
-    def _read(self, parts: tuple[str, ...]) -> DataFrame:
+    def _read(self, parts: tuple[Part, ...] | list[Part]) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], EVENT_SCHEMA)
-        return self.spark.read.schema(EVENT_SCHEMA).parquet(*[f"{self.path}/data/{p}" for p in parts])
+        return self.spark.read.schema(EVENT_SCHEMA).parquet(*[f"{self.path}/data/{p.name}" for p in parts])
 
     def log(self) -> DataFrame:
         """All events as of now."""
         return self._read(self._state().parts)
 
+    def positions(self, after: int = 0, up_to: int | None = None) -> DataFrame:
+        """Events of a range of positions, from the parts that may have some."""
+        state = self._state()
+        up_to = state.head if up_to is None else up_to
+        return self._read(overlapping(state.parts, after, up_to)).where((F.col("position") > after) & (F.col("position") <= up_to))
+
     def queries(self, **kwargs) -> EventQueries:
         return EventQueries(self.log(), **kwargs)
 
@@ -119,13 +125,14 @@ class EventStore:
         """The head, without a scan; 0 before the first event."""
         return self._state().head
 
-    def _commit(self, state: _State, parts: tuple[str, ...], head: int, what: dict) -> bool:
-        return self.commits.create(f"c-{state.number + 1:012d}", json.dumps({"parts": list(parts), "head": head, **what}))
+    def _commit(self, state: _State, parts: tuple[Part, ...], head: int) -> bool:
+        n = state.number + 1
+        return self.commits.create(f"c-{n:012d}", json.dumps(commit_of(n, state.parts, parts, head)))
 
-    def _put(self, rows: DataFrame) -> str:
-        name = f"p-{uuid.uuid4().hex}"
-        rows.select(EVENT_SCHEMA.names).sortWithinPartitions("position").write.parquet(f"{self.path}/data/{name}")
-        return name
+    def _put(self, rows: DataFrame, lo: int, hi: int) -> Part:
+        part = Part(f"p-{uuid.uuid4().hex}", lo, hi)
+        rows.select(EVENT_SCHEMA.names).sortWithinPartitions("position").write.parquet(f"{self.path}/data/{part.name}")
+        return part
 
     # writes
     def _rows(self, events: list[Event], stream_of: Callable[[Event], tuple[str, int | None]], first_position: int, append_id: str) -> DataFrame:
@@ -176,7 +183,7 @@ class EventStore:
             log = self._read(state.parts)
             if condition is not None and condition.whole_store and state.head > condition.token:
                 raise StoreChanged(f"the store is at {state.head}, not at {condition.token}")
-            if condition is not None and not log.where((F.col("position") > condition.token) & condition.criteria.column()).isEmpty():
+            if condition is not None and not self._read(overlapping(state.parts, condition.token, state.head)).where((F.col("position") > condition.token) & condition.criteria.column()).isEmpty():
                 raise AppendConditionNotFulfilled(condition.criteria.key())
             self._refuse_duplicates(log, events)
             streams = {stream_of(list(e.tags or ())) for e in events}
@@ -224,12 +231,12 @@ class EventStore:
         raise Contended("bulk append")
 
     def _add(self, state: _State, rows: DataFrame, n: int) -> bool:
-        part = self._put(rows)
-        if not self._commit(state, (*state.parts, part), state.head + n, {"added": part}):
-            self.data.delete(part)
+        part = self._put(rows, state.head + 1, state.head + n)
+        if not self._commit(state, (*state.parts, part), state.head + n):
+            self.data.delete(part.name)
             return False
         for listener in self.listeners:
-            listener(self._read((part,)))
+            listener(self._read([part]))
         return True
 
     # deletes and updates
@@ -240,12 +247,13 @@ class EventStore:
         part = F.regexp_extract(F.col("_metadata.file_path"), "/data/([^/]+)/", 1).alias("part")
         return {r["part"]: r["count"] for r in self._read(state.parts).where(where(f, EVENT_SCHEMA.names)).groupBy(part).count().collect()}
 
-    def _rewrite(self, state: _State, hit: list[str], change: Callable[[DataFrame], DataFrame]) -> bool:
+    def _rewrite(self, state: _State, hit: dict[str, int], change: Callable[[DataFrame], DataFrame]) -> bool:
         """Replaces parts by what change makes of their rows; False if another writer was first."""
-        part = self._put(change(self._read(tuple(hit))))
-        if self._commit(state, (*(p for p in state.parts if p not in hit), part), state.head, {"rewritten": hit}):
+        old = [p for p in state.parts if p.name in hit]
+        part = self._put(change(self._read(old)), min(p.lo for p in old), max(p.hi for p in old))
+        if self._commit(state, (*(p for p in state.parts if p not in old), part), state.head):
             return True
-        self.data.delete(part)
+        self.data.delete(part.name)
         return False
 
     def delete(self, f: Filter) -> int:
@@ -253,7 +261,7 @@ class EventStore:
         for _ in range(ATTEMPTS):
             state = self._state()
             found = self._holding(state, f)
-            if not found or self._rewrite(state, sorted(found), lambda rows: rows.where(~where(f, EVENT_SCHEMA.names))):
+            if not found or self._rewrite(state, found, lambda rows: rows.where(~where(f, EVENT_SCHEMA.names))):
                 return sum(found.values())
         raise Contended("delete")
 
@@ -285,15 +293,15 @@ class EventStore:
             if (new["id"], new["source"]) != (id, source) and not log.where(where(cloud_event(new["id"], new["source"]), EVENT_SCHEMA.names)).isEmpty():
                 raise DuplicateEvent(f"{new['id']} of {new['source']} is in the log")
             changed = self.spark.createDataFrame([tuple(new[n] for n in EVENT_SCHEMA.names)], EVENT_SCHEMA)
-            if self._rewrite(state, sorted(self._holding(state, f)), lambda rows: rows.where(~where(f, EVENT_SCHEMA.names)).union(changed)):  # noqa: B023
+            if self._rewrite(state, self._holding(state, f), lambda rows: rows.where(~where(f, EVENT_SCHEMA.names)).union(changed)):  # noqa: B023
                 return new
         raise Contended("update")
 
     def copied(self, path: str) -> EventStore:
         """A store of the same events with the same stamps elsewhere, to be changed apart."""
         state, out = self._state(), EventStore(self.spark, path)
-        part = out._put(self._read(state.parts))
-        if not out._commit(_State(0, (), 0), (part,), state.head, {"copied": self.path}):
+        part = out._put(self._read(state.parts), 1, state.head)
+        if not out._commit(_State(0, (), 0), (part,), state.head):
             raise Contended("the copy's store isn't new")
         return out
 
@@ -302,6 +310,6 @@ class EventStore:
         state = self._state()
         if len(state.parts) > 1:
             n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            part = self._put(self._read(state.parts).repartitionByRange(n, "position"))
-            if not self._commit(state, (part,), state.head, {"compacted": len(state.parts)}):
-                self.data.delete(part)
+            part = self._put(self._read(state.parts).repartitionByRange(n, "position"), 1, state.head)
+            if not self._commit(state, (part,), state.head):
+                self.data.delete(part.name)

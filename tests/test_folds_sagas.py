@@ -268,3 +268,71 @@ def test_retry():
     with pytest.raises(KeyError):
         Retry.none().run(fail)
     assert [w for w, _ in zip(Retry.exponential(1, 5).waits(), range(4))] == [1, 2, 4, 5]
+
+
+def test_state_tables_merge_and_conflict(spark, tmp_path, monkeypatch):
+    from ledgerline.operators.fold import Conflict
+
+    monkeypatch.setattr(StateTable, "PARTS", 3)
+    table = StateTable(spark, f"file://{tmp_path}/s", "key string, n long")
+    rows = lambda *r: spark.createDataFrame(r, "key string, n long")
+    for i in range(5):
+        table.save(rows((f"k{i % 2}", i), ("all", i)), {"p": i})
+    assert {r.key: r.n for r in table.current().collect()} == {"k0": 4, "k1": 3, "all": 4} and table.position("p") == 4 and table.position("q") == 0
+    assert [r.n for r in table.find("k1").collect()] == [3]
+
+    def late(now):
+        if not done:
+            done.append(StateTable(spark, f"file://{tmp_path}/s", "key string, n long").save(rows(("all", 10))))
+        return now.where("key = 'all'").selectExpr("key", "n + 1 AS n")
+
+    for policy, want in (("raise", 10), ("ignore", 10), ("retry", 11)):
+        done = []
+        if policy == "raise":
+            with pytest.raises(Conflict):
+                table.save(late)
+        else:
+            assert table.save(late, conflict=policy) == (policy == "retry")
+        assert table.find("all").first().n == want
+    with pytest.raises(ValueError):
+        table.save(rows(), conflict="maybe")
+
+
+def test_file_stores_and_gated_polls(spark, tmp_path):
+    from ledgerline.operators.saga import FileSagaStore
+    from ledgerline.operators.snapshot import FileSnapshotStore, Snapshot
+    from ledgerline.streaming.checkpoints import Lease
+
+    now, sent = [0.0], []
+    store = FileSagaStore(spark, f"file://{tmp_path}/sagas")
+    own = Saga("o", lambda: 0, frozenset(("a",)), lambda s, i: s + 1, lambda s, i: [Command(s)], lambda s, e: [StartTimer("t", 5)])
+    leases = [Lease(spark, f"file://{tmp_path}/leases", 10, lambda: now[0]) for _ in range(2)]
+    one, two = (SagaRunner(own, FileSagaStore(spark, f"file://{tmp_path}/sagas"), sent.append, lease=x, require_key=True) for x in leases)
+    with pytest.raises(ValueError):
+        one.on_event("x/1", {"type": "a"}, 0)
+    one.on_event("x/1", {"type": "a", "position": 1}, 0)
+    kept = store.find("x/1")
+    assert kept.version == 1 and store.with_due_timers(5) == ["x/1"] and store.with_due_timers(4) == []
+    assert not store.compare_and_save("x/1", 0, kept) and leases[1].acquire("timers-o") is not None
+    assert one.poll(6) == 0 and two.poll(6) == 1 and sent == [1, 2]
+    assert store.by_status("active", 100) == ["x/1"]
+    store.delete("x/1")
+    assert store.find("x/1") is None and store.by_status("active", 100) == [] and store.compare_and_save("x/1", 0, SagaState(0, version=1))
+    snapshots = FileSnapshotStore(spark, f"file://{tmp_path}/snapshots")
+    snapshots.save("a b", Snapshot({"n": 1}, 4))
+    assert snapshots.find("a b") == Snapshot({"n": 1}, 4) and snapshots.find("c") is None
+    snapshots.delete("a b")
+    assert snapshots.find("a b") is None
+
+
+def test_blocked_conditions_and_coalesced_flushes(spark):
+    from ledgerline.operators import dcb
+    from ledgerline.operators.fold import coalesced
+
+    log = spark.createDataFrame([(i, "x" if i % 2 else "y", ["a", "b"] if i % 3 else ["a"], i % 2) for i in range(1, 11)], "position long, type string, dcbtags array<string>, k long")
+    asked = spark.createDataFrame([("1", ["x"], ["a", "b"], 0), ("2", None, ["b"], 8), ("3", [], ["c"], 0), ("4", ["y"], ["a"], 10)], "key string, types array<string>, tags array<string>, token long")
+    assert {r.key: r.events for r in dcb.blocked(log, asked).collect()} == {"1": 3, "2": 1, "3": 0, "4": 0}
+    got = sorted(map(tuple, coalesced(log, F.col("type"), 4, {"n": (F.count("*"), F.sum)}, after=1).collect()))
+    assert got == [(0, "x", 2, 2), (0, "y", 2, 2), (1, "x", 2, 4), (1, "y", 2, 4), (2, "y", 1, 5)]
+    with pytest.raises(ValueError):
+        coalesced(log, F.col("type"), 0, {})

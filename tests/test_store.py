@@ -284,3 +284,26 @@ def test_stale_claims_have_one_successor(spark, tmp_path, monkeypatch):
     assert one.create("c-1", "third") and one.read_text("c-1") == "third" and not two.create("c-1", "late")
     one.delete("c-1")
     assert one.names("c-1") == []
+
+
+def test_commits_are_short_and_parts_outside_a_range_are_not_read(spark, store, monkeypatch):
+    import json
+
+    monkeypatch.setattr("ledgerline.sources.commits.CHECKPOINT", 4)
+    for i in range(1, 7):
+        store.write("a", [ev(i), ev(f"{i}b")])
+    store.delete_event("e2", "urn:ledgerline")
+    commits = [json.loads(store.commits.read_text(f"c-{n:012d}")) for n in range(1, 8)]
+    assert ["parts" in c for c in commits] == [True, False, False, False, True, False, False] and len(commits[5]["added"]) == 1
+    state = store._state()
+    assert len(state.parts) == 6 and state.head == 12 and EventStore(spark, store.path)._state() == state
+    found = store.positions(4, 7)
+    assert sorted(ids(found)) == ["e3", "e3b", "e4"] and len(found.inputFiles()) == 2
+    assert store.positions(2, 4).count() == 1 and store.positions(0, 4).count() == 3 and store.log().count() == 11
+
+
+def test_copies_are_apart(store, tmp_path):
+    store.write("a", [ev(1), ev(2)])
+    other = store.copied(f"file://{tmp_path}/copy")
+    other.write("a", [ev(3)], 2)
+    assert ids(store.log().orderBy("position")) == ["e1", "e2"] and ids(other.log().orderBy("position")) == ["e1", "e2", "e3"]

@@ -226,3 +226,43 @@ def test_saga_on_a_stream(spark, store, tmp_path):
         assert {r.saga_id for r in rows} == {"a"} and rows[-1].saga_version == 7
     finally:
         q.stop()
+
+
+def test_moving_and_starting_again(spark, store, subs):
+    got, s = [], subs()
+    take = lambda df, n: got.extend(r.id for r in df.collect())
+    s.subscribe("m", take, start=4)
+    s.run_available("m")
+    s.reposition("m", 5)
+    s.run_available("m")
+    assert got == ["e5", "e6", "e6"]
+    s.stop()
+    again, got[:] = subs(), []
+    again.subscribe("m", take, start=0)  # the move outlives the process
+    again.run_available("m")
+    assert got == []
+    from ledgerline.streaming.subscriptions import FROM_START
+
+    for _ in range(2):
+        once = subs()
+        once.subscribe("each", take, start=5, resume=FROM_START)
+        once.run_available("each")
+        once.stop()
+    assert got == ["e6", "e6"]
+
+
+def test_failed_forwards_are_parked(store):
+    from ledgerline.functions.retry import Retry
+    from ledgerline.streaming.subscriptions import DeliveryPolicy, destinations
+
+    tries, parked = [], []
+
+    def sink(rows):
+        tries.append(1)
+        raise OSError("down")
+
+    forward(store.log(), sink, policy=DeliveryPolicy(Retry(attempts=3, initial=0.0), lambda rows, e: parked.append((rows.count(), str(e)))))
+    assert len(tries) == 3 and parked == [(6, "down")]
+    with pytest.raises(OSError):
+        forward(store.log(), sink)
+    assert sorted({(r.type, r.to) for r in store.log().select("type", destinations({"odd": "o"}).alias("to")).collect()}, key=str) == [("even", None), ("odd", "o")]
