@@ -604,3 +604,41 @@ def push_feed_outcomes(spark, d):
     feed.catch_up([])
     assert [x["id"] for x in got] == ["1", "3"]
     return spark.createDataFrame([(i + 1, o.value) for i, o in enumerate(made)], "n int, outcome string")
+
+
+@query("SELECT * FROM (VALUES ('one', 1, 'a', 'delivered'), ('many', 1, 'a', 'delivered'), ('many', 1, 'b', 'filtered'), ('many', 2, 'a', 'delivered'), ('many', 2, 'b', 'delivered')) AS t(hub, n, consumer, outcome)", log=False)
+def push_hub_consumers(spark, d):
+    """One consumer or many of one source; a second one is refused where there may be one only."""
+    from .streaming.subscriptions import PushHub
+
+    one, many = PushHub(many=False), PushHub()
+    one.register("a", lambda e: None)
+    assert _refused(lambda: one.register("b", lambda e: None), ValueError)
+    many.register("a", lambda e: None)
+    many.register("b", lambda e: None, lambda e: e["id"] != "1")
+    rows = [("one", 1, k, o.value) for k, o in one.push({"id": "1", "source": "s"}).items()]
+    rows += [("many", i, k, o.value) for i in (1, 2) for k, o in many.push({"id": str(i), "source": "s"}).items()]
+    return spark.createDataFrame(rows, "hub string, n int, consumer string, outcome string")
+
+
+@query(f"SELECT {IDS} FROM log WHERE position > 9990 UNION ALL SELECT {IDS} FROM log WHERE position > 9980")
+def subscription_moved_back(spark, d):
+    """A subscription that is sent back gets events again; one whose position the store hasn't reached goes on from the beginning, if it is told to."""
+    from .streaming.subscriptions import FROM_BEGINNING, Subscriptions
+
+    at = temporary(spark, "delivered")
+    subs = Subscriptions(_store(spark, d), temporary(spark, "checkpoints"))
+    runs = []
+
+    def keep(batch, n):
+        runs.append(f"{at}/{len(runs)}")
+        batch.select("position", "id", "type", "streamid").write.parquet(runs[-1])
+
+    try:
+        subs.subscribe("s", keep, start=9990).processAllAvailable()
+        subs.reposition("s", 9980).processAllAvailable()
+        subs.subscribe("t", lambda batch, n: None, start=10**12, lost=FROM_BEGINNING)
+        assert subs.known["t"].start == 0
+    finally:
+        subs.stop()
+    return _ids(spark.read.schema("position long, id string, type string, streamid string").parquet(*runs))

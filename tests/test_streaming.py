@@ -266,3 +266,30 @@ def test_failed_forwards_are_parked(store):
     with pytest.raises(OSError):
         forward(store.log(), sink)
     assert sorted({(r.type, r.to) for r in store.log().select("type", destinations({"odd": "o"}).alias("to")).collect()}, key=str) == [("even", None), ("odd", "o")]
+
+
+def test_lost_history(spark, store, subs, tmp_path):
+    from ledgerline.streaming.subscriptions import FROM_BEGINNING, FROM_NOW, HistoryLost
+
+    got, first = [], subs()
+    take = lambda df, n: got.extend(r.id for r in df.collect())
+    for id in ("a", "b", "c"):
+        first.subscribe(id, take)
+        first.run_available(id)
+    first.stop()
+    new = EventStore(spark, f"file://{tmp_path}/new")  # the same subscriptions over a store that began anew
+    new.write("s", [Event("n1", "odd")])
+    again, got[:] = Subscriptions(new, f"file://{tmp_path}/checkpoints"), []
+    try:
+        with pytest.raises(HistoryLost):
+            again.subscribe("a", take)
+        again.subscribe("b", take, lost=FROM_BEGINNING)
+        again.run_available("b")
+        assert got == ["n1"]
+        again.subscribe("c", take, lost=FROM_NOW)
+        new.write("s", [Event("n2", "odd")])
+        for id in ("b", "c"):
+            again.run_available(id)
+        assert got == ["n1", "n2", "n2"]
+    finally:
+        again.stop()
