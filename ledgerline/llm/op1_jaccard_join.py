@@ -7,7 +7,9 @@ Jaccard similarity of t differs in at most d = (1 - t) / (1 + t) * (|A| + |B|) t
 Candidates. Sizes fall in bands; a document is in its own band, and in the next one if a similar set may be. With d taken at the
 band's upper end, tokens are dealt over d + 1 + e chunks by their hash; at least 1 + e chunks of a similar pair hold the same
 tokens (pigeonhole), so the XOR of a chunk's tokens is a join key. Chunks of few tokens are common values and never keys: a document
-with no more than e of them needs none, as one of the 1 + e must be another. A document with more deals its tokens anew by another
+with no more than e of them leaves those out, and then chunks from the end, until e are left out, and has d + 1 keys. Of the 1 + e, a
+similar pair's documents leave out the same short ones and others from the same end, so that one is in both. A document with more than e
+short chunks deals its tokens anew by another
 hash, and so on until it has no more than e; if all chunks that a pair shares have few tokens, both documents go on, so no
 pair of similar sets is lost. Sets that only their equals are similar to have no keys at all.
 
@@ -108,8 +110,10 @@ def keys(tokens: np.ndarray, similarity: int) -> np.ndarray:
             begin = np.flatnonzero(np.diff(chunk[order], prepend=-1))
             strong = np.diff(np.append(begin, n)) > (weak if deal < STRICT_DEALS else 0)
             number, value = chunk[order][begin][strong].astype(U), np.bitwise_xor.reduceat(tokens[order], begin)[strong]
-            out.append(mix(value ^ mix(number * U(0x10000) + U(deal % 256 * 256) + U(band) + U(1))))
-            if k - len(number) <= spare[band]:
+            last = k - len(number) <= spare[band]
+            some = slice(k - int(spare[band]) if last else None)  # the first d + 1
+            out.append(mix(value[some] ^ mix(number[some] * U(0x10000) + U(deal % 256 * 256) + U(band) + U(1))))
+            if last:
                 break
             deal += 1
             if deal == MOST_DEALS:
