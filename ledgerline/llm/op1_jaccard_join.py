@@ -4,7 +4,7 @@ A document's set of word shingles is hashed to 64-bit tokens. Each token flips o
 cancels itself, so the Hamming distance of two sketches is at most the size of the sets' symmetric difference. A pair of a
 Jaccard similarity of t differs in at most d = (1 - t) / (1 + t) * (|A| + |B|) tokens.
 
-Candidates. Sizes fall in bands; a document is in its own band, and in the next one if a similar set may be. With d taken at the
+Candidates. Sizes fall in bands; a document is in its own band, and in each larger one that a similar set may be in. With d taken at the
 band's upper end, tokens are dealt over d + 1 + e chunks by their hash; at least 1 + e chunks of a similar pair hold the same
 tokens (pigeonhole), so the XOR of a chunk's tokens is a join key. Chunks of few tokens are common values and never keys: a document
 with no more than e of them leaves those out, and then chunks from the end, until e are left out, and has d + 1 keys. Of the 1 + e, a
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 from math import ceil
 
 import numpy as np
@@ -97,9 +98,9 @@ def keys(tokens: np.ndarray, similarity: int) -> np.ndarray:
         return np.zeros(0, dtype=U)
     own = int(np.searchsorted(size, n))
     out = []
-    for band in (own, own + 1):
-        if band > own and n * 100 < similarity * (int(size[own]) + 1):
-            break
+    for band in count(own):
+        if band > own and n * 100 < similarity * (int(size[band - 1]) + 1):
+            break  # no similar set is as large as this band's
         if few[band]:  # at a similarity of a half, say, sets of one and two tokens: similar ones share one
             out.append(mix(tokens ^ mix(np.full(n, band + 1, dtype=U))))
             continue

@@ -136,6 +136,23 @@ def test_similar_sets_share_a_key(words):
                     assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * both
 
 
+def test_similar_sets_of_other_sizes_share_a_key():
+    import numpy as np
+
+    rng, pairs = np.random.default_rng(5), 0
+    for similarity in (50, 70, 80, 90):
+        for t in range(700):
+            a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(2, 400 if t % 2 else 40)), dtype=np.uint64))
+            d = (100 - similarity) * 2 * len(a) // (100 + similarity)
+            gone = int(rng.integers(0, d + 1))
+            b = np.unique(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, d + 1 - gone)), dtype=np.uint64))))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= similarity * (len(a) + len(b) - both) and not both == len(a) == len(b):
+                pairs += 1
+                assert set(op.keys(a, similarity).tolist()) & set(op.keys(b, similarity).tolist()), (similarity, len(a), len(b), both)
+    assert pairs > 1500
+
+
 def test_empty_table(docs):
     got, links = op.jaccard_components(docs([]))
     assert got.count() == 0 and links.count() == 0
