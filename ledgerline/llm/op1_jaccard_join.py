@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import BROADCAST_ROWS, discard, parts, small, written
 from .wordhash import SPACE_SPLIT, chunks, mix, shingle_set, text_buffers, words
+from .workers import giving_back
 
 U = np.uint64
 SHINGLE = 3
@@ -165,7 +166,7 @@ def _sketched(shingle: int, similarity: int):
         flat = pa.array(np.concatenate(key) if key else np.zeros(0, np.int64), pa.int64())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(bits, pa.binary())], names=["n", "sig", "keys", "bits"])
 
-    return F.arrow_udf(run, _SKETCHED)
+    return F.arrow_udf(giving_back(lambda cols: map(run, cols)), _SKETCHED)
 
 
 def _within(n1: np.ndarray, n2: np.ndarray, distance: np.ndarray, similarity: int) -> np.ndarray:
@@ -265,7 +266,7 @@ def near_pairs(members: DataFrame, classes: DataFrame, similarity: int) -> DataF
     rows = _dealt(members, "key", F.ceil(F.col("many") / BLOCK).cast("long")).select("g", "uid", "side")
     rows = rows.join(classes.select("uid", "n", "bits"), "uid").select("g", "uid", "n", "bits", "side")
     dealt = rows.repartition(parts(members.sparkSession), "g").sortWithinPartitions("g", "uid")
-    return dealt.mapInArrow(_pairs(similarity), "a long, b long").distinct()
+    return dealt.mapInArrow(giving_back(_pairs(similarity)), "a long, b long").distinct()
 
 
 def _sets_of(shingle: int):
@@ -302,7 +303,7 @@ def token_table(ends: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
     """uid and tokens of the classes in ends (distinct uid), from the texts of the documents that stand for them."""
     wanted = written(classes.join(ends, "uid").select("uid", "sig", F.col("doc_id").alias("d")), "wanted")
     rows = docs.select("doc_id", "text").join(small(wanted), F.col("doc_id").eqNullSafe(F.col("d"))).select("uid", "sig", "text")
-    out = written(rows.mapInArrow(_sets_of(shingle), "uid long, tokens binary").groupBy("uid").agg(F.first("tokens").alias("tokens")), "sets", "lz4")
+    out = written(rows.mapInArrow(giving_back(_sets_of(shingle)), "uid long, tokens binary").groupBy("uid").agg(F.first("tokens").alias("tokens")), "sets", "lz4")
     discard(wanted)
     return out
 
@@ -319,7 +320,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int
     sets = token_table(ends, classes, docs, shingle)
     x, y = sets.select(F.col("uid").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("uid").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    out = written(both.mapInArrow(_similar(similarity), "a long, b long"), "links", batch_rows=_batch_rows(sets, 2))
+    out = written(both.mapInArrow(giving_back(_similar(similarity)), "a long, b long"), "links", batch_rows=_batch_rows(sets, 2))
     discard(sets)
     return out
 
@@ -367,7 +368,7 @@ def joining_links(pairs: DataFrame, roots: DataFrame, classes: DataFrame, docs:
     blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("long")
     rows = _dealt(own, "tree", blocks).select("g", "uid", "root", "side").join(classes.select("uid", "n", "bits"), "uid").join(sets, "uid")
     rows = rows.select("g", "uid", "root", "side", "n", "bits", "tokens").repartition(parts(docs.sparkSession), "g").sortWithinPartitions("g", "uid")
-    out = written(rows.mapInArrow(_joining(similarity), "a long, b long"), "links", batch_rows=_batch_rows(sets, 1))
+    out = written(rows.mapInArrow(giving_back(_joining(similarity)), "a long, b long"), "links", batch_rows=_batch_rows(sets, 1))
     discard(trees, own, sets)
     return out
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .units import Remembered
+from .workers import giving_back
 
 MARK = "▁"
 #: Symbols of a run that is merged in rounds.
@@ -206,6 +208,16 @@ def piece_encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+def forget_encoders() -> None:
+    """Encoders, and the words that they remember, go; a function of the module, so that workers clear their own table."""
+    _encoders.clear()
+
+
+def _over_task(run: Callable[[pa.Array], pa.Array]) -> Callable[[Iterator], Iterator]:
+    """run for each batch of a task; the encoders go at its end."""
+    return giving_back(lambda cols: map(run, cols), forget_encoders)
+
+
 _DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -237,7 +249,7 @@ def with_ids(docs: DataFrame, path: str, name: str = "piece_ids", text: str = "t
             out += [np.array(ids, dtype=np.int32) for ids in enc.encode([t or "" for t in col.slice(i, 256).to_pylist()])]
         return pa.array(out, pa.list_(pa.int32()))
 
-    return docs.withColumn(name, F.arrow_udf(run, "array<int>")(F.col(f"`{text}`")))
+    return docs.withColumn(name, F.arrow_udf(_over_task(run), "array<int>")(F.col(f"`{text}`")))
 
 
 def decoded(docs: DataFrame, path: str, ids: str = "piece_ids", name: str = "decoded") -> DataFrame:
@@ -247,12 +259,12 @@ def decoded(docs: DataFrame, path: str, ids: str = "piece_ids", name: str = "dec
         enc = piece_encoder(path)
         return pa.array([enc.library.decode(x) if x else "" for x in col.to_pylist()], pa.string())
 
-    return docs.withColumn(name, F.arrow_udf(run, "string")(F.col(f"`{ids}`")))
+    return docs.withColumn(name, F.arrow_udf(_over_task(run), "string")(F.col(f"`{ids}`")))
 
 
 def with_digests(docs: DataFrame, path: str, name: str = "pieces", text: str = "text", ids: bool = False) -> DataFrame:
     """docs with a struct column called name: n_tokens, ids_sha256 and decoded_sha256 of the ids and of what they decode to, and the ids if asked for."""
-    return docs.withColumn(name, F.arrow_udf(_digests(path, ids), _DIGEST + ", ids array<int>" * ids)(F.col(f"`{text}`")))
+    return docs.withColumn(name, F.arrow_udf(_over_task(_digests(path, ids)), _DIGEST + ", ids array<int>" * ids)(F.col(f"`{text}`")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

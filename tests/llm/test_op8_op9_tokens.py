@@ -144,3 +144,21 @@ def test_digests_and_ids(docs):
         assert (r.doc_id, r.piece_ids, r.decoded) == (d, ids, enc.decode(ids) if ids else "")
         assert r.pieces.n_tokens == len(ids) and r.pieces.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.pieces.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_idle_workers_keep_no_encoder(spark):
+    """A Python worker outlives its task; the next stages' workers stand beside it."""
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(400)], "doc_id long, text string").repartition(16)
+    out = piece.with_digests(docs, PIECES, "p", ids=True).select("text", "p.ids").collect()
+    enc = piece.PieceEncoder(PIECES)
+    assert len(out) == 400 and all(r["ids"] == enc.library.encode(r["text"]) for r in out)
+
+    def kept(batches):
+        import pyarrow as pa
+
+        from ledgerline.llm import op9_sentencepiece as own
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(own._encoders)] * b.num_rows})
+
+    assert {r["n"] for r in docs.select("doc_id").mapInArrow(kept, "n long").collect()} == {0}
