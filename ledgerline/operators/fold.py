@@ -106,7 +106,9 @@ def expression_fold(log: DataFrame, key: Column, columns: list[str], initial: Co
 def keyed_runs(rows: DataFrame, order: list[str], start: Callable[[], object], step: Callable[[object, dict], object], finish: Callable[[str, object], list[dict]], schema: str) -> DataFrame:
     """Runs over the rows of each key (a string column) in order: step takes what start gives over each row, finish turns it to rows of schema.
 
-    Rows are dealt by key, sorted in their partitions and streamed through Python, so a key's rows are never held together.
+    Rows are dealt by key, sorted in their partitions and streamed through Python, so a key's rows are never held together. They are dealt by
+    a hash of the key: Spark leaves out a repartition by the key itself above a union of tables that are partitioned by it, and then
+    coalesces the partitions of each apart, so that a key's rows don't meet.
     """
     fields = T.StructType.fromDDL(schema).fieldNames()
     types = to_arrow_schema(T.StructType.fromDDL(schema))
@@ -128,7 +130,7 @@ def keyed_runs(rows: DataFrame, order: list[str], start: Callable[[], object], s
             out += finish(key, state)
         yield pa.RecordBatch.from_pylist([{f: r.get(f) for f in fields} for r in out], schema=types)
 
-    return rows.repartition(F.col("key")).sortWithinPartitions("key", *order).mapInArrow(run, schema)
+    return rows.repartition(F.xxhash64("key")).sortWithinPartitions("key", *order).mapInArrow(run, schema)
 
 
 def python_fold(log: DataFrame, key: Column, view: View, schema: str, read: Callable[[object], dict], columns: list[str] | None = None, order: str = "position", state: DataFrame | None = None) -> DataFrame:

@@ -43,6 +43,24 @@ def test_fold_goes_on_from_states(spark, log):
     assert {r.key: r.v for r in out.collect()} == {"a": 98, "z": 5}
 
 
+def test_fold_goes_on_from_states_where_joins_have_dealt_both(spark):
+    """Tables that are partitioned by key, of sizes so different that their partitions are coalesced apart."""
+    n = spark.range(40_000)
+    log = n.select(F.concat(F.lit("s"), F.col("id") % 100).alias("streamid"), (F.floor(F.col("id") / 100) + 1).alias("streamversion"), F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+    kept = log.where("streamversion <= 20").groupBy(F.col("streamid").alias("key")).agg(F.max("streamversion").alias("version"), F.count("*").alias("n")).withColumn("schema_version", F.lit(1))
+    view = View(lambda: {"n": 0}, lambda s, e: {"n": s["n"] + 1})
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        out = snapshot.refreshed(log, kept, view, "n bigint", lambda s: s, ["streamversion", "pad"]).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted((r.key, r.n) for r in out) == sorted((f"s{i}", 400) for i in range(100))
+
+
 def test_projections(spark, log):
     p = Projection("t", int, F.col("key0")).on("add", lambda s, e: s + e["n"]).on("any", lambda s, e: s + 1000)
     p = Projection("t", int, F.col("key0"), p.handlers, parents={"sub": "any"})
