@@ -157,13 +157,20 @@ def exists(log: DataFrame, criteria: Criteria, options: ReadOptions | None = Non
 def blocked(log: DataFrame, conditions: DataFrame) -> DataFrame:
     """Of append conditions, a row each (key, types and tags arrays, token): how many events fail it, those after the token of one of the types (any, if none) with all the tags. Conditions without a tag are refused.
 
-    The join is on one tag of each condition; its other tags and the types are tested on what that leaves, and counts combine before the shuffle.
+    The join is on one tag of each condition, the one that the fewest events have; its other tags and the types are tested on what that leaves, and
+    counts combine before the shuffle.
     """
-    asked = conditions.select("key", "token", F.coalesce("types", F.array().cast("array<string>")).alias("__types"), F.array_sort("tags").alias("__tags"))
-    asked = asked.withColumn("__tag", F.when(F.size("__tags") > 0, F.element_at("__tags", 1)).otherwise(F.raise_error(F.lit("a condition has a tag"))))
-    events = log.where("dcbtags is not null").select("position", "type", "dcbtags", F.explode("dcbtags").alias("__tag"))
+    tags_ = F.array_sort("tags")
+    tags_ = F.when(F.size("tags") > 0, tags_).otherwise(F.raise_error(F.lit("a condition has a tag")))
+    asked = conditions.select("key", "token", F.coalesce("types", F.array().cast("array<string>")).alias("__types"), tags_.alias("__tags"))
+    tagged = log.where("dcbtags is not null")
+    seen = tagged.select(F.explode(F.array_distinct("dcbtags")).alias("__tag")).groupBy("__tag").agg(F.count("*").alias("__seen"))
+    each = asked.select("*", F.posexplode("__tags").alias("__at", "__tag")).join(seen, "__tag", "left")
+    rarest = F.min_by("__tag", F.struct(F.coalesce("__seen", F.lit(0)), F.col("__tag")))
+    own = each.groupBy("key", "token", "__types", "__tags").agg(rarest.alias("__tag"), F.count_if(F.col("__at") == 0).alias("__rows"))
+    events = tagged.select("position", "type", "dcbtags", F.explode(F.array_distinct("dcbtags")).alias("__tag"))
     fits = (F.col("position") > F.col("token")) & ((F.size("__types") == 0) | F.array_contains("__types", F.col("type"))) & (F.size(F.array_except("__tags", "dcbtags")) == 0)
-    found = asked.join(events, "__tag").where(fits).groupBy("key").agg(F.count("*").alias("events"))
+    found = own.join(events, "__tag").where(fits).groupBy("key").agg(F.sum("__rows").alias("events"))
     return conditions.select("key").join(found, "key", "left").select("key", F.coalesce("events", F.lit(0)).cast("long").alias("events"))
 
 

@@ -343,6 +343,21 @@ def test_file_stores_and_gated_polls(spark, tmp_path):
     assert snapshots.find("a b") is None
 
 
+def test_blocked_conditions_of_a_tag_that_all_have(spark):
+    """The join is on the other tag: on the common one, it has 400 million pairs. A tag that an event has twice counts once, conditions of one key add up."""
+    import time
+
+    from ledgerline.operators import dcb
+
+    n = spark.range(20_000)
+    user = F.concat(F.lit("user:"), "id")
+    log = n.select(F.col("id").alias("position"), F.lit("x").alias("type"), F.array(F.lit("all"), user, user).alias("dcbtags"))
+    asked = n.select(F.col("id").cast("string").alias("key"), F.lit(None).cast("array<string>").alias("types"), F.array(F.lit("all"), user).alias("tags"), F.lit(9_999).alias("token"))
+    began = time.time()
+    out = dcb.blocked(log, asked.unionByName(asked.where("id = 15000"))).agg(F.count("*").alias("n"), F.sum("events").alias("events")).first()
+    assert (out.n, out.events) == (20_001, 10_000 + 3) and time.time() - began < 40
+
+
 def test_blocked_conditions_and_coalesced_flushes(spark):
     from ledgerline.operators import dcb
     from ledgerline.operators.fold import coalesced
