@@ -88,6 +88,37 @@ def test_filters_and_starts(store, subs):
         subs(payload_filters=False).subscribe("p", into("p"), f.data("n", 1))
 
 
+def test_most_counts_events_of_the_types(store, subs):
+    s, got = subs(), []
+    take = lambda df, n: got.append([r.id for r in df.collect()])
+    s.subscribe("s", take, f.type_("even") & f.data("n", gt(2)), most=2)
+    s.run_available("s")
+    assert got == [["e4"], ["e6"]]  # e2 and e4, of which the payload leaves one, then e6
+    store.write("b", [Event("late", "odd"), Event("later", "even", data={"n": 9})])
+    s.run_available("s")
+    assert [x for x in got if x] == [["e4"], ["e6"], ["later"]]
+
+
+def test_batches_read_the_row_groups_that_they_need(spark, tmp_path):
+    from ledgerline.streaming.position_source import Reader
+
+    store = EventStore(spark, f"file://{tmp_path}/store")
+    frame = lambda n, of: spark.range(n).select(F.concat(F.lit(of), "id").alias("id"), F.lit("s").alias("source"), F.concat(F.lit("t"), F.col("id") % 5).alias("type"), F.lit("a").alias("stream"), F.col("id").alias("at"))
+    store.append_frame(frame(60_000, "x"), "stream", ["at"])
+    store.append_frame(frame(10, "y"), "stream", ["at"])
+    plain = Reader({"path": store.path})
+    (found,) = plain.partitions({"position": 12_000}, {"position": 12_100})
+    assert sum(len(groups) for _, groups in found.groups) == 1
+    rows = [x for b in plain.read(found) for x in b["position"].to_pylist()]
+    assert rows == list(range(12_001, 12_101))
+    own, start, ends = Reader({"path": store.path, "maxeventspertrigger": "5000", "types": '["t1"]', "onlytypes": "true"}), {"position": 0}, []
+    while (end := own.latestOffset()) != start:
+        got = [p for r in own.partitions(start, end) for b in own.read(r) for p in b["position"].to_pylist()]
+        ends.append((end["position"], len(got)))
+        start = end
+    assert ends == [(24_997, 5000), (49_997, 5000), (60_010, 2002)]
+
+
 def test_projection_over_a_subscription(spark, store, subs, tmp_path):
     table, applied = StateTable(spark, f"file://{tmp_path}/t", "key string, n long"), AppliedAppends(spark, f"file://{tmp_path}/applied")
     p = Projection("n", lambda: {"n": 0}, F.col("streamid")).on("even", lambda s, e: {"n": s["n"] + 1}).on("odd", lambda s, e: {"n": s["n"] + 10})
