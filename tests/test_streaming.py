@@ -133,6 +133,25 @@ def test_projection_over_a_subscription(spark, store, subs, tmp_path):
     assert not applied.has("p", r.append_id)
 
 
+def test_a_projections_batch_is_read_once(spark, store, subs, tmp_path):
+    """Batches of handled types, each in one commit."""
+    table = StateTable(spark, f"file://{tmp_path}/t", "key string, n long")
+    p = Projection("n", lambda: {"n": 0}, F.col("streamid")).on("even", lambda s, e: {"n": s["n"] + 1})
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(position):
+        reads.add(1)
+        return position > 0
+
+    s = subs()
+    plain = s.subscribe
+    s.subscribe = lambda id, act, f=None, **kw: plain(id, lambda batch, n: act(batch.where(seen("position")), n), f, **kw)
+    s.project("p", p, table, "n long", lambda x: x, columns=["type"], most=2)
+    s.run_available("p")
+    assert reads.value == 3 and table._version()[0] == 2 and table.position("p") == 6
+
+
 def test_only_the_lease_holder_runs(spark, store, subs, tmp_path):
     now = [0.0]
     lease = lambda: Lease(spark, f"file://{tmp_path}/lease", 10, lambda: now[0])
